@@ -33,10 +33,13 @@ def name_files(files: DataFrame, output_dir: str) -> DataFrame:
     totals, so one name wanted by any share of all files is no hot spot.
     """
     key = ["dir", "wanted"]
-    wanted = with_once(
-        files,
-        dir=files_dir(F.col("file_url"), output_dir),
-        wanted=file_name(F.col("file_url"), F.col("content_type")),
+    wanted = materialize(
+        with_once(
+            files,
+            dir=files_dir(F.col("file_url"), output_dir),
+            wanted=file_name(F.col("file_url"), F.col("content_type")),
+        ),
+        "file-urls",
     )
     numbered = materialize(
         running_total(wanted, key, digest_chunk(F.col("file_url")), [F.md5("file_url"), "file_url", "site"], "n"),
@@ -112,27 +115,23 @@ def _by_prefix(targets: DataFrame) -> DataFrame:
     return targets.withColumn("rest", F.substring("rest", 1, _LONGEST))
 
 
-def _files_in_html(pages: DataFrame, files: DataFrame) -> DataFrame:
-    tokens = (
-        pages.select("site", "page_id", url_netloc(F.col("page_url")).alias("host"), F.explode(_anchors(F.col("html"), _PLAIN)).alias("token"))
-        .filter(_rest(F.col("token")).startswith(F.col("host")))
-        .distinct()
-    )
-    targets = files.select("site", "file_url").withColumn("rest", _rest(F.col("file_url")))
+def _files_in_html(tokens: DataFrame, pages: DataFrame, files: DataFrame) -> DataFrame:
+    targets = with_once(files.select("site", "file_url"), rest=_rest(F.col("file_url")))
     plain = F.col("rest").rlike(f"^{_PLAIN}*$")
 
     # A file URL without blanks, quotes or angle brackets is a prefix of a token.
     probes = tokens.select("site", "host", "token").distinct().withColumn(
         "rest", F.explode(_prefixes(_rest(F.col("token")), F.col("host")))
     )
-    hits = (
+    hits = materialize(
         probes.join(_by_prefix(targets.filter(plain)), ["site", "rest"])
         .filter(_scheme(F.col("token")).endswith(_scheme(F.col("file_url"))))
         .filter(_rest(F.col("token")).startswith(_rest(F.col("file_url"))))
         .select("site", "token", "file_url")
-        .distinct()
+        .distinct(),
+        "hits",
     )
-    found = lookup_join(tokens, hits, ["site", "token"], ["page_id"], "inner").select("site", "page_id", "file_url")
+    found = lookup_join(tokens.select("site", "page_id", "token"), hits, ["site", "token"], ["page_id"], "inner")
 
     # Any other file URL starts with a whole token of the page; it is looked up
     # by that start and checked against the HTML.
@@ -143,21 +142,19 @@ def _files_in_html(pages: DataFrame, files: DataFrame) -> DataFrame:
         .join(_by_prefix(odd), ["site", "rest"])
         .join(pages.select("site", "page_id", "html"), ["site", "page_id"])
         .filter(F.contains("html", "file_url"))
-        .select("site", "page_id", "file_url")
     )
-    return found.unionByName(checked)
+    return found.select("site", "page_id", "file_url").unionByName(checked.select("site", "page_id", "file_url"))
 
 
 def _pages_in_file_urls(pages: DataFrame, files: DataFrame) -> DataFrame:
+    anchors = with_once(files.select("site", "file_url"), host=url_netloc(F.col("file_url")))
     probes = (
-        files.select("site", "file_url", F.explode(_anchors(F.col("file_url"), ".")).alias("anchor"))
-        .withColumn("rest", F.explode(_prefixes(_rest(F.col("anchor")), url_netloc(F.col("file_url")))))
-        .withColumn("scheme_run", _scheme(F.col("anchor")))
-        .drop("anchor")
+        anchors.select("site", "file_url", "host", F.explode(_anchors(F.col("file_url"), ".")).alias("anchor"))
+        .select("site", "file_url", _scheme(F.col("anchor")).alias("scheme_run"), F.explode(_prefixes(_rest(F.col("anchor")), F.col("host"))).alias("rest"))
     )
     targets = pages.select("site", "page_id", "page_url", _rest(F.col("page_url")).alias("rest"))
     return (
-        lookup_join(probes, _by_prefix(targets), ["site", "rest"], ["file_url"], "inner")
+        lookup_join(materialize(probes, "probes"), _by_prefix(targets), ["site", "rest"], ["file_url"], "inner")
         .filter(F.contains("file_url", "page_url"))
         .filter(F.col("scheme_run").endswith(_scheme(F.col("page_url"))))
         .select("site", "page_id", "file_url")
@@ -169,9 +166,19 @@ def page_files(pages: DataFrame, files: DataFrame) -> DataFrame:
 
     ``pages``: site, page_id, page_url (normalised), html. ``files``: site,
     file_url; both of the site's own domain. Exact substring semantics without
-    comparing every page of a site to every file.
+    comparing every page of a site to every file. The HTML is read once, for
+    the URLs in it; only pages with a start of an unusual file URL are looked at
+    again.
     """
-    return _files_in_html(pages, files).unionByName(_pages_in_file_urls(pages, files)).distinct()
+    hosts = with_once(pages.select("site", "page_id", "page_url", "html"), host=url_netloc(F.col("page_url")))
+    tokens = materialize(
+        hosts.select("site", "page_id", "host", F.explode(_anchors(F.col("html"), _PLAIN)).alias("token"))
+        .filter(_rest(F.col("token")).startswith(F.col("host")))
+        .distinct(),
+        "tokens",
+    )
+    owners = pages.select("site", "page_id", "page_url")
+    return _files_in_html(tokens, pages, files).unionByName(_pages_in_file_urls(owners, files)).distinct()
 
 
 def file_sections(pairs: DataFrame, pages: DataFrame, files: DataFrame, output_dir: str, part_size: int = 1000) -> DataFrame:
@@ -182,22 +189,15 @@ def file_sections(pairs: DataFrame, pages: DataFrame, files: DataFrame, output_d
     of the site; parts keep that page from becoming one row and one task.
     """
     key = ["site", "page_id"]
+    pairs = materialize(pairs, "pairs")
     named = lookup_join(pairs, files.select("site", "file_url", "local_path"), ["site", "file_url"], ["page_id"], "inner")
-    placed = lookup_join(
-        named,
-        pages.select(*key, "page_url", markdown_dir(F.col("page_url"), output_dir).alias("_dir")),
-        key,
-        ["file_url"],
-        "inner",
-    )
-    lines = placed.select(
-        *key,
-        "page_url",
-        "file_url",
-        F.format_string(
-            "- [%s](%s)\n", base_name(F.col("local_path")), relative_path(F.col("local_path"), F.col("_dir"))
-        ).alias("line"),
+    named = materialize(named, "named-pairs")
+    places = with_once(pages.select(*key, "page_url"), md_dir=markdown_dir(F.col("page_url"), output_dir))
+    placed = lookup_join(named, materialize(places, "places"), key, ["file_url"], "inner")
+    line = F.concat(
+        F.lit("- ["), base_name(F.col("local_path")), F.lit("]("), relative_path(F.col("local_path"), F.col("md_dir")), F.lit(")\n")
     )
+    lines = materialize(with_once(placed, line=line).select(*key, "page_url", "file_url", "line"), "lines")
     numbered = running_total(lines, key, digest_chunk(F.col("file_url")), [F.md5("file_url"), "file_url"], "n")
     parts = (
         numbered.withColumn("part", F.floor((F.col("n") - 1) / part_size))

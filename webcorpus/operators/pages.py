@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.once import with_once
 from ..functions.urls import normalize_url
-from .skew import lookup_join
 
 
 def canonical_ids(pages: DataFrame) -> DataFrame:
@@ -18,18 +17,31 @@ def canonical_ids(pages: DataFrame) -> DataFrame:
     )
 
 
-def canonical_pages(pages: DataFrame) -> DataFrame:
-    """Pages with ``url`` normalised, later copies of a URL left out.
+def normalized_urls(pages: DataFrame) -> DataFrame:
+    """page_id and normalised url, NULL for a URL that does not parse."""
+    return with_once(pages.select("page_id", F.col("url").alias("_url")), url=normalize_url(F.col("_url"))).drop("_url")
+
+
+def later_copies(urls: DataFrame) -> DataFrame:
+    """Ids of pages that are not the first of their URL.
 
-    Only ids and URLs are grouped; the wide HTML meets just the list of repeated
-    pages, which is usually small enough for Spark to broadcast by its size.
+    The side joined has one row per repeated URL; where one URL holds most
+    pages, adaptive execution splits that URL's rows over several tasks.
     """
-    narrow = with_once(pages.select("page_id", "url"), norm=normalize_url(F.col("url"))).drop("url")
-    repeated = narrow.groupBy("norm").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    later = lookup_join(narrow, repeated, ["norm"], ["page_id"], "inner").filter("page_id <> first_id")
-    return (
-        with_once(pages.join(later.select("page_id"), "page_id", "left_anti"), norm=normalize_url(F.col("url")))
-        .filter("norm IS NOT NULL")
-        .drop("url")
-        .withColumnRenamed("norm", "url")
-    )
+    first = urls.groupBy("url").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    return urls.join(first, "url").filter("page_id <> first_id").select("page_id")
+
+
+def without(pages: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Pages with ``url`` normalised and the ids in ``excluded`` left out.
+
+    The wide HTML meets just a list of ids, which Spark broadcasts when its
+    size allows.
+    """
+    kept = pages.join(excluded, "page_id", "left_anti").withColumnRenamed("url", "_url")
+    return with_once(kept, url=normalize_url(F.col("_url"))).filter("url IS NOT NULL").drop("_url")
+
+
+def canonical_pages(pages: DataFrame) -> DataFrame:
+    """Pages with ``url`` normalised, later copies of a URL left out."""
+    return without(pages, later_copies(normalized_urls(pages)))

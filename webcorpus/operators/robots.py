@@ -20,7 +20,6 @@ RULES = T.ArrayType(
 )
 
 
-@F.pandas_udf(RULES)
 def _rules(bodies: pd.Series) -> pd.Series:
     def read(body):
         parser = RobotFileParser()
@@ -38,11 +37,11 @@ def robots_policies(robots: DataFrame) -> DataFrame:
     no rules, which allows everything. The rules of one origin stay together in
     one row, in file order, so matching needs no aggregation.
     """
-    status = F.col("fetch_status")
+    status, rules = F.col("fetch_status"), F.pandas_udf(_rules, RULES)
     return robots.select(
         "origin",
         F.coalesce(status.isin(401, 403) | (status >= 500), F.lit(False)).alias("deny_all"),
-        F.when(status < 400, _rules(F.col("body"))).otherwise(F.lit(None).cast(RULES)).alias("rules"),
+        F.when(status < 400, rules(F.col("body"))).otherwise(F.lit(None).cast(RULES)).alias("rules"),
     )
 
 

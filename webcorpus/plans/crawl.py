@@ -11,22 +11,26 @@ from ..functions.urls import is_valid_url, normalize_url
 from ..operators.html import parse_pages
 from ..operators.links import classify_links, explode_links, unvisited
 from ..operators.numbering import running_total
-from ..operators.pages import canonical_pages
+from ..operators.pages import later_copies, normalized_urls, without
 from ..operators.robots import with_robots
 from ..schemas import CRAWL
-from ..session import scratch_path, spread
+from ..session import materialize, scratch_path, spread
 
 _PARENTS = 1024  # parents per slice of a level's queue
 _QUEUE = "site string, url string, parent_rank long, pos int"
 
 
 def fetchable_pages(pages: DataFrame, policies: DataFrame | None = None) -> DataFrame:
-    """Pages a crawl could fetch: one per canonical URL, allowed by robots, with content."""
-    found = canonical_pages(pages).filter("html <> ''")
+    """Pages a crawl could fetch: one per canonical URL, allowed by robots, with content.
+
+    Which pages to leave out is settled on ids and URLs alone and written down;
+    the HTML is read once, by whoever uses the result.
+    """
+    urls = materialize(normalized_urls(pages), "urls")
+    excluded = later_copies(urls)
     if policies is not None:
-        denied = with_robots(found.select("page_id", "url"), policies).filter("NOT allowed")
-        found = found.join(denied.select("page_id"), "page_id", "left_anti")
-    return found
+        excluded = excluded.unionByName(with_robots(urls, policies, spread_by="page_id").filter("NOT allowed").select("page_id"))
+    return without(pages, materialize(excluded, "excluded")).filter("html <> ''")
 
 
 def parse_archive(fetchable: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.once import with_once
 from ..functions.paths import (
     base_name,
     duration_text,
@@ -206,10 +207,11 @@ def page_files(spark, sf_dir):
 def page_file_links(spark, sf_dir):
     pages = table(spark, sf_dir, "mentions")
     files = _named_files(spark, sf_dir)
+    places = with_once(pages.select("page_id", "page_url"), md_dir=markdown_dir(F.col("page_url"), OUT))
     return (
         file_ops.page_files(pages, files)
         .join(files.select("site", "file_url", "local_path"), ["site", "file_url"])
-        .join(pages.select("page_id", markdown_dir(F.col("page_url"), OUT).alias("md_dir")), "page_id")
+        .join(places, "page_id")
         .select("page_id", "file_url", base_name(F.col("local_path")).alias("name"), relative_path(F.col("local_path"), F.col("md_dir")).alias("rel_path"))
     )
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.once import with_once
 from ..functions.paths import markdown_dir, markdown_name
 from ..operators.files import distinct_files, file_sections, name_files, page_files
 from ..operators.report import site_stats
@@ -22,8 +24,8 @@ class SiteRun:
     crawl: DataFrame
     markdown: DataFrame
     files: DataFrame
-    sections: DataFrame
     stats: DataFrame
+    sections: Callable[[], DataFrame]  # built when asked for: its steps are written down as they go
 
 
 def settle_paths(markdown: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,12 +59,14 @@ def run_sites(
     graph, file_links = link_graph(parsed)
     crawled = crawl(seeds, graph, max_pages_per_site)
 
-    markdown = crawled.join(parsed.select("page_id", "title", "markdown"), "page_id").withColumns(
-        {"dir": markdown_dir(F.col("url"), output_dir), "filename": markdown_name(F.col("url"))}
+    markdown = with_once(
+        crawled.join(parsed.select("page_id", "title", "markdown"), "page_id"),
+        dir=markdown_dir(F.col("url"), output_dir),
+        filename=markdown_name(F.col("url")),
     )
     if download_files:
         links = crawled.join(file_links, "page_id").select("site", F.col("file_url").alias("norm"), F.lit("file").alias("kind"))
-        files = distinct_files(links)
+        files = materialize(distinct_files(links), "file-links")
         if policies is not None:
             files = with_robots(files, policies, "file_url", "site").filter("allowed").drop("allowed")
         if content_types is not None:
@@ -70,22 +74,21 @@ def run_sites(
         else:
             files = files.withColumn("content_type", F.lit(None).cast("string"))
         files = materialize(name_files(files, output_dir), "files")
-        sources = (
-            markdown.filter("markdown IS NOT NULL")
-            .select("site", "page_id", F.col("url").alias("page_url"))
-            .join(fetchable.select("page_id", "html"), "page_id")
-        )
-        sections = file_sections(page_files(sources, files), sources.drop("html"), files, output_dir)
     else:
         files = spark.createDataFrame([], FILES).withColumns(
             {name: F.lit(None).cast("string") for name in ("dir", "filename", "local_path")}
         )
-        sections = spark.createDataFrame(
-            [], "site string, page_id long, page_url string, part long, n_files long, section string"
-        )
     stats = site_stats(
         seeds.select(F.col("url").alias("site")),
         markdown.select("site", F.col("markdown").isNotNull().alias("converted")),
         files,
     )
-    return SiteRun(crawled, markdown, files, sections, stats)
+
+    def sections() -> DataFrame:
+        placed = materialize(
+            markdown.filter("markdown IS NOT NULL").select("site", "page_id", F.col("url").alias("page_url")), "placed"
+        )
+        sources = placed.join(fetchable.select("page_id", "html"), "page_id")
+        return file_sections(page_files(sources, files), placed, files, output_dir)
+
+    return SiteRun(crawled, markdown, files, stats, sections)
