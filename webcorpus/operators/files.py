@@ -123,8 +123,9 @@ def _files_in_html(tokens: DataFrame, pages: DataFrame, files: DataFrame) -> Dat
     probes = tokens.select("site", "host", "token").distinct().withColumn(
         "rest", F.explode(_prefixes(_rest(F.col("token")), F.col("host")))
     )
+    # Short prefixes are shared by all tokens of a site, hence the salted join.
     hits = materialize(
-        probes.join(_by_prefix(targets.filter(plain)), ["site", "rest"])
+        lookup_join(probes, _by_prefix(targets.filter(plain)), ["site", "rest"], ["token"], "inner")
         .filter(_scheme(F.col("token")).endswith(_scheme(F.col("file_url"))))
         .filter(_rest(F.col("token")).startswith(_rest(F.col("file_url"))))
         .select("site", "token", "file_url")
@@ -136,14 +137,18 @@ def _files_in_html(tokens: DataFrame, pages: DataFrame, files: DataFrame) -> Dat
     # Any other file URL starts with a whole token of the page; it is looked up
     # by that start and checked against the HTML.
     odd = targets.filter(~plain).withColumn("rest", F.regexp_extract("rest", f"^{_PLAIN}*", 0))
-    checked = (
+    starts = materialize(
         _by_prefix(tokens.select("site", "page_id", _rest(F.col("token")).alias("rest")))
         .distinct()
         .join(_by_prefix(odd), ["site", "rest"])
-        .join(pages.select("site", "page_id", "html"), ["site", "page_id"])
-        .filter(F.contains("html", "file_url"))
+        .select("site", "page_id", "file_url"),
+        "starts",
     )
-    return found.select("site", "page_id", "file_url").unionByName(checked.select("site", "page_id", "file_url"))
+    found = found.select("site", "page_id", "file_url")
+    if starts.isEmpty():
+        return found
+    checked = starts.join(pages.select("site", "page_id", "html"), ["site", "page_id"]).filter(F.contains("html", "file_url"))
+    return found.unionByName(checked.drop("html"))
 
 
 def _pages_in_file_urls(pages: DataFrame, files: DataFrame) -> DataFrame:
@@ -154,7 +159,7 @@ def _pages_in_file_urls(pages: DataFrame, files: DataFrame) -> DataFrame:
     )
     targets = pages.select("site", "page_id", "page_url", _rest(F.col("page_url")).alias("rest"))
     return (
-        lookup_join(materialize(probes, "probes"), _by_prefix(targets), ["site", "rest"], ["file_url"], "inner")
+        lookup_join(probes, _by_prefix(targets), ["site", "rest"], ["file_url"], "inner")
         .filter(F.contains("file_url", "page_url"))
         .filter(F.col("scheme_run").endswith(_scheme(F.col("page_url"))))
         .select("site", "page_id", "file_url")

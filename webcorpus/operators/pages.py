@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.once import with_once
 from ..functions.urls import normalize_url
+from ..session import materialize
 
 
 def canonical_ids(pages: DataFrame) -> DataFrame:
@@ -35,8 +36,8 @@ def later_copies(urls: DataFrame) -> DataFrame:
 def without(pages: DataFrame, excluded: DataFrame) -> DataFrame:
     """Pages with ``url`` normalised and the ids in ``excluded`` left out.
 
-    The wide HTML meets just a list of ids, which Spark broadcasts when its
-    size allows.
+    The wide HTML meets just a list of ids. Callers write that list down first,
+    so that Spark knows its size and broadcasts it when that allows.
     """
     kept = pages.join(excluded, "page_id", "left_anti").withColumnRenamed("url", "_url")
     return with_once(kept, url=normalize_url(F.col("_url"))).filter("url IS NOT NULL").drop("_url")
@@ -44,4 +45,4 @@ def without(pages: DataFrame, excluded: DataFrame) -> DataFrame:
 
 def canonical_pages(pages: DataFrame) -> DataFrame:
     """Pages with ``url`` normalised, later copies of a URL left out."""
-    return without(pages, later_copies(normalized_urls(pages)))
+    return without(pages, materialize(later_copies(normalized_urls(pages)), "later-copies"))

@@ -7,14 +7,14 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.urls import is_valid_url, normalize_url
+from ..functions.urls import is_downloadable, is_same_domain, is_valid_url, normalize_url
 from ..operators.html import parse_pages
 from ..operators.links import classify_links, explode_links, unvisited
 from ..operators.numbering import running_total
 from ..operators.pages import later_copies, normalized_urls, without
 from ..operators.robots import with_robots
 from ..schemas import CRAWL
-from ..session import materialize, scratch_path, spread
+from ..session import materialize, scratch_path
 
 _PARENTS = 1024  # parents per slice of a level's queue
 _QUEUE = "site string, url string, parent_rank long, pos int"
@@ -34,19 +34,26 @@ def fetchable_pages(pages: DataFrame, policies: DataFrame | None = None) -> Data
 
 
 def parse_archive(fetchable: DataFrame) -> DataFrame:
-    """Parse every fetchable page once: page_id, url, title, markdown, links (classified)."""
-    return parse_pages(spread(fetchable, "page_id"), keep=("page_id", "url"))
+    """Parse every fetchable page once: page_id, url, title, markdown, links."""
+    return parse_pages(fetchable, keep=("page_id", "url"))
 
 
 def link_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(page links with arrays of targets, one row per page; file links, one row per link)."""
-    links = classify_links(explode_links(parsed, ("page_id", "url")), base="url")
-    targets = (
-        links.filter("kind = 'page'")
-        .groupBy("page_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.col("norm").alias("target")))).alias("targets"))
+    """(one row per page with the array of its page links, one row per file link).
+
+    A page's links are resolved to targets inside its own row, so the graph
+    needs no shuffle.
+    """
+    near = F.filter("links", lambda link: (link["source"] == "a") & is_same_domain(link["resolved"], F.col("url")))
+    targets = F.transform(
+        near, lambda link: F.struct(link["pos"].alias("pos"), normalize_url(link["resolved"]).alias("target"))
     )
-    pages = parsed.select("page_id", "url").join(targets, "page_id", "left")
+    pages = parsed.select(
+        "page_id",
+        "url",
+        F.filter(targets, lambda t: t["target"].isNotNull() & ~is_downloadable(t["target"])).alias("targets"),
+    )
+    links = classify_links(explode_links(parsed, ("page_id", "url")), base="url")
     files = links.filter("kind = 'file'").select("page_id", F.col("norm").alias("file_url"))
     return pages, files
 

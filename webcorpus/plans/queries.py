@@ -77,8 +77,8 @@ def url_download(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").withColumn("base_url", normalize_url(F.col("url")))
-    return html.parse_pages(spread(pages, "page_id"), keep=("page_id", "base_url"), url="base_url")
+    pages = spread(table(spark, sf_dir, "pages"), "page_id").withColumn("base_url", normalize_url(F.col("url")))
+    return html.parse_pages(pages, keep=("page_id", "base_url"), url="base_url")
 
 
 def _links(spark, sf_dir):
@@ -328,8 +328,13 @@ def log_tail(spark, sf_dir):
     return logs.tail(_event_log(spark, sf_dir), ["ts", "event_id"], 10).select("event_id", "message")
 
 
-def _run_logs(spark, sf_dir):
-    return table(spark, sf_dir, "run_log"), table(spark, sf_dir, "failures"), table(spark, sf_dir, "present")
+def _analysis(spark, sf_dir):
+    """The documents over a run's log and its retry's, one log and one list of failures each."""
+    log, failures = table(spark, sf_dir, "run_log"), table(spark, sf_dir, "failures")
+    each = lambda df: [df.filter(F.col("source") == i).drop("source") for i in (0, 1)]
+    return analysis.analyse(
+        each(log), each(failures), table(spark, sf_dir, "present"), GENERATED, OUT, ("r.csv", "s.json", "a.txt", "b.txt")
+    )
 
 
 @query
@@ -350,22 +355,17 @@ def upload_rate(spark, sf_dir):
 
 @query
 def upload_report(spark, sf_dir):
-    log, failures, present = _run_logs(spark, sf_dir)
-    return report.report_rows(logs.parse_log(log), failures, present, analysis.ORDER)
+    return _analysis(spark, sf_dir)["report"]
 
 
 @query
 def upload_summary(spark, sf_dir):
-    log, failures, present = _run_logs(spark, sf_dir)
-    return report.summary_lines(
-        logs.parse_log(log), failures, present, analysis.ORDER, GENERATED, ("r.csv", "s.json", "a.txt", "b.txt"), OUT
-    )
+    return _analysis(spark, sf_dir)["summary"]
 
 
 @query
 def upload_stats(spark, sf_dir):
-    log, failures, present = _run_logs(spark, sf_dir)
-    return report.stats_lines(logs.parse_log(log), failures, present, analysis.ORDER, GENERATED)
+    return _analysis(spark, sf_dir)["stats"]
 
 
 # -- Runs ---------------------------------------------------------------------

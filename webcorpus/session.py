@@ -38,10 +38,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core for a scan that came back in fewer pieces than cores.
+    """Use every core for a scan that comes in fewer pieces than there are cores.
 
-    A large table is already split into many more partitions than there are
-    cores and passes through unshuffled.
+    To be given a plain scan, whose pieces are known without running anything.
+    A large table has many more pieces than cores and passes unshuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.uploads import is_ledger_document
 from ..schemas import FAILURES, INVENTORY, LEDGER, PAGES, RUNS
+from ..session import spread
 
 
 def _lines(spark: SparkSession, path: str, number: str) -> DataFrame:
@@ -42,7 +43,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Archived pages with content."""
-    return spark.read.schema(PAGES).parquet(path).filter("html IS NOT NULL AND html <> ''")
+    return spread(spark.read.schema(PAGES).parquet(path), "page_id").filter("html IS NOT NULL AND html <> ''")
 
 
 def read_inventory(spark: SparkSession, directory: str, below: str | None = None) -> DataFrame:
