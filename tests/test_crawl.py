@@ -104,3 +104,28 @@ def test_whole_run_and_export(spark, tmp_path):
     assert (tmp_path / "o/h/about.md").read_text() == "two"
     assert (tmp_path / "o/h/index.md").read_text() == (
         "# Home\n\n[a](/About)[b](/about)[r](/r.pdf)\n\n## Downloaded Files\n\n- [r.pdf](files/r.pdf)\n")
+
+
+def test_files_by_links_and_run_without_seeds(spark):
+    pages = spark.createDataFrame([(1, "https://h/", '<p>x</p><a href="/a"></a>'), (2, "https://h/a", '<p>y</p><a href="/r.pdf"></a>')], "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("https://h",)], "url string")
+    for match, owners in (("text", ["https://h/"]), ("links", ["https://h/a"])):
+        run = run_sites(seeds, pages, output_dir="o", match=match)
+        assert [r.page_url for r in run.sections().collect()] == owners
+    bare = run_sites(seeds, pages, output_dir="o", download_files=False)
+    assert bare.files.isEmpty() and bare.stats.filter("is_total = 1").first().pages_converted == 2
+    with pytest.raises(ValueError):
+        run_sites(seeds.limit(0), pages)
+
+
+def test_a_larger_cap_only_adds_pages(spark):
+    edges = {f"https://h/{i}": [f"https://h/{(i * 3 + j) % 50}" for j in range(3)] for i in range(50)}
+    found = [crawled(spark, ["https://h/0"], edges, cap)["https://h/0"] for cap in (1, 5, 20)]
+    assert [len(f) for f in found] == [1, 5, 20] and found[0] == found[1][:1] and found[1] == found[2][:5]
+
+
+def test_many_seeds_of_one_host_share_file_urls(spark):
+    pages = spark.createDataFrame([(i, f"https://h/{i}", f'<p>z<a href="/{i + 1}"></a><a href="/r.pdf"></a>') for i in range(4)], "page_id long, url string, html string")
+    run = run_sites(spark.createDataFrame([(f"https://h/{i}",) for i in range(4)], "url string"), pages, output_dir="o")
+    assert sorted(r.filename for r in run.files.collect()) == ["r.pdf", "r_1.pdf", "r_2.pdf", "r_3.pdf"]
+    assert {r.site: r.pages_scraped for r in run.stats.filter("is_total = 0").collect()} == {f"https://h/{i}": 4 - i for i in range(4)}

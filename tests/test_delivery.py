@@ -37,6 +37,19 @@ def test_log_lines(spark):
     assert {r.ts for r in rows} == {datetime(2025, 4, 7, 16, 49, 26, 707000)} and {r.level for r in rows} == {"INFO"}
 
 
+def test_where_the_rules_for_log_lines_differ_from_plain_marker_splitting(spark):
+    """The plain rule, as SQL: cut after the marker, a failed path at its first dot. It misreads sizes, counts and paths."""
+    log = logs.parse_log(lines_of(spark, LINES))
+    plain = log.withColumn("old", F.expr("""CASE
+        WHEN contains(message, 'Successfully uploaded') THEN 'success|' || trim(split(message, 'Successfully uploaded')[1])
+        WHEN contains(message, 'Failed to upload') THEN 'failed|' || trim(split(split(message, 'Failed to upload')[1], '[.]')[0])
+        WHEN contains(message, 'Skipping') THEN 'skipped|' || trim(split(message, ':')[1])
+        WHEN contains(message, 'Unsupported file type') THEN 'skipped|' || trim(split(message, 'Unsupported file type:')[1]) END"""))
+    new = F.when(F.col("kind") != "other", F.concat_ws("|", "kind", "file_path"))
+    differ = [r.old for r in plain.filter(~F.col("old").eqNullSafe(new)).orderBy("line_no").collect()]
+    assert differ == ["success|a/b c.md (12 bytes) in 0.5s", "success|: 16", "failed|a/b", "failed|a/b", None, None]
+
+
 def test_lines_without_a_head(spark):
     row = logs.parse_log(lines_of(spark, ["Upload Summary:"], head="")).first()
     assert (row.ts, row.level, row.kind, row.message) == (None, None, "other", "Upload Summary:")

@@ -13,7 +13,7 @@ from webcorpus.operators.skew import lookup_join
 
 def one_by_one(urls):
     """Names in MD5 order: first the names nobody contests, then the numbered ones."""
-    order = sorted(urls, key=lambda u: (hashlib.md5(u.encode()).hexdigest(), u))
+    order = sorted(urls, key=lambda u: (hashlib.md5(f"{u} s".encode()).hexdigest(), u))
     names, later = {}, []
     for url in order:
         want = url.rsplit("/", 1)[1]

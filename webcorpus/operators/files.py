@@ -27,7 +27,8 @@ def _split_name(name: Column) -> tuple[Column, Column]:
 def name_files(files: DataFrame, output_dir: str) -> DataFrame:
     """Give each (site, file_url, content_type) its directory and a unique file name.
 
-    Files asking for one name are taken in the order of their URL's MD5. The
+    Files asking for one name are taken in the order of the MD5 of their URL and
+    site. The
     first keeps the name; the n-th takes ``base_k.ext`` with the n-th ``k`` that
     no other file of the directory asks for. Numbers are handed out by running
     totals, so one name wanted by any share of all files is no hot spot.
@@ -41,9 +42,9 @@ def name_files(files: DataFrame, output_dir: str) -> DataFrame:
         ),
         "file-urls",
     )
+    own = F.concat_ws(" ", "file_url", "site")  # also even when many sites share one URL
     numbered = materialize(
-        running_total(wanted, key, digest_chunk(F.col("file_url")), [F.md5("file_url"), "file_url", "site"], "n"),
-        "file-names",
+        running_total(wanted, key, digest_chunk(own), [F.md5(own), "file_url", "site"], "n"), "file-names"
     )
     base, ext = _split_name(F.col("wanted"))
     first = numbered.filter("n = 1").withColumn("filename", F.col("wanted"))

@@ -95,7 +95,7 @@ FROM (SELECT *, regexp_extract({_path('file_url')}, '[^/]*$', 0) AS base,
 # Number n of a wanted name; later ones take the free numbers in order.
 _NAMED = f"""
 wanted AS ({_WANTED}),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY dir, wanted ORDER BY md5(file_url), file_url, site) AS n,
+numbered AS (SELECT *, row_number() OVER (PARTITION BY dir, wanted ORDER BY md5(file_url || ' ' || site), file_url, site) AS n,
                     regexp_extract(wanted, '(?s)^[.]*[^.].*?([.][^.]*)$', 1) AS ext FROM wanted),
 split AS (SELECT *, left(wanted, length(wanted) - length(ext)) AS base FROM numbered),
 free AS (SELECT c.dir, c.wanted, c.k, row_number() OVER (PARTITION BY c.dir, c.wanted ORDER BY c.k) AS j

@@ -46,12 +46,19 @@ def run_sites(
     output_dir: str = "corpus",
     max_pages_per_site: int = 100,
     download_files: bool = True,
+    match: str = "text",
 ) -> SiteRun:
     """Crawl the archive ``pages`` from ``seeds`` (url) and lay the result out as a corpus.
 
     ``robots``: origin, fetch_status, body. ``content_types``: file_url,
-    content_type of files whose URL shows no extension.
+    content_type of files whose URL shows no extension. ``match`` says which
+    files a page lists: ``text`` goes by URLs found in texts (see
+    ``page_files``), ``links`` by what the page links to.
     """
+    if match not in ("text", "links"):
+        raise ValueError(f"match must be text or links, not {match}")
+    if seeds.isEmpty():
+        raise ValueError("no URLs to process")
     spark = seeds.sparkSession
     policies = None if robots is None else materialize(robots_policies(robots), "robots")
     fetchable = fetchable_pages(pages, policies)
@@ -88,7 +95,10 @@ def run_sites(
         placed = materialize(
             markdown.filter("markdown IS NOT NULL").select("site", "page_id", F.col("url").alias("page_url")), "placed"
         )
-        sources = placed.join(fetchable.select("page_id", "html"), "page_id")
-        return file_sections(page_files(sources, files), placed, files, output_dir)
+        if match == "links":
+            pairs = placed.join(file_links, "page_id").select("site", "page_id", "file_url").distinct()
+        else:
+            pairs = page_files(placed.join(fetchable.select("page_id", "html"), "page_id"), files)
+        return file_sections(pairs, placed, files, output_dir)
 
     return SiteRun(crawled, markdown, files, stats, sections)

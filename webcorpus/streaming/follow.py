@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.logs import parse_log
 from ..operators.uploads import classify_files, select_new
@@ -31,18 +32,23 @@ def running_counts(log: DataFrame, delay: str) -> DataFrame:
     return seen.groupBy("kind").agg(F.count("*").alias("files"))
 
 
-def write_stream(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over everything available now into a Parquet folder.
+def write_stream(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", every: str | None = None
+) -> StreamingQuery:
+    """Run a stream into a Parquet folder: over what is available now, or on and on, a batch ``every`` interval.
 
     Append output uses the exactly-once file sink. Complete output replaces the
     folder with the newest totals.
     """
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger)
     if mode == "append":
         query = writer.format("parquet").option("path", path).start()
     else:
         query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
-    query.awaitTermination()
+    if not every:
+        query.awaitTermination()
+    return query
 
 
 def stream_selection(inventory: DataFrame, ledger: DataFrame, path: str, checkpoint: str) -> None:
