@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from webcorpus.operators.files import file_sections, name_files, page_files
+from webcorpus.operators.files import file_sections, name_files, page_files, with_anchors
 from webcorpus.operators.numbering import digest_chunk, running_total
 from webcorpus.operators.skew import lookup_join
 
@@ -73,8 +73,8 @@ def test_pairs_match_brute_force(spark):
         rng.shuffle(texts)
         full.append((site, i, url, "x".join(texts)))
     files = sorted(set(files))
-    found = page_files(spark.createDataFrame(full, "site string, page_id long, page_url string, html string"),
-                       spark.createDataFrame(files, "site string, file_url string"))
+    pages = spark.createDataFrame(full, "site string, page_id long, page_url string, html string")
+    found = page_files(with_anchors(pages, "page_url"), spark.createDataFrame(files, "site string, file_url string"), pages)
     expected = {(s, i, f) for s, i, u, html in full for t, f in files if s == t and (f in html or u in f)}
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == expected and len(expected) > 100

@@ -116,7 +116,14 @@ def _by_prefix(targets: DataFrame) -> DataFrame:
     return targets.withColumn("rest", F.substring("rest", 1, _LONGEST))
 
 
-def _files_in_html(tokens: DataFrame, pages: DataFrame, files: DataFrame) -> DataFrame:
+def with_anchors(pages: DataFrame, url: str = "url") -> DataFrame:
+    """Add ``anchors``: where the HTML names an absolute URL of the page's own host, up to the next blank, quote or bracket."""
+    hosted = with_once(pages, _host=url_netloc(F.col(url)))
+    own = F.filter(_anchors(F.col("html"), _PLAIN), lambda anchor: _rest(anchor).startswith(F.col("_host")))
+    return hosted.withColumn("anchors", F.array_distinct(own)).drop("_host")
+
+
+def _files_in_html(tokens: DataFrame, html: DataFrame, files: DataFrame) -> DataFrame:
     targets = with_once(files.select("site", "file_url"), rest=_rest(F.col("file_url")))
     plain = F.col("rest").rlike(f"^{_PLAIN}*$")
 
@@ -148,7 +155,7 @@ def _files_in_html(tokens: DataFrame, pages: DataFrame, files: DataFrame) -> Dat
     found = found.select("site", "page_id", "file_url")
     if starts.isEmpty():
         return found
-    checked = starts.join(pages.select("site", "page_id", "html"), ["site", "page_id"]).filter(F.contains("html", "file_url"))
+    checked = starts.join(html.select("page_id", "html"), "page_id").filter(F.contains("html", "file_url"))
     return found.unionByName(checked.drop("html"))
 
 
@@ -167,24 +174,19 @@ def _pages_in_file_urls(pages: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def page_files(pages: DataFrame, files: DataFrame) -> DataFrame:
+def page_files(pages: DataFrame, files: DataFrame, html: DataFrame) -> DataFrame:
     """Pairs (site, page_id, file_url): the file's URL stands in the page's HTML, or the page's URL in the file's.
 
-    ``pages``: site, page_id, page_url (normalised), html. ``files``: site,
-    file_url; both of the site's own domain. Exact substring semantics without
-    comparing every page of a site to every file. The HTML is read once, for
-    the URLs in it; only pages with a start of an unusual file URL are looked at
-    again.
+    ``pages``: site, page_id, page_url (normalised), anchors (see
+    ``with_anchors``). ``files``: site, file_url; both of the site's own domain.
+    Exact substring semantics without comparing every page of a site to every
+    file. ``html`` (page_id, html) is looked at only for pages with the start of
+    an unusual file URL, one with blanks, quotes or brackets.
     """
-    hosts = with_once(pages.select("site", "page_id", "page_url", "html"), host=url_netloc(F.col("page_url")))
-    tokens = materialize(
-        hosts.select("site", "page_id", "host", F.explode(_anchors(F.col("html"), _PLAIN)).alias("token"))
-        .filter(_rest(F.col("token")).startswith(F.col("host")))
-        .distinct(),
-        "tokens",
-    )
+    hosts = with_once(pages.select("site", "page_id", "page_url", "anchors"), host=url_netloc(F.col("page_url")))
+    tokens = materialize(hosts.select("site", "page_id", "host", F.explode("anchors").alias("token")), "tokens")
     owners = pages.select("site", "page_id", "page_url")
-    return _files_in_html(tokens, pages, files).unionByName(_pages_in_file_urls(owners, files)).distinct()
+    return _files_in_html(tokens, html, files).unionByName(_pages_in_file_urls(owners, files)).distinct()
 
 
 def file_sections(pairs: DataFrame, pages: DataFrame, files: DataFrame, output_dir: str, part_size: int = 1000) -> DataFrame:

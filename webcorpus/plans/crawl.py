@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.urls import is_downloadable, is_same_domain, is_valid_url, normalize_url
+from ..operators.files import with_anchors
 from ..operators.html import parse_pages
 from ..operators.links import classify_links, explode_links, unvisited
 from ..operators.numbering import running_total
@@ -34,8 +35,8 @@ def fetchable_pages(pages: DataFrame, policies: DataFrame | None = None) -> Data
 
 
 def parse_archive(fetchable: DataFrame) -> DataFrame:
-    """Parse every fetchable page once: page_id, url, title, markdown, links."""
-    return parse_pages(fetchable, keep=("page_id", "url"))
+    """The one pass over the HTML: page_id, url, anchors, title, markdown, links."""
+    return parse_pages(with_anchors(fetchable), keep=("page_id", "url", "anchors"))
 
 
 def link_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -197,7 +197,7 @@ def file_names(spark, sf_dir):
 def page_files(spark, sf_dir):
     pages = table(spark, sf_dir, "mentions")
     files = _named_files(spark, sf_dir)
-    pairs = file_ops.page_files(pages, files)
+    pairs = file_ops.page_files(file_ops.with_anchors(pages, "page_url"), files, pages)
     return file_ops.file_sections(pairs, pages.drop("html"), files, OUT, part_size=20).select(
         "page_id", "page_url", "part", "n_files", "section"
     )
@@ -209,7 +209,7 @@ def page_file_links(spark, sf_dir):
     files = _named_files(spark, sf_dir)
     places = with_once(pages.select("page_id", "page_url"), md_dir=markdown_dir(F.col("page_url"), OUT))
     return (
-        file_ops.page_files(pages, files)
+        file_ops.page_files(file_ops.with_anchors(pages, "page_url"), files, pages)
         .join(files.select("site", "file_url", "local_path"), ["site", "file_url"])
         .join(places, "page_id")
         .select("page_id", "file_url", base_name(F.col("local_path")).alias("name"), relative_path(F.col("local_path"), F.col("md_dir")).alias("rel_path"))

@@ -98,7 +98,7 @@ def run_sites(
         if match == "links":
             pairs = placed.join(file_links, "page_id").select("site", "page_id", "file_url").distinct()
         else:
-            pairs = page_files(placed.join(fetchable.select("page_id", "html"), "page_id"), files)
+            pairs = page_files(placed.join(parsed.select("page_id", "anchors"), "page_id"), files, fetchable)
         return file_sections(pairs, placed, files, output_dir)
 
     return SiteRun(crawled, markdown, files, stats, sections)
