@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules
+from . import ngram_jaccard, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op5_quality_rules,)
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.link(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op2_ngram_jaccard, op5_quality_rules,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
