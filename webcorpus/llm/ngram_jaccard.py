@@ -338,6 +338,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
         "jaccard-decisions",
     )
     own = F.col("doc_id") == F.col("_id")
-    once = docs.join(ids.hint("shuffle_hash"), own, "left_anti")
-    repeated = docs.join(ids.filter("_repeated and not _drop").hint("shuffle_hash"), own, "left_semi").dropDuplicates(["doc_id"])
+    once = docs.join(ids, own, "left_anti")
+    repeated = docs.join(ids.filter("_repeated and not _drop"), own, "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(repeated)
