@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, ngram_jaccard, quality_rules
+from . import decontamination, ngram_jaccard, quality_rules, sanitisation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op2_ngram_jaccard, op5_quality_rules, op8_benchmark_decontamination)
+def op10_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitisation.digest(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op2_ngram_jaccard, op5_quality_rules, op8_benchmark_decontamination, op10_sanitisation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
