@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, ngram_jaccard, quality_rules, sanitisation
+from . import decontamination, ngram_jaccard, quality_rules, sanitisation, sentencepiece_lattice
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,13 @@ def op10_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitisation.digest(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op2_ngram_jaccard, op5_quality_rules, op8_benchmark_decontamination, op10_sanitisation)
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_lattice.read_model(sentencepiece_lattice.default_model())
+    encoded = sentencepiece_lattice.encode(_table(spark, sf_dir, "documents"), model)
+    return encoded.withColumn("decoded_md5", F.md5(sentencepiece_lattice.decode(F.col("ids"), model)))
+
+
+_ALL = (op1_sentencepiece, op2_ngram_jaccard, op5_quality_rules, op8_benchmark_decontamination, op10_sanitisation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
