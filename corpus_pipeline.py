@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webcorpus.llm import quality_rules
+from webcorpus.llm import decontamination, ngram_jaccard, quality_rules, sanitisation, sentencepiece_lattice
 from webcorpus.session import materialize
 
 
@@ -17,9 +17,36 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", good)]
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that similarity links connect."""
+    return ngram_jaccard.keep_first(docs)
 
-ORACLE_SQL = None  # SQL has no SentencePiece
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontamination.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and what discloses it replaced."""
+    return sanitisation.sanitise(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces and the ids of the pieces."""
+    model = sentencepiece_lattice.read_model(sentencepiece_lattice.default_model())
+    return sentencepiece_lattice.encode(docs, model)
+
+
+STAGES = [
+    ("quality_rules", good),
+    ("ngram_jaccard", distinct),
+    ("decontamination", clean),
+    ("sanitisation", private),
+    ("sentencepiece", encoded),
+]
+
+ORACLE_SQL = None  # SQL expresses neither the merges of SentencePiece nor spaced seeds
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
