@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, ngram_jaccard, quality_rules, sanitisation, sentencepiece_lattice
+from . import decontamination, ngram_jaccard, quality_rules, repeated_bytes, sanitisation, sentencepiece_lattice
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.withColumn("decoded_md5", F.md5(sentencepiece_lattice.decode(F.col("ids"), model)))
 
 
-_ALL = (op1_sentencepiece, op2_ngram_jaccard, op5_quality_rules, op8_benchmark_decontamination, op10_sanitisation)
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_sentencepiece, op9_suffix_dedup, op2_ngram_jaccard, op5_quality_rules, op8_benchmark_decontamination, op10_sanitisation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
