@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, ngram_jaccard, quality_rules, repeated_bytes, sanitisation, sentencepiece_lattice
+from . import decontamination, license_scan, ngram_jaccard, quality_rules, repeated_bytes, sanitisation, sentencepiece_lattice, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,15 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_sentencepiece, op9_suffix_dedup, op2_ngram_jaccard, op5_quality_rules, op8_benchmark_decontamination, op10_sanitisation)
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_sentencepiece, op3_license_scan, op6_token_counts, op9_suffix_dedup, op2_ngram_jaccard, op5_quality_rules, op8_benchmark_decontamination, op10_sanitisation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
