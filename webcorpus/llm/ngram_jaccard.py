@@ -8,15 +8,17 @@ sizes a and b:
   one link per member, to its smallest member, and nothing is compared.
 * **Heavy sets** meet in inverted lists. Only the first shingles of a set in a
   global order are listed: among them linked sets share at least ``k``. The
-  order is that of the hashes, with shingles of long lists last, so that lines
-  which a large part of the corpus shares are hardly ever listed.
+  order puts shingles that recur after those that don't, and shingles of long
+  lists last, so that most lists have one member and are dropped, and lines
+  which a large part of the corpus shares are hardly ever listed. Within these
+  classes it is the order of the hashes.
 
 The boundary is the largest size whose subsets cost less than its lists.
 
 A list is scanned from both ends. First each member meets only the list's
 leader, a number of comparisons in proportion to the list; what they link are
-components. Then sets that share ``k`` listed shingles and are still in
-different components are all compared. The components are those of all pairs,
+components. Then sets that share as many listed shingles as linked sets must
+and are still in different components are all compared. The components are those of all pairs,
 though a group of thousands of copies costs thousands of comparisons, not
 their square. Equal sets are one set throughout.
 
@@ -44,14 +46,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from . import bytehash
-from .bitmaps import Filter, key_filter, mixed_id
+from .bitmaps import BITS, Filter, key_filter, mixed_id
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SIZE = 5
 PERCENT = 75
-LONG_LIST = 24  # a list of more members puts its shingle at the end of the order
+LONG_LIST = 24  # shingles of more sets come last in the order
 SCAN_COST = 16  # comparisons and rows that a listed shingle costs, for the boundary
 STAR_ROUNDS = 2
 
@@ -111,10 +113,11 @@ def _lists_of(column: pa.Array) -> list[np.ndarray]:
     return [values[a:z] for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _sets(docs: DataFrame, size: int, percent: int, shape: str, ids: Filter | None = None, late: Filter | None = None) -> DataFrame:
-    """(id, n, k1, k2, tokens) of each row: its set's size, fingerprint and, by ``shape``, listed shingles or all.
+def _sets(docs: DataFrame, size: int, percent: int, shape: str, ids: Filter | None = None, order: list[Filter] | None = None) -> DataFrame:
+    """(id, n, k1, k2, tokens) of each row: its set's size, fingerprint and, by ``shape``, listed shingles, those to count for the order, all or none.
 
-    Light sets are always whole. With ``ids`` only rows whose id it holds; with ``late`` shingles that it holds come last in the order.
+    Of light sets all are listed. With ``ids`` only rows whose id it holds; shingles come the later in the order, the more
+    of the filters in ``order`` hold them.
     """
 
     limit = boundary(percent)
@@ -131,9 +134,13 @@ def _sets(docs: DataFrame, size: int, percent: int, shape: str, ids: Filter | No
                 k1 = np.array([bytehash.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 k2 = np.array([bytehash.mix(~s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 n = np.array([len(s) for s in sets], np.int64)
+                if shape == "none":
+                    sets = [s[:0] for s in sets]
+                if shape == "counted":  # somewhat more than what is listed, which the order will move
+                    sets = [s[: 5 * listed(len(s), percent) // 4] for s in sets]
                 if shape == "listed":
-                    if late is not None:
-                        sets = [s[np.argsort(late.holds(s), kind="stable")] for s in sets]
+                    if order:
+                        sets = [s[np.argsort(sum(f.holds(s).astype(np.int8) for f in order), kind="stable")] for s in sets]
                     sets = [s[: listed(len(s), percent)] if len(s) > limit else s for s in sets]
                 rows = pa.array(np.flatnonzero(wanted) + a)
                 yield pa.RecordBatch.from_arrays(
@@ -144,22 +151,29 @@ def _sets(docs: DataFrame, size: int, percent: int, shape: str, ids: Filter | No
     return docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, tokens array<long>")
 
 
-def _to_list(sets: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Light sets cut to their listed shingles too, for their partners among the heavy sets."""
-    n = F.col("n")
-    cut = n - F.ceil(n * percent / 100) + _k("n")
-    return sets.withColumn("tokens", F.when(n <= limit, F.slice("tokens", 1, cut.cast("int"))).otherwise(F.col("tokens")))
+def _id_filter(rows: DataFrame) -> Filter:
+    return key_filter(rows.select(F.col("id").bitwiseXOR(F.shiftrightunsigned("id", BITS)).alias("key")), "key")
 
 
-def _mark_late(sets: DataFrame, late: Filter) -> DataFrame:
-    """``sets`` with ``stale``: whether a listed shingle is one of a long list."""
+def _frequent(sets: DataFrame) -> DataFrame:
+    """(at, c): in how many sets the shingles of a filter position are listed."""
+    at = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("at")
+    return sets.select(F.explode("tokens").alias("h")).groupBy(at).agg(F.count(F.lit(1)).alias("c"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stale = [bool(late.holds(t).any()) for t in _lists_of(batch.column("tokens"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stale, pa.bool_())], names=[*batch.schema.names, "stale"])
 
-    return sets.mapInArrow(run, "id long, n long, tokens array<long>, stale boolean")
+def _order(counted: DataFrame) -> list[Filter]:
+    """Filters of the shingles that recur and of those that recur often. Listing the others first leaves few lists."""
+    frequent = materialize(_frequent(counted).filter("c > 1"), "jaccard-frequent")
+    return [key_filter(frequent, "at"), key_filter(frequent.filter(F.col("c") > LONG_LIST), "at")]
+
+
+def _to_list(sets: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Sets that may have heavy partners; light ones among them, which come whole, cut to their listed shingles."""
+    n = F.col("n")
+    cut = n - F.ceil(n * percent / 100) + _k("n")
+    return sets.filter(100 * n >= percent * (limit + 1)).withColumn(
+        "tokens", F.when(n <= limit, F.slice("tokens", 1, cut.cast("int"))).otherwise(F.col("tokens"))
+    )
 
 
 def _members(sets: DataFrame, recurring: Filter) -> DataFrame:
@@ -205,9 +219,8 @@ def _subset_links(light: DataFrame, percent: int, limit: int) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the written ``pairs`` (a, b) whose sets are similar, from the texts."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = key_filter(ends.select(F.col("id").bitwiseXOR(F.shiftrightunsigned("id", 26)).alias("key")), "key")
-    sets = _sets(docs, size, percent, "all", ids=wanted).select("id", "tokens")
-    sets = materialize(sets.join(ends, "id", "left_semi"), "jaccard-sets")
+    wanted = _id_filter(ends)
+    sets = materialize(_sets(docs, size, percent, "all", ids=wanted).select("id", "tokens"), "jaccard-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,6 +255,17 @@ def _k(n: str):
     return F.least(F.greatest(F.floor(F.col(n) / 16), F.lit(1)), F.lit(4))
 
 
+def _shared_enough(a: str, b: str, percent: int):
+    """How many listed shingles two linked sets of sizes a and b share at least.
+
+    Up to the end of the shorter-reaching list, all common shingles are listed
+    in both; past it, that set has no more left than it doesn't list.
+    """
+    overlap = F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent))
+    unlisted = [F.ceil(F.col(n) * percent / 100) - _k(n) for n in (a, b)]
+    return F.greatest(F.lit(1), overlap - F.greatest(*unlisted))
+
+
 def _star_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each set the leader that it shares most lists with, out of one leader per list."""
     rank = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
@@ -252,15 +276,15 @@ def _star_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
         .select("id", "n", F.col("lead.id").alias("other"), F.col("lead.n").alias("other_n"))
         .filter(_size_fits("n", "other_n", percent))
         .groupBy("id", "other")
-        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least(_k("n"), _k("other_n"))).alias("k"))
-        .filter("shared >= k")
+        .agg(F.count(F.lit(1)).alias("shared"), F.min(_shared_enough("n", "other_n", percent)).alias("enough"))
+        .filter("2 * shared >= enough")  # other leaders may hold the rest
     )
     best = met.groupBy("id").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
     return best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Every pair that shares k lists and lies in two components."""
+    """Every pair that shares as many lists as linked sets must and lies in two components."""
     parts = lists.groupBy("h", "component").agg(F.count(F.lit(1)).alias("members")).drop("members")
     meets = parts.select("h", F.col("component").alias("c1")).join(parts.select("h", F.col("component").alias("c2")), "h").filter("c1 < c2")
     x = lists.select("h", F.col("component").alias("c1"), F.col("id").alias("x"), F.col("n").alias("nx"))
@@ -270,8 +294,8 @@ def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
         .join(y, ["h", "c2"])
         .filter(_size_fits("nx", "ny", percent))
         .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least(_k("nx"), _k("ny"))).alias("k"))
-        .filter("shared >= k")
+        .agg(F.count(F.lit(1)).alias("shared"), F.min(_shared_enough("nx", "ny", percent)).alias("enough"))
+        .filter("shared >= enough")
         .select("a", "b")
     )
 
@@ -280,35 +304,20 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SI
     """(id, n_shingles, component_id) for every row of ``docs``."""
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     limit = boundary(percent)
-    every = materialize(_sets(docs, size, percent, "listed"), "jaccard-listed")
     keys = ["k1", "k2", "n"]
+    every = materialize(_sets(docs, size, percent, "none").drop("tokens"), "jaccard-digests")
     nodes = every.filter("n > 0 and id is not null")
-    # One node per distinct set: the smallest id that has it.
+    # One node per distinct set: the smallest id that has it. Only these are listed, but for a few that the filter lets pass.
+    heads = materialize(nodes.groupBy(*keys).agg(F.min("id").alias("id")), "jaccard-heads")
+    copies = nodes.withColumnRenamed("id", "b").join(heads.withColumnRenamed("id", "a"), keys).filter("a <> b").select("a", "b")
+    once = _id_filter(heads)
+    order = _order(_sets(docs, size, percent, "counted", ids=once))
     sets = materialize(
-        nodes.groupBy(*keys).agg(F.min(F.struct("id", "tokens")).alias("_first")).select("_first.id", "n", "_first.tokens", *keys[:2]),
-        "jaccard-nodes",
-    )
-    heads = sets.select(F.col("id").alias("a"), *keys)
-    copies = nodes.select(F.col("id").alias("b"), *keys).join(heads, keys).filter("a <> b").select("a", "b")
-
-    heavy = _to_list(sets.filter(100 * F.col("n") >= percent * (limit + 1)).select("id", "n", "tokens"), percent, limit)
-    tokens = heavy.select(F.explode("tokens").alias("h"))
-    late = key_filter(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LONG_LIST), "h")
-    marked = _mark_late(heavy, late)
-    stale = materialize(marked.filter("stale").select("id"), "jaccard-stale")
-    ids = key_filter(stale.select(F.col("id").bitwiseXOR(F.shiftrightunsigned("id", 26)).alias("key")), "key")
-    again = (
-        _sets(docs, size, percent, "listed", ids=ids, late=late)
-        .join(sets.join(stale, "id", "left_semi").select("id", *keys), ["id", *keys], "left_semi")
-        .dropDuplicates(["id", *keys])
-        .select("id", "n", "tokens")
-    )
-    again = _to_list(again, percent, limit)
-    ordered = materialize(marked.filter("not stale").select("id", "n", "tokens").union(again), "jaccard-ordered")
-    recurring = key_filter(
-        ordered.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "h"
+        _sets(docs, size, percent, "listed", ids=once, order=order).filter("n > 0 and id is not null").select("id", "n", "tokens"),
+        "jaccard-listed",
     )
-    members = _members(ordered, recurring)
+    heavy = _to_list(sets, percent, limit)
+    members = _members(heavy, key_filter(_frequent(heavy).filter("c > 1"), "at"))
 
     light = sets.filter(F.col("n") <= limit).select("id", "n", "tokens")
     links = materialize(_subset_links(light, percent, limit), "jaccard-links")
