@@ -141,12 +141,18 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, text long, n_bytes long")
 
 
-def _cells(docs: DataFrame, turn: int, texts: Filter, parents: Filter | None, recurring: Filter | None) -> DataFrame:
-    """Cells of one pass, of texts that the first filter holds."""
+def _heads(batch: pa.RecordBatch, a: int, z: int, ids: Filter) -> np.ndarray:
+    """Whether each row may be the one that stands for its text; rows without an id may."""
+    column = batch.column(0).slice(a, z - a)
+    return ids.holds(mixed_id(column.fill_null(0).to_numpy(zero_copy_only=False))) | column.is_null().to_numpy(zero_copy_only=False)
+
+
+def _cells(docs: DataFrame, turn: int, ids: Filter, texts: Filter, parents: Filter | None, recurring: Filter | None) -> DataFrame:
+    """Cells of one pass, of rows and texts that the first filters hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, scan in _scans(batches):
-            wanted = texts.holds(scan.keys)
+        for batch, a, z, scan in _scans(batches):
+            wanted = _heads(batch, a, z, ids) & texts.holds(scan.keys)
             if wanted.any():
                 cells = scan.cells(wanted, turn, parents)
                 keep = recurring.holds(cells["core"]) if recurring is not None else slice(None)
@@ -155,12 +161,12 @@ def _cells(docs: DataFrame, turn: int, texts: Filter, parents: Filter | None, re
     return docs.mapInArrow(run, _CELL)
 
 
-def _positions(docs: DataFrame) -> DataFrame:
+def _positions(docs: DataFrame, ids: Filter) -> DataFrame:
     """(at): the filter position of every core of the first pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, scan in _scans(batches):
-            core = scan.cells(np.ones(len(scan.keys), bool), 0, None)["core"]
+        for batch, a, z, scan in _scans(batches):
+            core = scan.cells(_heads(batch, a, z, ids), 0, None)["core"]
             yield pa.RecordBatch.from_arrays([pa.array((core & np.uint64((1 << BITS) - 1)).astype(np.int32))], names=["at"])
 
     return docs.mapInArrow(run, "at int")
@@ -218,12 +224,12 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
 
     # One document stands for each text, and is scanned; that the filter lets some copies pass changes nothing.
     heads = texts.groupBy("text").agg(F.min("id").alias("id")).select(F.col("id").bitwiseXOR(F.shiftrightunsigned("id", BITS)).alias("key"))
-    docs_once = _only(docs, key_filter(heads.filter("key is not null"), "key"))
-    counted = _positions(docs_once).groupBy("at").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    ids = key_filter(heads.filter("key is not null"), "key")
+    counted = _positions(docs, ids).groupBy("at").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     recurring, parents = key_filter(counted, "at"), None
     wanted = key_filter(texts, "text")
     for turn in range(len(_WIDTHS)):
-        cells = materialize(_cells(docs_once, turn, wanted, parents, recurring), "repeats-cells")
+        cells = materialize(_cells(docs, turn, ids, wanted, parents, recurring), "repeats-cells")
         digits = cells.groupBy("core", "full").agg(F.min("cell").alias("first"), F.max("cell").alias("last"))
         digits = materialize(digits, "repeats-digits")
         equal = digits.filter("first <> last").select("core", "full")
@@ -236,14 +242,3 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     spans = materialize(spans.groupBy("text").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats-spans")
     found = _removed(docs, spans, key_filter(spans, "text"))
     return found.select(F.col("id").alias(id), "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
-
-
-def _only(docs: DataFrame, ids: Filter) -> DataFrame:
-    """Documents whose id the filter may hold; those without an id pass."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbers = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            keep = ids.holds(mixed_id(numbers)) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, "id long, content string")
