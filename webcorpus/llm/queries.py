@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, license_scan, ngram_jaccard, quality_rules, repeated_bytes, sanitisation, sentencepiece_lattice, token_counts
+from . import decontamination, html_extraction, license_scan, ngram_jaccard, quality_rules, repeated_bytes, sanitisation, sentencepiece_lattice, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_sentencepiece, op3_license_scan, op6_token_counts, op9_suffix_dedup, op2_ngram_jaccard, op5_quality_rules, op8_benchmark_decontamination, op10_sanitisation)
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+_ALL = (
+    op1_sentencepiece,
+    op2_ngram_jaccard,
+    op3_license_scan,
+    op4_html_extraction,
+    op5_quality_rules,
+    op6_token_counts,
+    op7_toxicity,
+    op8_benchmark_decontamination,
+    op9_suffix_dedup,
+    op10_sanitisation,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

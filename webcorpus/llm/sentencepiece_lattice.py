@@ -44,7 +44,9 @@ from ..functions.once import with_once
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LONGEST = 60  # characters of a word whose boundaries fit one long
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000  # of a block of documents
+TASK_CHARS = 4_000_000  # of text whose distinct words go to one task of the lattice
+_MOST_WORDS = 1_000_000  # that a task holds before it passes them on
 _BLANK = "▁"
 
 
@@ -93,42 +95,82 @@ def read_model(path: str, merges: bool = True) -> Model:
     )
 
 
-def _words_of_blocks(blocks: DataFrame, pattern: str) -> DataFrame:
-    """(block, word): the distinct words of each batch of documents that the lattice takes."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """(block, payload): the rows of each block in each batch as one compressed Arrow stream, which halves what is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern).findall
         for batch in batches:
-            found: dict[int, set[str]] = {}
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
-                if text := text.as_py():
-                    found.setdefault(block, set()).update(find(_BLANK + text.replace(" ", _BLANK)))
+            numbers = batch.column("block").to_numpy()
+            rows = batch.drop_columns(["block"])
+            found = {int(b): _to_bytes(rows.take(pa.array((numbers == b).nonzero()[0]))) for b in set(numbers.tolist())}
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["block", "payload"])
+
+    return docs.mapInArrow(run, "block long, payload binary")
+
+
+def _to_bytes(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all()
+
+
+def _words_of_blocks(packed: DataFrame, pattern: str) -> DataFrame:
+    """(block, word): the distinct words of each block that the lattice takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).findall
+        found: dict[int, set[str]] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
             for block, words in found.items():
-                words = [w for w in words if len(w) <= LONGEST]
+                words = sorted(w for w in words if 1 < len(w) <= LONGEST)
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(words, pa.string())], names=["block", "word"])
+            found.clear()
+
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
+                words = found.setdefault(block, set())
+                for text in _from_bytes(payload.as_py()).column("text"):
+                    if text := text.as_py():
+                        words.update(find(_BLANK + text.replace(" ", _BLANK)))
+                if sum(map(len, found.values())) > _MOST_WORDS:
+                    yield from rows()  # words that come again are equal rows
+        yield from rows()
+
+    return packed.mapInArrow(run, "block long, word string")
 
-    return blocks.mapInArrow(run, "block long, word string")
 
+def _lattice(words: DataFrame, pieces: DataFrame, n_tasks: int) -> DataFrame:
+    """Each distinct (block, word) with the edges of its lattice over two characters or more, best rank first, then leftmost.
 
-def _lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Each distinct (block, word) with the edges of its lattice, best rank first, then leftmost."""
+    While rows are sorted by word an edge is one long; afterwards a struct.
+    """
     longest = pieces.agg(F.max(F.length("piece"))).scalar()
-    spans = words.distinct().withColumn("n", F.length("word"))
-    spans = spans.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    spans = spans.select("*", F.explode(F.sequence(F.lit(1), F.least(longest, F.col("n") - F.col("start")))).alias("length"))
+    n = F.length("word")
+    spans = words.repartition(n_tasks, "block", "word").distinct()
+    spans = spans.select("*", F.explode(F.sequence(F.lit(0), n - 2)).alias("start"))
+    spans = spans.select("*", F.explode(F.sequence(F.lit(2), F.least(longest, n - F.col("start")))).alias("length"))
     spans = spans.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("length")))
-    end = F.col("start") + F.col("length")
+    left = lambda value, by: F.shiftleft(value.cast("long"), by)
+    key = left(F.col("rank"), 32).bitwiseOR(left(F.col("start"), 26)).bitwiseOR(left(F.col("start") + F.col("length"), 20)).bitwiseOR(F.col("id"))
+    known = spans.join(F.broadcast(pieces.select("piece", "id", "rank")), "piece").groupBy("block", "word")
+    keys = known.agg(F.array_sort(F.collect_list(key)).alias("keys"))
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    edge = F.struct(
-        "rank",
-        "start",
-        end.alias("end"),
-        bit(F.col("start")).bitwiseOR(bit(end)).alias("ends"),
-        (bit(end) - bit(F.col("start") + 1)).alias("inner"),
-        "score",
-        "id",
-    )
-    return spans.join(F.broadcast(pieces), "piece").groupBy("block", "word", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+    def edge(k: Column) -> Column:
+        start = F.shiftright(k, 26).bitwiseAND(63).cast("int")
+        end = F.shiftright(k, 20).bitwiseAND(63).cast("int")
+        return F.struct(
+            start.alias("start"), end.alias("end"), bit(start).bitwiseOR(bit(end)).alias("ends"), (bit(end) - bit(start + 1)).alias("inner"),
+            k.bitwiseAND((1 << 20) - 1).cast("int").alias("id"),
+        )
+
+    return keys.select("block", "word", n.alias("n"), F.transform("keys", edge).alias("edges"))
 
 
 def _merged(edges: Column, n: Column) -> Column:
@@ -143,8 +185,14 @@ def _merged(edges: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), every, step)
 
 
-def _best_path(edges: Column, n: Column, unknown_score: float) -> Column:
-    """Viterbi over positions: the boundaries of the best sum of scores, as bits. Uncovered characters stand alone."""
+def _constant(values: list, kind: str) -> Column:
+    """An array that the optimizer folds into one constant."""
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").cast(f"array<{kind}>")
+
+
+def _best_path(edges: Column, n: Column, word: Column, model: Model, lowest: float) -> Column:
+    """Viterbi over positions: the boundaries of the best sum of scores, as bits. Characters without a piece score lowest."""
+    scores = _constant(model.scores, "double")
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("bits")))
 
     def step(states: Column, end: Column) -> Column:
@@ -153,24 +201,40 @@ def _best_path(edges: Column, n: Column, unknown_score: float) -> Column:
             bits = before["bits"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), end))
             return F.struct((before["score"] + score).alias("score"), bits.alias("bits"))
 
-        arriving = F.transform(F.filter(edges, lambda e: e["end"] == end), lambda e: extended(e["start"], e["score"]))
-        alone = F.when(~F.exists(edges, lambda e: (e["end"] == end) & (e["start"] == end - 1)), F.array(extended(end - 1, F.lit(unknown_score))))
-        none = F.array().cast("array<struct<score:double,bits:bigint>>")
-        return F.array_append(states, F.array_max(F.concat(arriving, F.coalesce(alone, none))))
+        arriving = F.transform(F.filter(edges, lambda e: e["end"] == end), lambda e: extended(e["start"], F.get(scores, e["id"])))
+        alone = extended(end - 1, F.coalesce(F.get(scores, _character(F.substring(word, end, F.lit(1)), model)), F.lit(lowest)))
+        return F.array_append(states, F.array_max(F.concat(arriving, F.array(alone))))
 
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda states: F.get(states, n)["bits"])
 
 
+def _character(c: Column, model: Model) -> Column:
+    """The id of a one-character piece, or null."""
+    ids = {p: i for i, (p, normal) in enumerate(zip(model.pieces, model.normal, strict=True)) if normal and len(p) == 1}
+    table: list[int | None] = [None] * (max((ord(p) for p in ids if ord(p) < 1 << 16), default=0) + 1)
+    far = []
+    for p, i in ids.items():
+        if ord(p) < 1 << 16:
+            table[ord(p)] = i
+        else:
+            far += [F.lit(ord(p)), F.lit(i)]
+    near = F.nullif(F.get(F.split(F.lit(",".join("" if i is None else str(i) for i in table)), ","), F.ascii(c)), F.lit(""))
+    found = near.cast("int")
+    return F.coalesce(found, F.element_at(F.create_map(*far), F.ascii(c))) if far else found
+
+
 def _pieces_between(bits: Column, edges: Column, word: Column, n: Column, model: Model) -> Column:
-    """The ids of the parts between the boundaries; a part without an edge is one character, spelt in bytes."""
+    """The ids of the parts between the boundaries; a character without a piece is spelt in bytes."""
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.getbit(bits, i) == 1)
     parts = F.zip_with(starts, F.concat(F.slice(starts, 2, F.size(starts)), F.array(n)), lambda a, z: F.struct(a.alias("a"), z.alias("z")))
 
     def ids(part: Column) -> Column:
-        piece = F.get(F.filter(edges, lambda e: (e["start"] == part["a"]) & (e["end"] == part["z"])), 0)["id"]
+        single = F.substring(word, part["a"] + 1, F.lit(1))
+        edge = F.get(F.filter(edges, lambda e: (e["start"] == part["a"]) & (e["end"] == part["z"])), 0)["id"]
+        piece = F.when(part["z"] - part["a"] == 1, _character(single, model)).otherwise(edge)
         if model.bytes_from is None:
             return F.array(F.coalesce(piece, F.lit(model.unknown)))
-        code = F.hex(F.encode(F.substring(word, part["a"] + 1, F.lit(1)), "UTF-8"))
+        code = F.hex(F.encode(single, "UTF-8"))
         spelt = F.transform(
             F.sequence(F.lit(1), F.length(code), F.lit(2)),
             lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + model.bytes_from,
@@ -207,12 +271,13 @@ def encode(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
     docs = docs.select(F.col(id).alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n_blocks = chars // BLOCK_CHARS + 1
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("row_id", "text"), F.lit(n_blocks))).repartition("block")
+    blocks = _packed(docs.withColumn("block", F.pmod(F.xxhash64("row_id", "text"), F.lit(n_blocks)))).repartition("block")
 
-    edges = with_once(_lattice(_words_of_blocks(blocks, pattern), pieces), word_edges=F.col("edges"))
+    words = _words_of_blocks(blocks, pattern)
+    edges = with_once(_lattice(words, pieces, chars // TASK_CHARS + 1), word_edges=F.col("edges"))
     e, n = F.col("word_edges"), F.col("n")
     lowest = min(model.scores) - 10.0
-    bits = _merged(e, n) if model.merges else _best_path(e, n, lowest)
+    bits = _merged(e, n) if model.merges else _best_path(e, n, F.col("word"), model, lowest)
     encoded = with_once(edges.select("block", "word", "n", "word_edges"), bits=bits).select(
         "block", "word", _pieces_between(F.col("bits"), e, F.col("word"), n, model).alias("ids")
     )
@@ -242,6 +307,7 @@ def encode(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
             flat, at = ids.values.cast(pa.int32()).to_numpy().tobytes(), ids.offsets.to_pylist()
             known.update(zip(chunk.column("word").to_pylist(), [flat[4 * a : 4 * z] for a, z in zip(at, at[1:])], strict=True))
         rows = []
+        left = pa.concat_tables([_from_bytes(p.as_py()) for p in left.column("payload")])
         for text in left.column("text"):
             text = text.as_py()
             rows.append(b"".join(map(known.__getitem__, find(_BLANK + text.replace(" ", _BLANK)))) if text else b"")
