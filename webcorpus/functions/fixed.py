@@ -74,7 +74,7 @@ URL_RE = "(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:[?]([^#
 # Latin letters that fold to more than one ASCII letter.
 LATIN_DIGRAPHS = {
     "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th",
-    "ĳ": "ij", "Ĳ": "IJ",
+    "ĳ": "ij", "Ĳ": "IJ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
 }
 
 
@@ -82,13 +82,14 @@ def latin_fold() -> tuple[str, str]:
     """Latin letters with marks and the ASCII letter each folds to.
 
     Built from the Unicode decompositions of Latin-1 to Latin Extended-B and
-    Additional, plus the few stroke letters that have no decomposition.
+    Additional and of the full-width forms, plus the few stroke letters that
+    have no decomposition.
     """
     strokes = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H",
                "ŧ": "t", "Ŧ": "T", "ð": "d", "Ð": "D", "ı": "i"}
     pairs = dict(strokes)
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF10, 0xFF5B)]:
         base = unicodedata.normalize("NFKD", chr(code))[0]
-        if base.isascii() and base.isalpha() and chr(code) not in LATIN_DIGRAPHS:
+        if base.isascii() and base.isalnum() and chr(code) not in LATIN_DIGRAPHS:
             pairs[chr(code)] = base
     return "".join(pairs), "".join(pairs.values())

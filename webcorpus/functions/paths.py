@@ -21,11 +21,15 @@ _FOLD_FROM, _FOLD_TO = latin_fold()
 def slug(part: Column) -> Column:
     """Lower-case ASCII words joined by dashes.
 
-    Exact for ASCII and for Latin letters with marks. A letter of any other
+    Exact for ASCII and for Latin letters with marks, composed or not, for
+    typographic punctuation and the common named entities. A letter of any other
     script becomes the hex of its UTF-8 bytes: stable and unique, though not
     the romanisation a transliteration library would give.
     """
-    text = F.translate(part, _FOLD_FROM, _FOLD_TO)
+    text = F.regexp_replace(part, "&(?:amp|lt|gt|quot|nbsp);", "-")
+    text = F.regexp_replace(text, "[\\u0300-\\u036F\\u2018-\\u201B]", "")  # combining marks; quotes within words
+    text = F.regexp_replace(text, "[\\u2000-\\u206F]", "-")
+    text = F.translate(text, _FOLD_FROM, _FOLD_TO)
     for letter, plain in LATIN_DIGRAPHS.items():
         text = F.replace(text, F.lit(letter), F.lit(plain))
     foreign = F.array_join(

@@ -85,10 +85,10 @@ def name_files(files: DataFrame, output_dir: str) -> DataFrame:
 
 
 # A URL found inside a text is looked up by what follows its "://": the text
-# gives every prefix of that rest, and an equi-join finds the URLs among them.
+# gives the prefixes of that rest that are as long as a URL of the site is, by
+# hash, and an equi-join finds the URLs among them.
 _RUN = "[A-Za-z0-9+.-]"
 _PLAIN = "[^\\s\"'<>]"
-_LONGEST = 2048
 
 
 def _anchors(text: Column, rest: str) -> Column:
@@ -104,16 +104,18 @@ def _rest(anchor: Column) -> Column:
     return F.substring(anchor, F.length(_scheme(anchor)) + 4, F.length(anchor))
 
 
-def _prefixes(rest: Column, host: Column) -> Column:
-    """Prefixes of ``rest`` from the bare host on."""
-    longest = F.least(F.length(rest), F.lit(_LONGEST))
-    sizes = F.when(longest >= F.length(host), F.sequence(F.length(host), longest)).otherwise(F.array())
-    return F.transform(sizes, lambda n: F.substring(rest, F.lit(1), n))
+def _lookup(probes: DataFrame, targets: DataFrame, spread_by: str) -> DataFrame:
+    """Rows of ``probes`` and ``targets`` (both with site and rest) where the target's rest begins the probe's.
 
-
-def _by_prefix(targets: DataFrame) -> DataFrame:
-    """Key longer rests by their longest prefix tried; the join's caller checks the remainder."""
-    return targets.withColumn("rest", F.substring("rest", 1, _LONGEST))
+    A probe has one key for each length that a target of its site has, however
+    long, so keys grow with the number of lengths and not of characters.
+    """
+    sizes = targets.groupBy("site").agg(F.collect_set(F.length("rest")).alias("_sizes"))
+    keyed = probes.join(sizes, "site").withColumn("_size", F.explode(F.filter("_sizes", lambda n: n <= F.length("rest"))))
+    keyed = keyed.withColumn("_key", F.xxhash64(F.substring(F.col("rest"), F.lit(1), F.col("_size")))).drop("_sizes", "_size")
+    whole = targets.withColumnRenamed("rest", "_rest").withColumn("_key", F.xxhash64("_rest"))
+    found = lookup_join(keyed, whole, ["site", "_key"], [spread_by], "inner")
+    return found.filter(F.col("rest").startswith(F.col("_rest"))).drop("_key", "_rest")
 
 
 def with_anchors(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -128,14 +130,11 @@ def _files_in_html(tokens: DataFrame, html: DataFrame, files: DataFrame) -> Data
     plain = F.col("rest").rlike(f"^{_PLAIN}*$")
 
     # A file URL without blanks, quotes or angle brackets is a prefix of a token.
-    probes = tokens.select("site", "host", "token").distinct().withColumn(
-        "rest", F.explode(_prefixes(_rest(F.col("token")), F.col("host")))
-    )
+    probes = tokens.select("site", "token").distinct().withColumn("rest", _rest(F.col("token")))
     # Short prefixes are shared by all tokens of a site, hence the salted join.
     hits = materialize(
-        lookup_join(probes, _by_prefix(targets.filter(plain)), ["site", "rest"], ["token"], "inner")
+        _lookup(probes, targets.filter(plain), "token")
         .filter(_scheme(F.col("token")).endswith(_scheme(F.col("file_url"))))
-        .filter(_rest(F.col("token")).startswith(_rest(F.col("file_url"))))
         .select("site", "token", "file_url")
         .distinct(),
         "hits",
@@ -146,9 +145,9 @@ def _files_in_html(tokens: DataFrame, html: DataFrame, files: DataFrame) -> Data
     # by that start and checked against the HTML.
     odd = targets.filter(~plain).withColumn("rest", F.regexp_extract("rest", f"^{_PLAIN}*", 0))
     starts = materialize(
-        _by_prefix(tokens.select("site", "page_id", _rest(F.col("token")).alias("rest")))
+        tokens.select("site", "page_id", _rest(F.col("token")).alias("rest"))
         .distinct()
-        .join(_by_prefix(odd), ["site", "rest"])
+        .join(odd, ["site", "rest"])
         .select("site", "page_id", "file_url"),
         "starts",
     )
@@ -160,14 +159,11 @@ def _files_in_html(tokens: DataFrame, html: DataFrame, files: DataFrame) -> Data
 
 
 def _pages_in_file_urls(pages: DataFrame, files: DataFrame) -> DataFrame:
-    anchors = with_once(files.select("site", "file_url"), host=url_netloc(F.col("file_url")))
-    probes = (
-        anchors.select("site", "file_url", "host", F.explode(_anchors(F.col("file_url"), ".")).alias("anchor"))
-        .select("site", "file_url", _scheme(F.col("anchor")).alias("scheme_run"), F.explode(_prefixes(_rest(F.col("anchor")), F.col("host"))).alias("rest"))
-    )
+    anchors = files.select("site", "file_url", F.explode(_anchors(F.col("file_url"), ".")).alias("anchor"))
+    probes = anchors.select("site", "file_url", _scheme(F.col("anchor")).alias("scheme_run"), _rest(F.col("anchor")).alias("rest"))
     targets = pages.select("site", "page_id", "page_url", _rest(F.col("page_url")).alias("rest"))
     return (
-        lookup_join(probes, _by_prefix(targets), ["site", "rest"], ["file_url"], "inner")
+        _lookup(probes, targets, "file_url")
         .filter(F.contains("file_url", "page_url"))
         .filter(F.col("scheme_run").endswith(_scheme(F.col("page_url"))))
         .select("site", "page_id", "file_url")

@@ -18,8 +18,9 @@ _SIZE = "(?: [(]([0-9]+) bytes[)])?"
 def parse_log(lines: DataFrame, value: str = "value") -> DataFrame:
     """Add ts, level, message, kind, reason, file_path, file_size and upload_duration.
 
-    ``kind`` is success, failed, skipped or other; the first marker found
-    decides. The path excludes a trailing size and time. A marker not followed
+    ``kind`` is success, failed, skipped or other, by the marker that the
+    message begins with: a response quoting another marker doesn't change it.
+    The path excludes a trailing size and time. A marker not followed
     by a path, such as the counts at the end of a run, is ``other``.
     """
     lines = with_once(lines, _head=F.array(*[F.regexp_extract(value, LINE, i) for i in (1, 2, 3)]))
@@ -38,13 +39,13 @@ def parse_log(lines: DataFrame, value: str = "value") -> DataFrame:
 
     none = F.lit("")
     path = f"(.+?){_SIZE}"
-    skip = F.lower(F.regexp_extract(text, f"{SKIPPED} *([^:]*):", 1))
+    skip = F.lower(F.regexp_extract(text, f"^{SKIPPED} *([^:]*):", 1))
     parts = (
-        F.when(text.contains(SUCCESS), found("success", none, f"(?s){SUCCESS} {path}(?: in ([0-9.]+)s)?$", 3))
-        .when(text.contains(FAILED), found("failed", none, f"(?s){FAILED} {path}(?:[.] Status: .*)?$", 2))
-        .when(text.contains(ERROR), found("failed", none, f"(?s){ERROR} {path}(?:: .*)?$", 2))
-        .when(text.contains(SKIPPED), found("skipped", skip, f"(?s){SKIPPED}[^:]*: *(.+)$", 1))
-        .when(text.contains(UNSUPPORTED), found("skipped", F.lit("unsupported file type"), f"(?s){UNSUPPORTED}: *(.+)$", 1))
+        F.when(text.startswith(SUCCESS), found("success", none, f"(?s)^{SUCCESS} {path}(?: in ([0-9.]+)s)?$", 3))
+        .when(text.startswith(FAILED), found("failed", none, f"(?s)^{FAILED} {path}(?:[.] Status: .*)?$", 2))
+        .when(text.startswith(ERROR), found("failed", none, f"(?s)^{ERROR} {path}(?:: .*)?$", 2))
+        .when(text.startswith(SKIPPED), found("skipped", skip, f"(?s)^{SKIPPED}[^:]*: *(.+)$", 1))
+        .when(text.startswith(UNSUPPORTED), found("skipped", F.lit("unsupported file type"), f"(?s)^{UNSUPPORTED}: *(.+)$", 1))
         .otherwise(F.array(*[none] * 5))
     )
     lines = with_once(lines, _parts=parts)

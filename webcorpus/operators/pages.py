@@ -19,8 +19,9 @@ def canonical_ids(pages: DataFrame) -> DataFrame:
 
 
 def normalized_urls(pages: DataFrame) -> DataFrame:
-    """page_id and normalised url, NULL for a URL that does not parse."""
-    return with_once(pages.select("page_id", F.col("url").alias("_url")), url=normalize_url(F.col("_url"))).drop("_url")
+    """page_id, normalised url, NULL for a URL that does not parse, and whether the page has content."""
+    narrow = pages.select("page_id", F.col("url").alias("_url"), F.coalesce(F.length("html") > 0, F.lit(False)).alias("has_html"))
+    return with_once(narrow, url=normalize_url(F.col("_url"))).drop("_url")
 
 
 def later_copies(urls: DataFrame) -> DataFrame:

@@ -159,11 +159,11 @@ def summary_lines(
     return (
         fixed.unionByName(inventory.agg(F.count("*").alias("n")).select(*_line(2, 2, F.format_string("Total files in %s directory: %d", F.lit(directory), "n"))))
         .unionByName(extension_histogram(inventory).select(*_line(4, F.col("ext"), F.format_string("%s: %d files", "ext", "files"))))
-        .unionByName(inventory.agg(F.count("*").alias("n")).select(*_line(4, "~", "")))
+        .unionByName(inventory.agg(F.count("*").alias("n")).select(*_line(5, "", "")))
         .unionByName(results)
         .unionByName(any_reason.select(*_line(7, 1, "=== FAILURE REASONS ===")))
         .unionByName(reasons.select(*_line(8, F.col("reason"), F.format_string("%s: %d files", "reason", "files"))))
-        .unionByName(any_reason.select(*_line(8, "~", "")))
+        .unionByName(any_reason.select(*_line(9, "", "")))
     )
 
 

@@ -7,7 +7,8 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.urls import is_downloadable, is_same_domain, is_valid_url, normalize_url
+from ..functions.once import with_once
+from ..functions.urls import is_downloadable, is_same_domain, is_valid_url, normalize_url, url_netloc
 from ..operators.files import with_anchors
 from ..operators.html import parse_pages
 from ..operators.links import classify_links, explode_links, unvisited
@@ -18,17 +19,25 @@ from ..schemas import CRAWL
 from ..session import materialize, scratch_path
 
 _PARENTS = 1024  # parents per slice of a level's queue
+_PAGES_PER_BUCKET = 100_000  # of the stored graph: links only, some tens of megabytes
 _QUEUE = "site string, url string, parent_rank long, pos int"
 
 
-def fetchable_pages(pages: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+def fetchable_pages(pages: DataFrame, policies: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """Pages a crawl could fetch: one per canonical URL, allowed by robots, with content.
 
+    With ``seeds`` (url) pages of hosts that no seed names are left out before
+    anything is parsed: links never leave a seed's host.
+
     Which pages to leave out is settled on ids and URLs alone and written down;
     the HTML is read once, by whoever uses the result.
     """
+    if seeds is not None:
+        hosts = seeds.select(url_netloc(normalize_url(F.col("url"))).alias("_host")).distinct()
+        hosted = with_once(pages, _host=url_netloc(normalize_url(F.col("url"))))
+        pages = hosted.join(materialize(hosts, "seed-hosts"), "_host", "left_semi").select(*pages.columns)
     urls = materialize(normalized_urls(pages), "urls")
-    excluded = later_copies(urls)
+    excluded = later_copies(urls.filter("has_html"))  # an empty first copy doesn't hide a later one with content
     if policies is not None:
         excluded = excluded.unionByName(with_robots(urls, policies, spread_by="page_id").filter("NOT allowed").select("page_id"))
     return without(pages, materialize(excluded, "excluded")).filter("html <> ''")
@@ -76,9 +85,7 @@ def crawl(seeds: DataFrame, graph: DataFrame, max_pages: int = 100, buckets: int
     """
     spark = seeds.sparkSession
     root = scratch_path(spark, "crawl")
-    width = buckets or min(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism
-    )
+    width = buckets or graph.count() // _PAGES_PER_BUCKET + 1
     table = f"crawl_graph_{uuid.uuid4().hex}"
     (
         graph.repartition(width, "url")

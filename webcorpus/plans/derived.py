@@ -59,16 +59,18 @@ FROM (SELECT DISTINCT scheme || '://' || host AS origin,
         CASE WHEN host LIKE '%spam-farm%' OR host LIKE '%cheap-pills%' THEN 'deny' WHEN host LIKE '%casino%' THEN 'down'
              WHEN host LIKE 'blog.%' THEN 'none' ELSE 'mixed' END AS policy FROM {parts}) o""",
     # A link tree per host over its pages: page k links to 2k and 2k+1, back to
-    # its parent and to a file; every seventh page failed to load.
+    # its parent and to a file; every seventh page failed to load. Some URLs
+    # have a first copy without content.
     "nodes": """
-SELECT page_id, host, html, row_number() OVER (PARTITION BY host ORDER BY page_id) AS k,
+SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS k,
        count(*) OVER (PARTITION BY host) AS n FROM {parts}""",
     "web": """
 SELECT page_id, 'https://' || host || '/t/' || k AS url, CASE WHEN k % 7 = 0 THEN '' ELSE
        CASE WHEN 2 * k <= n THEN '<a href="/t/' || (2 * k) || '/?from=' || k || '">left</a>' ELSE '' END ||
        CASE WHEN 2 * k + 1 <= n THEN '<a href="' || (2 * k + 1) || '#top">right</a>' ELSE '' END ||
        '<a href="../t/' || CAST(floor(k / 2) AS BIGINT) || '">up</a><a href="/get/paper' || (k % 5) || '.pdf?v=' || k ||
-       '">paper</a>' || html END AS html FROM {nodes}""",
+       '">paper</a>' || html END AS html FROM (SELECT n.*, p.html FROM {nodes} n JOIN {pages} p ON n.page_id = p.page_id) w
+UNION ALL SELECT -1 - page_id, 'https://' || host || '/t/' || k || '/', CASE WHEN k % 2 = 0 THEN '' END FROM {nodes} WHERE k % 5 = 1""",
     "web_seeds": "SELECT 'https://' || host || '/t/1' AS url FROM {nodes} WHERE k = 1",
     "web_robots": """
 SELECT DISTINCT 'https://' || host AS origin, 200 AS fetch_status, 'User-agent: *' || chr(10) ||

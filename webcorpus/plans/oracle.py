@@ -303,8 +303,8 @@ SELECT 3, source, line_no, file_path, 'Failed', reason, response, file_size, NUL
 WITH {_DELIVERED} {_HISTOGRAM},
 n AS (SELECT (SELECT count(*) FROM success) AS s, (SELECT count(*) FROM failed) AS f, (SELECT count(*) FROM skipped) AS k)
 SELECT section, ord, line FROM (VALUES (1, '1', '=== UPLOAD STATISTICS SUMMARY ==='), (1, '2', 'Generated: 2025-01-01 00:00:00'), (1, '3', ''),
-  (2, '1', '=== FILES TO PROCESS ==='), (2, '3', ''), (3, '1', '=== FILE EXTENSIONS ==='), (4, '~', ''), (5, '1', '=== UPLOAD RESULTS ==='),
-  (5, '6', ''), (6, '2', ''), (7, '1', '=== FAILURE REASONS ==='), (8, '~', ''), (9, '0', '=== NEXT STEPS ==='),
+  (2, '1', '=== FILES TO PROCESS ==='), (2, '3', ''), (3, '1', '=== FILE EXTENSIONS ==='), (5, '', ''), (5, '1', '=== UPLOAD RESULTS ==='),
+  (5, '6', ''), (6, '2', ''), (7, '1', '=== FAILURE REASONS ==='), (9, '', ''), (9, '0', '=== NEXT STEPS ==='),
   (9, '1', 'To retry failed uploads, run the retry job.'), (9, '2', ''),
   (9, '3', 'Detailed results are available in the following files:'), (9, '4', '- CSV Report: r.csv'), (9, '5', '- JSON Stats: s.json'),
   (9, '6', '- Full Logs: a.txt and b.txt')) v(section, ord, line)

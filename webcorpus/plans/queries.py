@@ -18,7 +18,7 @@ from ..functions.paths import (
 )
 from ..functions.urls import is_downloadable, is_valid_url, normalize_url, url_netloc, url_path, url_scheme
 from ..operators import files as file_ops, html, links, logs, pages as page_ops, report, robots, runs, seeds, uploads
-from ..session import scratch_path, spread
+from ..session import scratch_path
 from ..streaming import follow
 from . import analysis, crawl as crawling, site_run
 from .derived import table
@@ -77,7 +77,7 @@ def url_download(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages"), "page_id").withColumn("base_url", normalize_url(F.col("url")))
+    pages = table(spark, sf_dir, "pages").withColumn("base_url", normalize_url(F.col("url")))
     return html.parse_pages(pages, keep=("page_id", "base_url"), url="base_url")
 
 

@@ -61,7 +61,7 @@ def run_sites(
         raise ValueError("no URLs to process")
     spark = seeds.sparkSession
     policies = None if robots is None else materialize(robots_policies(robots), "robots")
-    fetchable = fetchable_pages(pages, policies)
+    fetchable = fetchable_pages(pages, policies, seeds)
     parsed = materialize(parse_archive(fetchable), "parsed")
     graph, file_links = link_graph(parsed)
     crawled = crawl(seeds, graph, max_pages_per_site)

@@ -1,4 +1,4 @@
-"""Session helpers: where intermediate tables go and how wide a scan is."""
+"""Session helpers: where intermediate tables go."""
 
 from __future__ import annotations
 
@@ -35,15 +35,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core for a scan that comes in fewer pieces than there are cores.
-
-    To be given a plain scan, whose pieces are known without running anything.
-    A large table has many more pieces than cores and passes unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
