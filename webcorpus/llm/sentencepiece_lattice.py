@@ -16,9 +16,10 @@ result by merges and the best sum of scores would be a different one; its fold
 keeps the set of boundaries and in each step removes the one inside the best
 edge that spans exactly two parts. Both give what the library gives.
 
-The words' pieces then meet the block's documents. A block is bounded by its
-share of the text, a word of more than 60 characters is merged by a helper
-inside the task, and nothing but blocks is ever grouped.
+The words' boundaries then meet the block's documents: rows of a block are
+sorted with its words first, and the documents stream past them. A block's
+words are bounded by its share of the text, and a word of more than 60
+characters is merged by a helper inside the task.
 
 Defined cases: a null or empty text has no pieces; characters outside the model
 become bytes, or the unknown piece in a model without bytes; U+2581 decodes as
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
@@ -44,7 +46,7 @@ from ..functions.once import with_once
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LONGEST = 60  # characters of a word whose boundaries fit one long
-BLOCK_CHARS = 32_000_000  # of a block of documents
+BLOCK_CHARS = 128_000_000  # of a block of documents: the more, the fewer words are encoded again
 TASK_CHARS = 4_000_000  # of text whose distinct words go to one task of the lattice
 _MOST_WORDS = 1_000_000  # that a task holds before it passes them on
 _BLANK = "▁"
@@ -119,8 +121,8 @@ def _from_bytes(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def _words_of_blocks(packed: DataFrame, pattern: str) -> DataFrame:
-    """(block, word): the distinct words of each block that the lattice takes."""
+def _words_of_blocks(packed: DataFrame, pattern: str, merges: bool) -> DataFrame:
+    """(block, word): the words that the lattice takes, once for each block and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pattern).findall
@@ -128,7 +130,7 @@ def _words_of_blocks(packed: DataFrame, pattern: str) -> DataFrame:
 
         def rows() -> Iterator[pa.RecordBatch]:
             for block, words in found.items():
-                words = sorted(w for w in words if 1 < len(w) <= LONGEST)
+                words = sorted(w for w in words if len(w) <= LONGEST and (len(w) > 1 or not merges))
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(words, pa.string())], names=["block", "word"])
             found.clear()
 
@@ -145,20 +147,26 @@ def _words_of_blocks(packed: DataFrame, pattern: str) -> DataFrame:
     return packed.mapInArrow(run, "block long, word string")
 
 
-def _lattice(words: DataFrame, pieces: DataFrame, n_tasks: int) -> DataFrame:
-    """Each distinct (block, word) with the edges of its lattice over two characters or more, best rank first, then leftmost.
+def _lattice(words: DataFrame, pieces: DataFrame, n_tasks: int, merges: bool) -> DataFrame:
+    """Each distinct (block, word) with the edges of its lattice, best rank first, then leftmost.
 
-    While rows are sorted by word an edge is one long; afterwards a struct.
+    Merges start from single characters and only need longer edges, as longs
+    while rows are sorted by word and as structs afterwards; Viterbi needs all,
+    with their scores.
     """
     longest = pieces.agg(F.max(F.length("piece"))).scalar()
     n = F.length("word")
     spans = words.repartition(n_tasks, "block", "word").distinct()
-    spans = spans.select("*", F.explode(F.sequence(F.lit(0), n - 2)).alias("start"))
-    spans = spans.select("*", F.explode(F.sequence(F.lit(2), F.least(longest, n - F.col("start")))).alias("length"))
+    shortest = 2 if merges else 1
+    spans = spans.select("*", F.explode(F.sequence(F.lit(0), n - shortest)).alias("start"))
+    spans = spans.select("*", F.explode(F.sequence(F.lit(shortest), F.least(longest, n - F.col("start")))).alias("length"))
     spans = spans.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("length")))
     left = lambda value, by: F.shiftleft(value.cast("long"), by)
-    key = left(F.col("rank"), 32).bitwiseOR(left(F.col("start"), 26)).bitwiseOR(left(F.col("start") + F.col("length"), 20)).bitwiseOR(F.col("id"))
-    known = spans.join(F.broadcast(pieces.select("piece", "id", "rank")), "piece").groupBy("block", "word")
+    key = left(F.col("rank"), 32).bitwiseOR(left(F.col("start"), 26)).bitwiseOR(left(F.col("start") + F.col("length"), 20))
+    known = spans.join(F.broadcast(pieces), "piece").groupBy("block", "word")
+    if not merges:
+        edge = F.struct("start", (F.col("start") + F.col("length")).alias("end"), "score")
+        return known.agg(F.collect_list(edge).alias("edges")).select("block", "word", n.alias("n"), "edges")
     keys = known.agg(F.array_sort(F.collect_list(key)).alias("keys"))
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
@@ -166,8 +174,7 @@ def _lattice(words: DataFrame, pieces: DataFrame, n_tasks: int) -> DataFrame:
         start = F.shiftright(k, 26).bitwiseAND(63).cast("int")
         end = F.shiftright(k, 20).bitwiseAND(63).cast("int")
         return F.struct(
-            start.alias("start"), end.alias("end"), bit(start).bitwiseOR(bit(end)).alias("ends"), (bit(end) - bit(start + 1)).alias("inner"),
-            k.bitwiseAND((1 << 20) - 1).cast("int").alias("id"),
+            bit(start).bitwiseOR(bit(end)).alias("ends"), (bit(end) - bit(start + 1)).alias("inner")
         )
 
     return keys.select("block", "word", n.alias("n"), F.transform("keys", edge).alias("edges"))
@@ -185,14 +192,8 @@ def _merged(edges: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), every, step)
 
 
-def _constant(values: list, kind: str) -> Column:
-    """An array that the optimizer folds into one constant."""
-    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").cast(f"array<{kind}>")
-
-
-def _best_path(edges: Column, n: Column, word: Column, model: Model, lowest: float) -> Column:
+def _best_path(edges: Column, n: Column, lowest: float) -> Column:
     """Viterbi over positions: the boundaries of the best sum of scores, as bits. Characters without a piece score lowest."""
-    scores = _constant(model.scores, "double")
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("bits")))
 
     def step(states: Column, end: Column) -> Column:
@@ -201,51 +202,22 @@ def _best_path(edges: Column, n: Column, word: Column, model: Model, lowest: flo
             bits = before["bits"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), end))
             return F.struct((before["score"] + score).alias("score"), bits.alias("bits"))
 
-        arriving = F.transform(F.filter(edges, lambda e: e["end"] == end), lambda e: extended(e["start"], F.get(scores, e["id"])))
-        alone = extended(end - 1, F.coalesce(F.get(scores, _character(F.substring(word, end, F.lit(1)), model)), F.lit(lowest)))
-        return F.array_append(states, F.array_max(F.concat(arriving, F.array(alone))))
+        arriving = F.transform(F.filter(edges, lambda e: e["end"] == end), lambda e: extended(e["start"], e["score"]))
+        alone = F.when(~F.exists(edges, lambda e: (e["end"] == end) & (e["start"] == end - 1)), F.array(extended(end - 1, F.lit(lowest))))
+        none = F.array().cast("array<struct<score:double,bits:bigint>>")
+        return F.array_append(states, F.array_max(F.concat(arriving, F.coalesce(alone, none))))
 
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda states: F.get(states, n)["bits"])
 
 
-def _character(c: Column, model: Model) -> Column:
-    """The id of a one-character piece, or null."""
-    ids = {p: i for i, (p, normal) in enumerate(zip(model.pieces, model.normal, strict=True)) if normal and len(p) == 1}
-    table: list[int | None] = [None] * (max((ord(p) for p in ids if ord(p) < 1 << 16), default=0) + 1)
-    far = []
-    for p, i in ids.items():
-        if ord(p) < 1 << 16:
-            table[ord(p)] = i
-        else:
-            far += [F.lit(ord(p)), F.lit(i)]
-    near = F.nullif(F.get(F.split(F.lit(",".join("" if i is None else str(i) for i in table)), ","), F.ascii(c)), F.lit(""))
-    found = near.cast("int")
-    return F.coalesce(found, F.element_at(F.create_map(*far), F.ascii(c))) if far else found
-
-
-def _pieces_between(bits: Column, edges: Column, word: Column, n: Column, model: Model) -> Column:
-    """The ids of the parts between the boundaries; a character without a piece is spelt in bytes."""
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.getbit(bits, i) == 1)
-    parts = F.zip_with(starts, F.concat(F.slice(starts, 2, F.size(starts)), F.array(n)), lambda a, z: F.struct(a.alias("a"), z.alias("z")))
-
-    def ids(part: Column) -> Column:
-        single = F.substring(word, part["a"] + 1, F.lit(1))
-        edge = F.get(F.filter(edges, lambda e: (e["start"] == part["a"]) & (e["end"] == part["z"])), 0)["id"]
-        piece = F.when(part["z"] - part["a"] == 1, _character(single, model)).otherwise(edge)
-        if model.bytes_from is None:
-            return F.array(F.coalesce(piece, F.lit(model.unknown)))
-        code = F.hex(F.encode(single, "UTF-8"))
-        spelt = F.transform(
-            F.sequence(F.lit(1), F.length(code), F.lit(2)),
-            lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + model.bytes_from,
-        )
-        return F.when(piece.isNotNull(), F.array(piece)).otherwise(spelt)
-
-    return F.flatten(F.transform(parts, ids))
+def _parts(word: str, bits: int) -> list[str]:
+    """A word cut at its boundaries."""
+    at = [i for i in range(len(word) + 1) if bits >> i & 1]
+    return [word[a:z] for a, z in zip(at, at[1:])]
 
 
-def merge_long(word: str, rank: dict[str, tuple[int, int]]) -> list[tuple[str, int | None]]:
-    """The same merges for one long word, with a heap: (part, id or None)."""
+def merge_long(word: str, rank: dict[str, tuple[int, int]]) -> list[str]:
+    """The parts of one long word by the same merges, with a heap."""
     part, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
     heap = [(rank[p][0], i, p) for i, p in enumerate(map("".join, zip(word, word[1:]))) if p in rank]
     heapify(heap)
@@ -260,7 +232,7 @@ def merge_long(word: str, rank: dict[str, tuple[int, int]]) -> list[tuple[str, i
         for a, z in ((before[i], i), (i, after[i])):
             if a >= 0 and z < len(word) and (p := part[a] + part[z]) in rank:
                 heappush(heap, (rank[p][0], a, p))
-    return [(p, rank[p][1] if p in rank else None) for p in part if p]
+    return [p for p in part if p]
 
 
 def encode(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,57 +243,65 @@ def encode(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
     docs = docs.select(F.col(id).alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n_blocks = chars // BLOCK_CHARS + 1
-    blocks = _packed(docs.withColumn("block", F.pmod(F.xxhash64("row_id", "text"), F.lit(n_blocks)))).repartition("block")
+    blocks = _packed(docs.withColumn("block", F.pmod(F.xxhash64("row_id", "text"), F.lit(n_blocks))))
 
-    words = _words_of_blocks(blocks, pattern)
-    edges = with_once(_lattice(words, pieces, chars // TASK_CHARS + 1), word_edges=F.col("edges"))
-    e, n = F.col("word_edges"), F.col("n")
+    words = _words_of_blocks(blocks, pattern, model.merges)
+    edges = with_once(_lattice(words, pieces, chars // TASK_CHARS + 1, model.merges), word_edges=F.col("edges"))
     lowest = min(model.scores) - 10.0
-    bits = _merged(e, n) if model.merges else _best_path(e, n, F.col("word"), model, lowest)
-    encoded = with_once(edges.select("block", "word", "n", "word_edges"), bits=bits).select(
-        "block", "word", _pieces_between(F.col("bits"), e, F.col("word"), n, model).alias("ids")
-    )
-    rank = {p: (r, i) for p, i, r, _ in model.table()}
+    bits = _merged(F.col("word_edges"), F.col("n")) if model.merges else _best_path(F.col("word_edges"), F.col("n"), lowest)
+    encoded = edges.select("block", "word", bits.alias("bits"))
     merges, first_byte, unknown = model.merges, model.bytes_from, model.unknown
+    table = {p: (r if merges else s, i) for p, i, r, s in model.table()}
 
-    def spell(word: str) -> bytes:
-        """A word that the lattice has no row for: without any edge, or too long for one."""
-        parts = merge_long(word, rank) if merges else long_path(word, rank_scores, lowest)
+    def ids_of(parts: list[str]) -> bytes:
         ids: list[int] = []
-        for part, i in parts:
-            ids += [i] if i is not None else [unknown] if first_byte is None else [b + first_byte for b in part.encode()]
-        return pa.array(ids, pa.int32()).buffers()[1].to_pybytes()[: 4 * len(ids)]
-
-    rank_scores = {p: (s, i) for p, i, _, s in model.table()} if not merges else {}
+        for part in parts:
+            if part in table:
+                ids.append(table[part][1])
+            else:
+                ids += [unknown] if first_byte is None else [b + first_byte for b in part.encode()]
+        return array("i", ids).tobytes()
 
     class Spelling(dict):
+        """Ids by word; a word without a row has no edges or is too long for the lattice."""
+
         def __missing__(self, word: str) -> bytes:
-            self[word] = found = spell(word)
+            found = ids_of(merge_long(word, table) if merges else long_path(word, table, lowest))
+            if len(word) <= LONGEST:
+                self[word] = found
             return found
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by block, its words before its documents."""
         find = re.compile(pattern).findall
-        known = Spelling()
-        for chunk in right.select(["word", "ids"]).to_batches():
-            ids = chunk.column("ids")
-            flat, at = ids.values.cast(pa.int32()).to_numpy().tobytes(), ids.offsets.to_pylist()
-            known.update(zip(chunk.column("word").to_pylist(), [flat[4 * a : 4 * z] for a, z in zip(at, at[1:])], strict=True))
-        rows = []
-        left = pa.concat_tables([_from_bytes(p.as_py()) for p in left.column("payload")])
-        for text in left.column("text"):
-            text = text.as_py()
-            rows.append(b"".join(map(known.__getitem__, find(_BLANK + text.replace(" ", _BLANK)))) if text else b"")
-        sizes = [len(r) // 4 for r in rows]
-        offsets = pa.array([0, *accumulate(sizes)], pa.int32())
-        values = pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(rows))])
-        return pa.table({"row_id": left.column("row_id"), "n_pieces": pa.array(sizes, pa.int64()), "ids": pa.ListArray.from_arrays(offsets, values)})
+        known, current = Spelling(), None
+        for batch in batches:
+            for block, word, bits, payload in zip(*(batch.column(c) for c in ("block", "word", "bits", "payload")), strict=True):
+                if (block := block.as_py()) != current:
+                    known, current = Spelling(), block
+                if not payload.is_valid:
+                    word = word.as_py()
+                    known[word] = ids_of(_parts(word, bits.as_py()))
+                    continue
+                rows = _from_bytes(payload.as_py())
+                spelt = [
+                    b"".join(map(known.__getitem__, find(_BLANK + t.replace(" ", _BLANK)))) if (t := text.as_py()) else b"" for text in rows.column("text")
+                ]
+                sizes = [len(x) // 4 for x in spelt]
+                values = pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(spelt))])
+                ids = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([rows.column("row_id").combine_chunks(), pa.array(sizes, pa.int64()), ids], names=["row_id", "n_pieces", "ids"])
 
     kind = docs.schema["row_id"].dataType.simpleString()
-    found = blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, f"row_id {kind}, n_pieces long, ids array<int>")
+    rows = encoded.select("block", "word", "bits", F.lit(None).cast("binary").alias("payload")).unionByName(
+        blocks.select("block", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("bits"), "payload")
+    )
+    rows = rows.repartition("block").sortWithinPartitions("block", F.col("payload").isNotNull())
+    found = rows.mapInArrow(run, f"row_id {kind}, n_pieces long, ids array<int>")
     return found.withColumnRenamed("row_id", id)
 
 
-def long_path(word: str, pieces: dict[str, tuple[float, int]], unknown_score: float) -> list[tuple[str, int | None]]:
+def long_path(word: str, pieces: dict[str, tuple[float, int]], unknown_score: float) -> list[str]:
     """Viterbi for one long word of a unigram model."""
     longest = max(map(len, pieces), default=1)
     best: list[tuple[float, int]] = [(0.0, -1)]
@@ -337,17 +317,21 @@ def long_path(word: str, pieces: dict[str, tuple[float, int]], unknown_score: fl
         start = best[end][1]
         parts.append(word[start:end])
         end = start
-    return [(p, pieces[p][1] if p in pieces else None) for p in reversed(parts)]
+    return parts[::-1]
 
 
-def decode(ids: Column, model: Model) -> Column:
-    """The text of an array of ids: a column of functions over a constant array of the pieces' bytes."""
+def decode(encoded: DataFrame, model: Model, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """``encoded`` with the text of its ids added; bytes that are no UTF-8 become U+FFFD."""
     spelt = [
-        "" if not n and (model.bytes_from is None or not 0 <= i - model.bytes_from < 256)
-        else f"{i - model.bytes_from:02X}" if not n
-        else p.replace(_BLANK, " ").encode().hex().upper()
-        for i, (p, n) in enumerate(zip(model.pieces, model.normal, strict=True))
+        p.replace(_BLANK, " ").encode() if normal
+        else bytes([i - model.bytes_from]) if model.bytes_from is not None and 0 <= i - model.bytes_from < 256
+        else b""
+        for i, (p, normal) in enumerate(zip(model.pieces, model.normal, strict=True))
     ]
-    table = F.split(F.lit(",".join(spelt)), ",")
-    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")).cast("string"))
-    return F.regexp_replace(text, r"\A ", "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b"".join(map(spelt.__getitem__, x.values.to_pylist())).decode(errors="replace").removeprefix(" ") for x in batch.column(ids)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
+
+    return encoded.mapInArrow(run, encoded.withColumn(text, F.lit("")).schema)
