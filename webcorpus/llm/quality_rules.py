@@ -150,7 +150,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """One narrow row per document: the counts and both verdicts."""
     features = materialize(document_features(docs, ("doc_id", "source")), "quality-features")
     return judge(features).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "shrunk_rate"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("shrunk_rate", 9).alias("shrunk_rate"),
     )
 
 

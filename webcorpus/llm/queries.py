@@ -32,7 +32,7 @@ def op10_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_lattice.read_model(sentencepiece_lattice.default_model())
     encoded = sentencepiece_lattice.encode(_table(spark, sf_dir, "documents"), model)
-    return encoded.withColumn("decoded_md5", F.md5(sentencepiece_lattice.decode(F.col("ids"), model)))
+    return sentencepiece_lattice.decode(encoded, model).withColumn("decoded_md5", F.md5("decoded")).drop("decoded")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +73,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _ALL}
 
 
+# Words of every text with their place; the same for lines.
+_WORDS = r"""
+w AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS pos
+      FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents) t)"""
+
+_QUALITY = rf"""
+WITH {_WORDS},
+windows AS (SELECT doc_id, pos, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p || ' ' || lead(word, 3) OVER p
+                   || ' ' || lead(word, 4) OVER p AS g FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+twice AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows WHERE g IS NOT NULL) t WHERE c > 1),
+covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, pos + unnest([0, 1, 2, 3, 4]) AS pos FROM twice) t GROUP BY doc_id),
+sums AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS chars FROM w GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) t
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counted AS (SELECT d.doc_id, coalesce(d.source, '') AS host, CAST(coalesce(s.n, 0) AS BIGINT) AS n_words, CAST(coalesce(s.chars, 0) AS BIGINT) AS word_chars,
+                   CAST(len(regexp_extract_all(coalesce(d.text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                   CAST(coalesce(l.dup, 0) AS BIGINT) AS n_dup_lines, coalesce(l.n, 0) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+            FROM documents d LEFT JOIN sums s USING (doc_id) LEFT JOIN lines l USING (doc_id) LEFT JOIN covered c USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted),
+hosts AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines) AS k
+          FROM judged GROUP BY host),
+prior AS (SELECT sum(k) / sum(n) AS mean, count(*) / sum(n) AS chance FROM hosts),
+strength AS (SELECT any_value(mean) AS mean, least(greatest(any_value(mean) * (1 - any_value(mean)) / greatest(
+               sum(n * pow(k / n - mean, 2)) / sum(n) - any_value(mean) * (1 - any_value(mean)) * any_value(chance), 1e-9) - 1, 1.0), 1e6) AS s
+             FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (k + mean * s) / (n + s) <= 0.5 AS kept, round((k + mean * s) / (n + s), 9) AS shrunk_rate
+FROM judged JOIN hosts USING (host), strength"""
+
+_JACCARD = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT doc_id, doc_id AS low FROM sets UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.low = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.low) AS component_id FROM sets s JOIN reached r USING (doc_id) GROUP BY s.doc_id, len(s.s)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_jaccard": _JACCARD, "op5_quality_rules": _QUALITY}
