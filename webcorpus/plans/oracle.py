@@ -256,6 +256,16 @@ UNION ALL SELECT '(total)', count(*), NULL FROM {{inventory}}""",
     "upload_classify": f"SELECT *, {_case('ext', _LABELS)} AS label FROM ({_CLASSIFIED}) c",
     "upload_select": "SELECT * FROM {inventory} WHERE file_path NOT IN (SELECT file_path FROM {ledger})",
     "upload_attempts": f"SELECT * EXCLUDE (ts) FROM ({_ATTEMPTS}) a",
+    "attempts_round_trip": f"SELECT * EXCLUDE (ts) FROM ({_ATTEMPTS}) a",
+    "log_round_trip": "SELECT value, count(*) AS n FROM {run_log} GROUP BY value",
+    "seeds_round_trip": """
+SELECT url FROM {candidates} c WHERE EXISTS (
+  SELECT 1 FROM {probes} p WHERE p.url = CASE WHEN c.url LIKE 'http%://%' THEN c.url ELSE 'https://' || c.url END
+    AND (p.head_status < 400 OR p.get_status < 400))""",
+    "ledger_round_trip": """
+SELECT file_path, NULL AS first_day FROM {ledger} UNION ALL
+SELECT file_path, strftime(min(ts), '%Y-%m-%d') FROM {responses}
+WHERE http_status = 200 AND file_path NOT IN (SELECT file_path FROM {ledger}) GROUP BY file_path""",
     "upload_outcomes": f"""
 SELECT run_id, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed,
        count(*) FILTER (status = 'skipped') AS skipped, count(*) AS total

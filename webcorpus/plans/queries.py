@@ -19,6 +19,8 @@ from ..functions.paths import (
 from ..functions.urls import is_downloadable, is_valid_url, normalize_url, url_netloc, url_path, url_scheme
 from ..operators import files as file_ops, html, links, logs, pages as page_ops, report, robots, runs, seeds, uploads
 from ..session import scratch_path
+from ..sinks.tables import append_attempts, append_ledger, append_live_seeds
+from ..sources.tables import read_ledger, read_log, read_seed_list
 from ..streaming import follow
 from . import analysis, crawl as crawling, site_run
 from .derived import table
@@ -384,6 +386,41 @@ def duration_format(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", duration_text(F.col("value") * 60).alias("duration"))
 
 
+# -- Written and read again ---------------------------------------------------
+
+
+@query
+def seeds_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "live-seeds")
+    append_live_seeds(seed_liveness(spark, sf_dir), path)
+    return read_seed_list(spark, path).select("url")
+
+
+@query
+def ledger_round_trip(spark, sf_dir):
+    """Two runs: each appends what the ledger, as read from storage, does not hold yet."""
+    path = scratch_path(spark, "ledger")
+    append_ledger(table(spark, sf_dir, "ledger").withColumn("first_uploaded_at", F.lit(None).cast("timestamp")), path)
+    append_ledger(uploads.merge_ledger(read_ledger(spark, path), _attempts(spark, sf_dir)), path)
+    return read_ledger(spark, path).select("file_path", F.date_format("first_uploaded_at", "yyyy-MM-dd").alias("first_day"))
+
+
+@query
+def attempts_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "attempts")
+    attempts = _attempts(spark, sf_dir)
+    append_attempts(attempts, path)
+    return spark.read.schema(attempts.schema).parquet(path).drop("ts")
+
+
+@query
+def log_round_trip(spark, sf_dir):
+    """Lines written as a folder of text files."""
+    path = scratch_path(spark, "log")
+    table(spark, sf_dir, "run_log").repartitionByRange(4, "source", "line_no").select("value").write.text(path)
+    return read_log(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
 # -- Streams ------------------------------------------------------------------
 
 
