@@ -46,7 +46,7 @@ from ..functions.once import with_once
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LONGEST = 60  # characters of a word whose boundaries fit one long
-BLOCK_CHARS = 128_000_000  # of a block of documents: the more, the fewer words are encoded again
+BLOCK_CHARS = 64_000_000  # of a block of documents: the more, the fewer words are encoded again
 TASK_CHARS = 4_000_000  # of text whose distinct words go to one task of the lattice
 _MOST_WORDS = 1_000_000  # that a task holds before it passes them on
 _BLANK = "▁"
