@@ -17,10 +17,11 @@ The boundary is the largest size whose subsets cost less than its lists.
 
 A list is scanned from both ends. First each member meets only the list's
 leader, a number of comparisons in proportion to the list; what they link are
-components. Then sets that share as many listed shingles as linked sets must
-and are still in different components are all compared. The components are those of all pairs,
-though a group of thousands of copies costs thousands of comparisons, not
-their square. Equal sets are one set throughout.
+components, and what they may link are clusters. Within a cluster, tiles of
+different components are compared as matrices; across clusters, sets that share
+as many listed shingles as linked sets must. The components are those of all
+pairs, though a group of copies emits no more rows than it has members and
+tiles. Equal sets are one set throughout.
 
 Shingles are known by 64-bit hashes. Filters of fixed size (``bitmaps``) keep
 shingles that occur once from being shuffled at all.
@@ -56,6 +57,7 @@ PERCENT = 75
 LONG_LIST = 24  # shingles of more sets come last in the order
 SCAN_COST = 16  # comparisons and rows that a listed shingle costs, for the boundary
 STAR_ROUNDS = 2
+TILE = 128  # sets compared at once with as many others
 
 
 def least_overlap(a: int, b: int, percent: int = PERCENT) -> int:
@@ -300,6 +302,58 @@ def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _cluster_links(docs: DataFrame, labels: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components of one cluster, one for each two components and pair of tiles.
+
+    A cluster's sets are dealt into tiles of some hundred, those of a large
+    component into tiles of their own. Tiles meet tiles, but not those of their
+    own component, and two tiles are compared in one product of matrices: what
+    is shuffled and emitted are sets and links, never pairs.
+    """
+    nodes = clusters.withColumnRenamed("component", "cluster").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    nodes = materialize(nodes, "jaccard-clusters")
+    several = nodes.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    nodes = nodes.join(several.select("cluster"), "cluster", "left_semi")
+    large = nodes.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= TILE).drop("c")
+    nodes = nodes.join(large.withColumn("own", F.col("component")), ["cluster", "component"], "left")
+    sizes = nodes.groupBy("cluster", "own").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("chunks"))
+    dealt = nodes.alias("x").join(sizes.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & F.col("x.own").eqNullSafe(F.col("y.own")))
+    tile = F.xxhash64("x.cluster", "x.own", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    dealt = materialize(dealt.select("id", "component", "x.cluster", "x.own", tile.alias("tile")), "jaccard-tiles")
+    tiles = dealt.select("cluster", "own", "tile").distinct()
+    meets = tiles.alias("x").join(tiles.alias("y"), "cluster").filter("x.tile <= y.tile and (x.own is null or y.own is null or x.own <> y.own)")
+    meets = meets.select(F.xxhash64("x.tile", "y.tile").alias("meeting"), F.explode(F.array_distinct(F.array("x.tile", "y.tile"))).alias("tile"))
+    sets = materialize(_sets(docs, size, percent, "all", ids=_id_filter(dealt)).select("id", "tokens"), "jaccard-sets")
+    rows = meets.join(dealt.select("tile", "id", "component"), "tile").join(sets, "id").select("meeting", "id", "component", "tokens")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, component = (rows.column(c).to_numpy() for c in ("id", "component"))
+        lists = _lists_of(rows.column("tokens").combine_chunks())
+        sizes = np.array([len(x) for x in lists])
+        _, column, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        place = np.cumsum(count > 1) - 1  # shingles of one set don't matter
+        row = np.repeat(np.arange(len(lists)), sizes)
+        shared = count[column] > 1
+        row, column = row[shared], place[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(lists), len(lists)), np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, z = np.searchsorted(column, (start, start + 4096))
+            held = np.zeros((len(lists), 4096), np.float32)
+            held[row[a:z], column[a:z] - start] = 1
+            common += held @ held.T
+        linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        x, y = np.nonzero(np.triu(linked & (component[:, None] != component[None, :]), 1))
+        if len(x):
+            between = np.sort(np.stack([component[x], component[y]]), axis=0)
+            _, one = np.unique(between, axis=1, return_index=True)
+            x, y = x[one], y[one]
+        return pa.table({"a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64())})
+
+    return rows.groupBy("meeting").applyInArrow(compare, "a long, b long")
+
+
 def link(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``."""
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -321,15 +375,18 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SI
 
     light = sets.filter(F.col("n") <= limit).select("id", "n", "tokens")
     links = materialize(_subset_links(light, percent, limit), "jaccard-links")
-    labels = None
-    for turn in range(STAR_ROUNDS + 1):
-        lists = materialize(_split_lists(members, labels), "jaccard-lists")
-        members = lists.drop("component")  # a list within one component stays so
-        pairs = _star_pairs(lists, turn, percent) if turn < STAR_ROUNDS else _open_pairs(lists, percent)
-        pairs = materialize(pairs, "jaccard-pairs")
+    labels, near = None, links
+    for turn in range(STAR_ROUNDS):
+        members = materialize(_split_lists(members, labels), "jaccard-lists").drop("component")  # a list within one component stays so
+        lists = members.join(labels, "id", "left") if labels is not None else members.withColumn("component", F.lit(None).cast("long"))
+        lists = lists.withColumn("component", F.coalesce("component", "id"))
+        pairs = materialize(_star_pairs(lists, turn, percent), "jaccard-pairs")
+        near = near.union(pairs)
         links = materialize(links.union(_verified(docs, pairs, size, percent)), "jaccard-links")
-        if turn < STAR_ROUNDS:
-            labels = components(links)
+        labels = components(links)
+    clusters = components(near)
+    pairs = materialize(_open_pairs(_split_lists(members, clusters), percent), "jaccard-pairs")
+    links = links.union(_verified(docs, pairs, size, percent)).union(_cluster_links(docs, labels, clusters, size, percent))
     reached = components(links.union(copies))
     return (
         every.select("id", "n")
