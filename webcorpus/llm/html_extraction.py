@@ -1,8 +1,8 @@
 """The main text of HTML pages, by a recurrent block labeller.
 
 A page becomes the sequence of its leaf blocks: stretches of text between block
-tags, each with the path of tags above it and its words. Both are hashed into
-sparse vectors; a bidirectional LSTM in numpy reads the sequence, so that every
+tags, each with the path of tags above it and its words. The whole path and all
+words, with their counts, are hashed into sparse vectors of fixed width; a bidirectional LSTM in numpy reads the sequence, so that every
 block is judged with all that comes before and after it in the document, and
 labels it as article or not.
 
@@ -28,9 +28,11 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from math import log
 from zlib import crc32
 
 import numpy as np
@@ -156,35 +158,55 @@ def _hide(path: tuple[str, ...]) -> tuple[str, ...]:
     return tuple("div" if (tag := shown.partition(".")[0]) in _OUTSIDE | _INSIDE | {"section"} else tag for shown in path)
 
 
+Features = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 _seen: dict[tuple[str, int], int] = {}
 
 
 def _bucket(name: str, size: int) -> int:
+    if len(name) > 60:
+        return crc32(name.encode("utf-8", "replace")) % size
     found = _seen.get((name, size))
     if found is None:
         if len(_seen) > 200_000:
             _seen.clear()
-        found = _seen[name, size] = crc32(name.encode()) % size
+        found = _seen[name, size] = crc32(name.encode("utf-8", "replace")) % size
     return found
 
 
-def features(blocks: list[Block], hide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(indices, starts, dense): the buckets of each block's path and words, and plain measures."""
+def features(blocks: list[Block], hide: bool = False) -> Features:
+    """(indices, weights, starts, dense): the buckets of each block's whole path and all its words, with their counts, and plain measures.
+
+    A tag counts by its distance from the text, and once more by its name alone.
+    """
     flat: list[int] = []
+    weights: list[float] = []
+    paths: dict[tuple[str, ...], list[int]] = {}
     starts = [0]
     dense = np.zeros((len(blocks), 6), np.float32)
     n = len(blocks)
     for i, block in enumerate(blocks):
         path = _hide(block.path) if hide else block.path
-        words = block.text.split(" ", 24)[:24]
-        flat += [_bucket(f"{k}:{shown}", TAG_BUCKETS) for k, shown in enumerate(reversed(path[-4:]))]
-        flat += {TAG_BUCKETS + _bucket(w.lower(), WORD_BUCKETS) for w in words}
+        above = paths.get(path)
+        if above is None:
+            above = [_bucket(f"{k}:{shown}", TAG_BUCKETS) for k, shown in enumerate(reversed(path))]
+            above += [_bucket(f"^:{shown}", TAG_BUCKETS) for shown in sorted(set(path))]
+            paths[path] = above
+        counts: Counter[int] = Counter()
+        for word, n in Counter(block.text.lower().split(" ")).items():
+            counts[TAG_BUCKETS + _bucket(word, WORD_BUCKETS)] += n
+        flat += above
+        flat += counts.keys()
+        weights += [1.0] * len(above)
+        weights += [1 + log(n) for n in counts.values()]
         starts.append(len(flat))
         length = len(block.text)
         dense[i] = (
             np.log1p(length) / 6, block.linked / length, block.text[-1:] in ".!?…", i / n, min(n - i, 10) / 10, block.text.count(".") / (1 + length / 60),
         )
-    return np.array(flat, np.int64), np.array(starts), dense
+    starts_at, weight = np.array(starts), np.array(weights, np.float32)
+    if blocks:
+        weight /= np.sqrt(np.repeat(np.add.reduceat(weight * weight, starts_at[:-1]), np.diff(starts_at)))
+    return np.array(flat, np.int64), weight, starts_at, dense
 
 
 @dataclass
@@ -193,15 +215,14 @@ class Labeller:
 
     p: dict[str, np.ndarray]
 
-    def read(self, pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, dict]:
+    def read(self, pages: list[Features]) -> tuple[np.ndarray, np.ndarray, dict]:
         """(logits, mask, what training needs) for pages side by side: pages x positions."""
-        longest = max(len(d) for _, _, d in pages)
+        longest = max(len(d) for *_, d in pages)
         inputs = np.zeros((len(pages), longest, HIDDEN), np.float32)
         mask = np.zeros((len(pages), longest), bool)
-        for k, (flat, starts, dense) in enumerate(pages):
+        for k, (flat, weight, starts, dense) in enumerate(pages):
             if len(dense):
-                count = np.maximum(np.diff(starts), 1)[:, None]
-                inputs[k, : len(dense)] = np.add.reduceat(self.p["table"][flat], starts[:-1], axis=0) / np.sqrt(count) + dense @ self.p["dense"]
+                inputs[k, : len(dense)] = np.add.reduceat(self.p["table"][flat] * weight[:, None], starts[:-1], axis=0) + dense @ self.p["dense"]
                 mask[k, : len(dense)] = True
         inputs = np.tanh(inputs)
         memo: dict = {"inputs": inputs, "mask": mask}
@@ -245,12 +266,11 @@ class Labeller:
                 g_in[:, t] += z @ w.T
                 gh, gc = np.where(m, z @ u.T, gh), np.where(m, d * f, gc)
         g_in *= 1 - inputs * inputs
-        for k, (flat, starts, dense) in enumerate(pages):
+        for k, (flat, weight, starts, dense) in enumerate(pages):
             if len(dense):
                 own = g_in[k, : len(dense)]
                 g["dense"] += dense.T @ own
-                count = np.diff(starts)
-                np.add.at(g["table"], flat, np.repeat(own / np.sqrt(np.maximum(count, 1))[:, None], count, axis=0))
+                np.add.at(g["table"], flat, np.repeat(own, np.diff(starts), axis=0) * weight[:, None])
         return g
 
 
