@@ -29,3 +29,24 @@ def test_words_late_in_a_block_decide():
     for one, expected in ((page, [True, False]), (turned, [False, True])):
         logits, _, _ = model.read([html.features(html.blocks_of(one), True)])
         assert list(logits[0] > 0) == expected
+
+
+def _texts(page):
+    return [b.text for b in html.blocks_of(page)]
+
+
+def test_omitted_end_tags():
+    assert _texts("<html><head><title>t</title><body><p>one<p>two") == ["one", "two"]
+    assert _texts("<head><meta charset=x><title>t</title><style>p{}</style><p>one") == ["one"]
+    assert _texts("<head><title>t</title>bare text<p>one") == ["bare text", "one"]
+    assert _texts("<html><head><link rel=x><a href=y>one</a>") == ["one"]
+    for tag in ("form", "button", "select", "object"):
+        assert _texts(f"<body><{tag}>label<p>one</p><p>two</p></body>") == ["one", "two"], tag
+        assert _texts(f"<body><{tag}>label<p>gone</p></{tag}><p>two</p></body>") == ["two"], tag
+        assert _texts(f"<body><div><{tag}>label</div><p>one</p>") == ["one"], tag
+        if tag != "form":  # a block of its own, which ends the paragraph
+            assert _texts(f"<body><p>one <span><{tag}>label</span> more</p>") == ["one", "more"], tag
+    assert _texts("<body><select><option>a<option>b<select><option>c</select><p>one") == ["one"]
+    assert _texts("<body><select><option>a<input><p>one") == ["one"]
+    assert _texts("<body><button>a<button>b</button><p>one") == ["one"]
+    assert _texts("<body><button>a<p>one<button>b</button><p>two") == ["one", "two"]

@@ -15,7 +15,8 @@ well. Pages are then labelled in the tasks that read them, a few hundred in one
 matrix product per position; there is no shuffle.
 
 Where the markup rules a block out it stays out, whatever the network says:
-script, style, form and the like are no blocks at all, and blocks in a nav, a
+script, style, form and the like are no blocks at all (a form, button or the like
+without an end tag only up to the first block tag in it), and blocks in a nav, a
 footer or an element named as an advert, a menu or comments are never kept.
 
 Defined cases: null or empty html gives an empty text; a page without article
@@ -54,8 +55,10 @@ _BLOCK = frozenset(
     "blockquote pre figure figcaption nav aside header footer form fieldset address hr details summary".split()
 )
 _NEVER = frozenset("script style noscript template head title form button select textarea iframe svg math object canvas".split())
+_HEAD_CONTENT = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSED_BY = {"p": _BLOCK - {"html", "head", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+_CLOSED_BY |= {"option": {"option", "optgroup"}, "optgroup": {"optgroup"}, "select": {"select", "input", "textarea"}, "button": {"button"}}
 _OUTSIDE = frozenset("nav footer aside header".split())
 _OUTSIDE_NAME = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|foot\w*|head(?:er)?|masthead|cookies?|consent|notice|"
@@ -76,26 +79,49 @@ class Block:
     linked: int  # characters inside links
 
 
+@dataclass(eq=False)
+class _Element:
+    tag: str
+    shown: str
+    ended: bool = False  # by its own end tag
+    reach: int | None = None  # blocks found when the first block tag opened in it
+
+
+def _hidden(above: list[_Element], at: int) -> bool:
+    """Whether an element hides block ``at``: wholly if its end tag is there, else up to the first block tag in it."""
+    return any(e.tag in _NEVER and (e.ended or e.reach is None or at < e.reach) for e in above)
+
+
 def blocks_of(html: str) -> list[Block]:
     """The leaf blocks of a page in order: text between block tags, white space made one blank."""
-    found: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    found: list[tuple[str, list[_Element], int]] = []
+    stack: list[_Element] = []
     text: list[str] = []
     linked = [0]
-    hidden = 0
+    open_never: list[_Element] = []
 
     def close_block() -> None:
         joined = _SPACE.sub(" ", "".join(text)).strip(" ")
         if joined:
-            found.append(Block(joined, tuple(shown for _, shown in stack), linked[0]))
+            found.append((joined, stack.copy(), linked[0]))
         text.clear()
         linked[0] = 0
 
     def pop(to: int) -> None:
-        nonlocal hidden
+        if open_never and any(e.tag in _NEVER for e in stack[to:]):
+            close_block()
         while len(stack) > to:
-            if stack.pop()[0] in _NEVER:
-                hidden -= 1
+            if stack.pop().tag in _NEVER:
+                open_never.pop()
+
+    def opens(tag: str) -> None:
+        """Close what the start tag ends."""
+        if stack and stack[-1].tag == "head" and tag not in _HEAD_CONTENT:
+            pop(len(stack) - 1)
+        if open_never and open_never[-1].tag in ("select", "button") and tag in _CLOSED_BY[open_never[-1].tag]:
+            pop(stack.index(open_never[-1]))
+        while stack and tag in _CLOSED_BY.get(stack[-1].tag, ()):
+            pop(len(stack) - 1)
 
     at, end = 0, len(html)
     while at < end:
@@ -105,11 +131,12 @@ def blocks_of(html: str) -> list[Block]:
         at = match.end()
         closing, tag, attributes, words = match.groups()
         if words is not None:
-            if not hidden:
-                plain = unescape(words)
-                text.append(plain)
-                if any(t == "a" for t, _ in stack):
-                    linked[0] += len(plain)
+            if stack and stack[-1].tag == "head" and words.strip():
+                pop(len(stack) - 1)
+            plain = unescape(words)
+            text.append(plain)
+            if any(e.tag == "a" for e in stack):
+                linked[0] += len(plain)
         elif tag:
             tag = tag.lower()
             if tag == "br":
@@ -118,28 +145,33 @@ def blocks_of(html: str) -> list[Block]:
             if tag in _BLOCK or tag in _NEVER:
                 close_block()
             if closing:
-                where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
                 if where is not None:
+                    stack[where].ended = True
                     pop(where)
                 continue
+            if tag == "head" and any(e.tag != "html" for e in stack):  # only one, at the start
+                continue
+            opens(tag)
             if tag in _VOID:
                 continue
-            while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
-                pop(len(stack) - 1)
             if tag in _BLOCK:  # inline elements left open don't reach into the next block
-                while stack and stack[-1][0] not in _BLOCK and stack[-1][0] not in _NEVER:
-                    pop(len(stack) - 1)
-                while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
+                while stack and stack[-1].tag not in _BLOCK and stack[-1].tag not in _NEVER:
                     pop(len(stack) - 1)
+                opens(tag)
+                for e in open_never:
+                    if e.reach is None:
+                        e.reach = len(found)
             names = " ".join(next(filter(None, m), "") for m in _NAME.findall(attributes)).lower() if "=" in attributes else ""
-            stack.append((tag, f"{tag}.{names}" if names else tag))
-            hidden += tag in _NEVER
+            stack.append(_Element(tag, f"{tag}.{names}" if names else tag))
+            if tag in _NEVER:
+                open_never.append(stack[-1])
             if tag in _RAW:
                 ending = _RAW[tag].search(html, at)
                 at = ending.end() if ending else end
                 pop(len(stack) - 1)
     close_block()
-    return found
+    return [Block(joined, tuple(e.shown for e in above), n) for i, (joined, above, n) in enumerate(found) if not _hidden(above, i)]
 
 
 def stated(block: Block) -> int:
