@@ -50,3 +50,34 @@ def test_omitted_end_tags():
     assert _texts("<body><select><option>a<input><p>one") == ["one"]
     assert _texts("<body><button>a<button>b</button><p>one") == ["one"]
     assert _texts("<body><button>a<p>one<button>b</button><p>two") == ["one", "two"]
+
+
+def _stated(page):
+    return [html.stated(b) for b in html.blocks_of(page)]
+
+
+def test_names_of_containers_rule_nothing_out():
+    for wrapper in (
+        "<article class='post tag-python'>", "<div id='content' class='no-sidebar'>", "<main class='has-comments'>", "<div class='search'><article>",
+        "<body class='legal'><div class='sidebar share'><main>",
+    ):
+        assert _stated(f"{wrapper}<p>text</p>") == [1], wrapper
+        assert _stated(f"{wrapper}<p>text</p><div class='ad big'><p>buy</p></div>") == [1, 0], wrapper
+    assert _stated("<article class='comment'><p>text") == [-1]
+    assert _stated("<div class='search'><div class='content'><p>text") == [-1]
+    assert _stated("<article><p class='post-meta'>x</p><p class='notice'>y") == [1, 0]
+    assert _stated("<div class='post-meta'>x</div><div class='tag-python'>y") == [-1, -1]
+    assert _stated("<div class='comments'><div><p>text") == [0]
+    assert _stated("<aside><article><p>text") == [0]
+
+
+def test_without_labels_the_rules_decide():
+    page = "<div><p>text</p></div><div class='menu'>Home</div>"
+    assert html.train([page]) is None
+    assert html._texts([page], None) == ["text"]
+
+
+def test_wrapped_article_is_kept(spark):
+    page = "<nav>Home</nav><div class='search'><article class='post tag-python'><p>Number {i} is here.</p></article></div><div class='ad'>Buy</div>"
+    pages = spark.createDataFrame([(i, "u", page.replace("{i}", str(i))) for i in range(40)], "page_id long, url string, html string")
+    assert {r.text for r in html.extract(pages).collect()} == {f"Number {i} is here." for i in range(40)}

@@ -17,7 +17,11 @@ matrix product per position; there is no shuffle.
 Where the markup rules a block out it stays out, whatever the network says:
 script, style, form and the like are no blocks at all (a form, button or the like
 without an end tag only up to the first block tag in it), and blocks in a nav, a
-footer or an element named as an advert, a menu or comments are never kept.
+footer or an element named as an advert, a menu or comments are never kept. Only
+a whole class, id or role counts, of the nearest element that says something; on
+an element that is or holds an article or main it is evidence for the network and
+no more. If the sample doesn't state labels of both kinds there is no network:
+then every block is kept that the markup doesn't rule out.
 
 Defined cases: null or empty html gives an empty text; a page without article
 blocks has an empty text; broken markup is read leniently; repeated rows are
@@ -60,12 +64,15 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSED_BY = {"p": _BLOCK - {"html", "head", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 _CLOSED_BY |= {"option": {"option", "optgroup"}, "optgroup": {"optgroup"}, "select": {"select", "input", "textarea"}, "button": {"button"}}
 _OUTSIDE = frozenset("nav footer aside header".split())
-_OUTSIDE_NAME = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|foot\w*|head(?:er)?|masthead|cookies?|consent|notice|"
-    r"comments?|reply|replies|disqus|share|social|related|recommend\w*|newsletter|subscribe|login|search|widget|popup|modal|copyright|legal|meta|tags?)(?:$|[-_ ])"
+_OUTSIDE_WORDS = (
+    r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|foot\w*|head(?:er)?|masthead|cookies?|consent|notice|"
+    r"comments?|reply|replies|disqus|share|social|related|recommend\w*|newsletter|subscribe|login|search|widget|popup|modal|copyright|legal|meta|tags?)"
 )
+_OUTSIDE_NAME = re.compile(rf"(?:^| ){_OUTSIDE_WORDS}(?:$| )")  # as a whole name: tag-python or no-sidebar say nothing
 _INSIDE = frozenset("article main".split())
-_INSIDE_NAME = re.compile(r"(?:^|[-_ ])(?:article|content|post|entry|story|main|body|text)(?:$|[-_ ])")
+_INSIDE_NAME = re.compile(  # post-meta or comment-text say nothing
+    rf"(?:^| )(?!(?:[^ ]*[-_])?{_OUTSIDE_WORDS}(?:$|[-_ ]))(?:[^ ]*[-_])?(?:article|content|post|entry|story|main|body|text)(?:$|[-_ ])"
+)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|([^<]+|<)", re.S)
 _NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -77,12 +84,14 @@ class Block:
     text: str
     path: tuple[str, ...]  # tag, or tag.names for elements with a class, id or role
     linked: int  # characters inside links
+    holders: int = 0  # so many elements of the path, from the top, are or hold an article or main
 
 
 @dataclass(eq=False)
 class _Element:
     tag: str
     shown: str
+    holds: bool = False  # it is or holds an article or main
     ended: bool = False  # by its own end tag
     reach: int | None = None  # blocks found when the first block tag opened in it
 
@@ -164,6 +173,11 @@ def blocks_of(html: str) -> list[Block]:
                         e.reach = len(found)
             names = " ".join(next(filter(None, m), "") for m in _NAME.findall(attributes)).lower() if "=" in attributes else ""
             stack.append(_Element(tag, f"{tag}.{names}" if names else tag))
+            if tag in _INSIDE:
+                for e in reversed(stack):
+                    if e.holds:  # so do all above it
+                        break
+                    e.holds = True
             if tag in _NEVER:
                 open_never.append(stack[-1])
             if tag in _RAW:
@@ -171,17 +185,29 @@ def blocks_of(html: str) -> list[Block]:
                 at = ending.end() if ending else end
                 pop(len(stack) - 1)
     close_block()
-    return [Block(joined, tuple(e.shown for e in above), n) for i, (joined, above, n) in enumerate(found) if not _hidden(above, i)]
+    return [Block(joined, tuple(e.shown for e in above), n, sum(e.holds for e in above)) for i, (joined, above, n) in enumerate(found) if not _hidden(above, i)]
 
 
 def stated(block: Block) -> int:
-    """What the markup says: 1 article, 0 not, -1 nothing."""
+    """What the markup says: 1 article, 0 not, -1 nothing or both.
+
+    Tags such as nav rule out all below them. Of the names, the nearest that says
+    anything counts. On what is or holds an article or main, the name of something
+    outside rules nothing out.
+    """
+    if any(shown.partition(".")[0] in _OUTSIDE for shown in block.path):
+        return 0
     verdict = -1
-    for shown in block.path:
-        tag, _, names = shown.partition(".")
-        if tag in _OUTSIDE or (names and tag not in ("html", "body") and _OUTSIDE_NAME.search(names)):
-            return 0
-        if tag in _INSIDE or (names and _INSIDE_NAME.search(names)):
+    for depth in range(len(block.path) - 1, -1, -1):
+        tag, _, names = block.path[depth].partition(".")
+        outside = names and tag not in ("html", "body") and _OUTSIDE_NAME.search(names)
+        inside = tag in _INSIDE or (names and _INSIDE_NAME.search(names))
+        if depth < block.holders:
+            if verdict < 0 and inside and not outside:
+                verdict = 1
+        elif outside:
+            return -1 if verdict == 1 else 0  # article text below something outside: the network decides
+        elif inside:
             verdict = 1
     return verdict
 
@@ -307,7 +333,7 @@ class Labeller:
 
 
 def train(pages: list[str], seed: int = 5) -> Labeller | None:
-    """Fit on pages whose markup states labels; every page is shown as it is and with its names hidden. None without any."""
+    """Fit on pages whose markup states labels; every page is shown as it is and with its names hidden. None without labels of both kinds."""
     rng = np.random.default_rng(seed)
     examples = []
     for html in pages:
@@ -315,8 +341,8 @@ def train(pages: list[str], seed: int = 5) -> Labeller | None:
         y = np.array([stated(b) for b in blocks])
         if (y >= 0).any():
             examples += [(features(blocks, hide), y) for hide in (False, True)]
-    if not examples:
-        return None
+    if {0, 1} - {int(v) for _, y in examples for v in y}:
+        return None  # labels of one kind only would make it say always the same
     normal = lambda *shape: rng.normal(0, 0.2, shape).astype(np.float32)
     p = {"table": normal(TAG_BUCKETS + WORD_BUCKETS, HIDDEN), "dense": normal(6, HIDDEN), "out": normal(2 * HIDDEN), "base": np.zeros(1, np.float32)}
     for way in "fb":
