@@ -2,22 +2,25 @@ r"""Personal data and the words that give it away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers, each with
 its own test of plausibility. Deleting them is not enough when another word
-points to the same person: a word next to a protected value discloses it as far
-as it raises the value's probability. From co-occurrence over the whole corpus,
+points to the same person: a word in a document with a protected value discloses
+it as far as it raises the value's probability. From counts of whole documents,
 
     disclosure(value, word) = pmi(value, word) / ic(value)
                             = log2(N * n(value, word) / (n(value) * n(word))) / log2(N / n(value)),
 
 the share of the value's information that the word alone conveys; 1 means that
-the word occurs only with this value. A word beside the value is generalised
-from ``GENERALISE`` on and removed from ``REMOVE`` on, provided that it stands
-by the value in ``SUPPORT`` different contexts: copies of one text are one
-witness. Only documents that hold the value are touched.
+the word occurs only with this value. Wherever it stands in a document with the
+value, the word is generalised from ``GENERALISE`` on and removed from ``REMOVE``
+on, provided that ``SUPPORT`` different texts hold both: copies of one text are
+one witness, and below that number every rare word would seem to disclose. Only
+documents that hold the value are touched. Words inside protected values go with
+these.
 
 Everything is column functions. Positions come from marking the matches in the
 text and adding up the lengths between the marks. Per-word counts of the corpus
-are combined within tasks before they are shuffled; what else moves are the few
-words around protected values.
+are combined within tasks before they are shuffled; what else moves are the
+distinct words of documents that hold a value which ``SUPPORT`` texts hold, dealt
+by value, word and text, so that a frequent value is spread.
 
 Defined cases: a null text is empty and has no spans; repeated rows each get
 the same result; ids may be repeated with other texts; a character U+0001 in a
@@ -30,6 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.once import with_once
+from ..operators.skew import lookup_join
 from ..session import materialize
 
 # The patterns are fixed. Possessive repeats and \G only spare the regex engine from trying starts that cannot match.
@@ -43,8 +47,8 @@ KINDS = tuple(_PATTERNS)
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORD = r"[\p{L}\p{N}][\p{L}\p{N}'’-]*+"
 _MARK, _NO_MARK = "\u0001", "\u0002"
+_MASKED_WORD = r"[\p{L}\p{N}\x01][\p{L}\p{N}\x01'’-]*+"
 
-REACH = 80  # characters on each side of a protected value in which words count as beside it
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -95,49 +99,70 @@ def base_spans(docs: DataFrame, keep: tuple[str, ...] = (), text: str = "text")
     return with_once(rows, **found).select(*keep, "_text", F.concat(*found).alias("_base"))
 
 
-def _beside(spans: DataFrame) -> DataFrame:
-    """One row per word beside a protected value: row key, entity, context, term and where it stands."""
-    value = F.explode("_base").alias("v")
-    near = spans.filter(F.size("_base") > 0).select("_id", "_key", "_text", "_base", value)
-    entity = F.concat_ws(":", "v.kind", F.lower("v.value"))
-    left_start = F.greatest(F.col("v.start") - REACH, F.lit(0))
-    # A word that the reach cuts off doesn't count: the limits are where a word may begin and must end.
-    sides = F.array(
-        F.struct(left_start.alias("at"), F.least(left_start, F.lit(1)).alias("low"), F.lit(REACH).alias("high"), F.substring(F.col("_text"), left_start + 1, F.col("v.start") - left_start).alias("text")),
-        F.struct(F.col("v.end").alias("at"), F.lit(0).alias("low"), F.when(F.length("_text") > F.col("v.end") + REACH, REACH - 1).otherwise(REACH).alias("high"), F.substring(F.col("_text"), F.col("v.end") + 1, F.lit(REACH)).alias("text")),
+def _masked(text: Column, spans: Column) -> Column:
+    """The text, as long as before, with U+0001 for every letter and digit of a protected value."""
+
+    def step(state: Column, s: Column) -> Column:
+        start = F.greatest(state["at"], s["start"])
+        value = F.regexp_replace(F.substring(text, start + 1, s["end"] - start), r"[\p{L}\p{N}]", _MARK)
+        before = F.substring(text, state["at"] + 1, start - state["at"])
+        return F.struct(
+            F.greatest(state["at"], s["end"]).alias("at"),
+            F.when(s["end"] > state["at"], F.concat(state["out"], F.array(before, value))).otherwise(state["out"]).alias("out"),
+        )
+
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(
+        by_start, start, step,
+        lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text))),
     )
-    near = with_once(near.select("_id", "_key", "_base", "v", entity.alias("entity"), F.explode(sides).alias("side")), context=F.xxhash64("side.text"))
-    words = near.select(
-        "_id", "_key", "_base", "entity", "context", "side.at", "side.low", "side.high",
-        F.explode(_matches(F.col("side.text"), _WORD, "term", lambda v: F.length(v) > 1)).alias("w"),
+
+
+def _terms_of(text: Column, pattern: str = _WORD) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.lower(w)))
+
+
+def _values(spans: DataFrame) -> DataFrame:
+    """_id, _key and every protected value of a row, once."""
+    values = F.array_distinct(F.transform("_base", lambda v: F.concat_ws(":", v["kind"], F.lower(v["value"]))))
+    return spans.filter(F.size("_base") > 0).select("_id", "_key", F.explode(values).alias("entity"))
+
+
+def _supported(spans: DataFrame) -> DataFrame:
+    """(entity, n_entity) of the values that stand in enough different texts; no other can have a disclosing word."""
+    return (
+        _values(spans)
+        .groupBy("entity", "_key")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("entity")
+        .agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
+        .filter(F.col("texts") >= SUPPORT)
+        .drop("texts")
     )
-    start, end = F.col("at") + F.col("w.start"), F.col("at") + F.col("w.end")
-    covered = F.exists("_base", lambda b: (b["start"] < end) & (b["end"] > start))  # part of a protected value itself
-    whole = (F.col("w.start") >= F.col("low")) & (F.col("w.end") <= F.col("high"))
-    return words.filter(whole & ~covered).select("_id", "_key", "entity", "context", F.lower("w.value").alias("term"), start.alias("start"), end.alias("end"))
 
 
-def disclosing_terms(beside: DataFrame, docs: DataFrame, spans: DataFrame) -> DataFrame:
+def _together(spans: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row per row of ``spans``, value and distinct word outside of protected values: _id, _key, entity, term."""
+    held = lookup_join(_values(spans).distinct(), entities.select("entity"), ["entity"], ["_key"], "inner")
+    held = held.groupBy("_id", "_key").agg(F.collect_list("entity").alias("_held"))
+    texts = spans.filter(F.size("_base") > 0).join(held, ["_id", "_key"])
+    words = _terms_of(_masked(F.col("_text"), F.col("_base")), _MASKED_WORD)
+    words = F.filter(words, lambda w: (F.length(w) > 1) & ~F.contains(w, F.lit(_MARK)))
+    return texts.select("_id", "_key", "_held", F.explode(words).alias("term")).select("_id", "_key", F.explode("_held").alias("entity"), "term")
+
+
+def disclosing_terms(together: DataFrame, docs: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of words that pass the lower threshold, from counts over all documents."""
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     pairs = (
-        beside.groupBy("entity", "term", "_id", "_key")
-        .agg(F.min("context").alias("context"))
-        .groupBy("entity", "term", "context")
+        together.groupBy("entity", "term", "_key")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("entity", "term")
-        .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts"))
-        .filter(F.col("contexts") >= SUPPORT)
+        .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts"))
+        .filter(F.col("texts") >= SUPPORT)
     )
-    entities = (
-        spans.select("_id", "_key", F.explode("_base").alias("v"))
-        .select("_id", "_key", F.concat_ws(":", "v.kind", F.lower("v.value")).alias("entity"))
-        .distinct()
-        .groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("n_entity"))
-    )
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    terms = docs.select(F.explode(_terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     both, e, t = F.col("n_both"), F.col("n_entity"), F.greatest("n_term", "n_both")
     disclosure = F.log2(total * both / (e * t)) / F.log2(total / e)
     return (
@@ -150,15 +175,26 @@ def disclosing_terms(beside: DataFrame, docs: DataFrame, spans: DataFrame) -> Da
 
 
 def _term_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(_id, _key, _terms) of the rows that hold disclosing words beside the value they disclose."""
-    beside = materialize(_beside(spans), "pii-beside")
-    terms = disclosing_terms(beside, docs, spans)
-    chosen = beside.join(terms, ["entity", "term"]).groupBy("_id", "_key", "start", "end", "term").agg(F.max("disclosure").alias("d"))
-    span = F.struct(
-        F.when(F.col("d") >= REMOVE, F.lit("removed")).otherwise(F.lit("term")).alias("kind"),
-        F.col("start").alias("start"), F.col("end").alias("end"), F.col("term").alias("value"),
+    """(_id, _key, _terms) of the rows that hold disclosing words and the value they disclose: all their places."""
+    entities = materialize(_supported(spans), "pii-values")
+    together = materialize(_together(spans, entities), "pii-together")
+    terms = materialize(disclosing_terms(together, docs, entities), "pii-disclosing")
+    chosen = (
+        lookup_join(together, terms, ["entity", "term"], ["_key"], "inner")
+        .groupBy("_id", "_key", "term")
+        .agg(F.max("disclosure").alias("d"))
+        .groupBy("_id", "_key")
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("_found"))
+    )
+    rows = spans.filter(F.size("_base") > 0).dropDuplicates(["_id", "_key"]).join(chosen, ["_id", "_key"])
+    places = F.filter(
+        _matches(F.col("_text"), _WORD, "term", lambda v: F.map_contains_key("_found", F.lower(v))),
+        lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])),  # part of a protected value itself
     )
-    return chosen.groupBy("_id", "_key").agg(F.array_sort(F.collect_list(span)).alias("_terms"))
+    rows = with_once(rows.select("_id", "_key", "_found", "_text", "_base"), _places=places)
+    kind = lambda s: F.when(F.element_at("_found", F.lower(s["value"])) >= REMOVE, F.lit("removed")).otherwise(F.lit("term"))
+    named = F.transform("_places", lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
+    return rows.select("_id", "_key", F.array_sort(named).alias("_terms"))
 
 
 def _listed(spans: Column) -> Column:
