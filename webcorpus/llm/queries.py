@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_extraction, language_id, license_scan, ngram_jaccard, quality_rules, repeated_bytes, sanitisation, sentencepiece_lattice, token_counts, toxicity
+from . import decontamination, html_extraction, language_id, license_scan, ngram_jaccard, quality_rules, repeated_bytes, sanitisation, sentencepiece_lattice, token_alignment, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digest(_table(spark, sf_dir, "documents"))
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ _ALL = (
     op8_benchmark_decontamination,
     op9_suffix_dedup,
     op10_sanitisation,
+    op11_token_alignment,
     op12_language_id,
 )
 
