@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_extraction, language_id, license_scan, ngram_jaccard, quality_rules, repeated_bytes, sanitisation, sentencepiece_lattice, token_alignment, token_counts, toxicity
+from . import conversation_trie, decontamination, html_extraction, language_id, license_scan, ngram_jaccard, quality_rules, repeated_bytes, sanitisation, sentencepiece_lattice, token_alignment, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.digest(_table(spark, sf_dir, "conversations"))
+
+
 _ALL = (
     op1_sentencepiece,
     op2_ngram_jaccard,
@@ -76,6 +80,7 @@ _ALL = (
     op10_sanitisation,
     op11_token_alignment,
     op12_language_id,
+    op13_conversation_trie,
 )
 
 
@@ -125,5 +130,29 @@ reached AS (SELECT doc_id, doc_id AS low FROM sets UNION SELECT r.doc_id, l.b FR
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.low) AS component_id FROM sets s JOIN reached r USING (doc_id) GROUP BY s.doc_id, len(s.s)"""
 
 
+# crc32 of an id's decimal digits: each byte, then its eight bits.
+_TRIE = r"""
+WITH given AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+                   lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 9 AS h
+          FROM (SELECT DISTINCT conv_id FROM given) t),
+parts AS (SELECT c.conv_id, 0 AS side, g.pos, g.role, g.text FROM convs c JOIN given g ON g.conv_id = c.base WHERE g.pos <= c.h
+          UNION ALL SELECT c.conv_id, 1, g.pos, g.role, g.text FROM convs c JOIN given g USING (conv_id) WHERE g.pos > c.h),
+paths AS (SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS size, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS path
+          FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY side, pos)
+          UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+nodes AS (SELECT path, any_value(depth) AS depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs FROM paths GROUP BY path),
+links AS (SELECT n.path, p.conv_id AS parent_conv_id, p.path AS up FROM nodes n JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 32)),
+kids AS (SELECT up AS path, count(*) AS n_children FROM links GROUP BY up),
+sums AS (SELECT left(n.path, 32 * a.k) AS path, count(*) FILTER (k.path IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved_tokens
+         FROM nodes n LEFT JOIN kids k USING (path), (SELECT unnest(range((SELECT max(depth) + 1 FROM nodes))) AS k) a WHERE a.k <= n.depth GROUP BY 1),
+ends AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+         FROM (SELECT conv_id, path FROM paths QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) t GROUP BY path)
+SELECT n.conv_id, n.depth, l.parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s USING (path) LEFT JOIN links l USING (path) LEFT JOIN kids k USING (path) LEFT JOIN ends e USING (path)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _JACCARD, "op5_quality_rules": _QUALITY}
+    return {"op2_ngram_jaccard": _JACCARD, "op5_quality_rules": _QUALITY, "op13_conversation_trie": _TRIE}
