@@ -44,8 +44,8 @@ SAMPLE_ROWS = 2000  # training rows of a language, about
 ROUNDS = 3  # of expectation maximisation, from equal probabilities
 SMOOTHING = 0.1  # added to every piece's expected count
 UNKNOWN = "und"
-_CACHED = 400_000  # words whose scores a worker remembers
-_AT_ONCE = 50_000  # words whose lattice is built at one time
+_CACHED = 200_000  # words whose scores a worker remembers
+_AT_ONCE = 20_000  # words whose lattice is built at one time
 _NOT_IN_WORDS = r"[^\p{L}\p{M}]+"
 
 
@@ -170,7 +170,7 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return pc.list_flatten(parts).dictionary_encode(), ends
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows with some megabytes of text."""
     sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
     row = 0
@@ -220,13 +220,13 @@ def train(rows: DataFrame, pieces: Pieces, rounds: int = ROUNDS, sample_rows: in
     """The model of the rows (id, lang, text) to learn from; None without any."""
     spark = rows.sparkSession
     rows = rows.filter("lang IS NOT NULL")
-    totals = rows.groupBy("lang").count()
-    counts = {r["lang"]: r["count"] for r in totals.collect()}  # one row per language
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return None
     scale = 1 << 20
-    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(scale)) * F.col("count") < F.lit(scale * sample_rows)
-    words = materialize(count_words(rows.join(totals, "lang").filter(drawn)), "language-words")
+    most = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, -(-scale * sample_rows // n))))
+    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(scale)) < most[F.col("lang")]
+    words = materialize(count_words(rows.filter(drawn)), "language-words")
     languages = sorted(counts)
     place = {lang: i for i, lang in enumerate(languages)}
     log_p = np.full((pieces.size, len(languages)), -np.log(pieces.size))
