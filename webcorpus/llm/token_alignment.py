@@ -40,7 +40,8 @@ from ..session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 4 << 20  # of text in a block
-_CACHED = 200_000  # units that a worker remembers
+_CACHED = 150_000  # units that a worker remembers
+_AT_ONCE = 4_000  # units that are encoded at one time
 _LOW = (1 << 32) - 1
 _BLANK = "▁"
 _MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
@@ -128,9 +129,9 @@ class Tokenizers:
     def find(self, units: list[bytes]) -> np.ndarray:
         """The number of each unit; new ones are encoded and aligned."""
         new = [u for u in units if u not in self.index]
-        if new:
-            self.index.update(zip(new, range(len(self.text), len(self.text) + len(new))))
-            self._add(new)
+        self.index.update(zip(new, range(len(self.text), len(self.text) + len(new))))
+        for i in range(0, len(new), _AT_ONCE):
+            self._add(new[i : i + _AT_ONCE])
         return np.array([self.index[u] for u in units], np.int64)
 
     def _add(self, units: list[bytes]) -> None:
@@ -157,7 +158,8 @@ class Tokenizers:
             together = ends_a[left] == ends_b[right]
             left, right = left[together], right[together]
         n_links = np.bincount(of_a[left], minlength=len(units))
-        self.pairs += np.split(flat_a[left] << 32 | flat_b[right], np.cumsum(n_links)[:-1])
+        linked, bounds = flat_a[left] << 32 | flat_b[right], [0, *np.cumsum(n_links).tolist()]
+        self.pairs += [linked[x:z] for x, z in zip(bounds, bounds[1:])]
 
         ids, side = np.concatenate([flat_a, flat_b]), np.repeat([0, 1], [len(flat_a), len(flat_b)])
         order = np.lexsort((side, group))  # stable: tokens of a side stay in order
