@@ -129,3 +129,39 @@ def test_many_seeds_of_one_host_share_file_urls(spark):
     run = run_sites(spark.createDataFrame([(f"https://h/{i}",) for i in range(4)], "url string"), pages, output_dir="o")
     assert sorted(r.filename for r in run.files.collect()) == ["r.pdf", "r_1.pdf", "r_2.pdf", "r_3.pdf"]
     assert {r.site: r.pages_scraped for r in run.stats.filter("is_total = 0").collect()} == {f"https://h/{i}": 4 - i for i in range(4)}
+
+
+def test_a_level_shuffles_only_its_own_rows(spark, monkeypatch):
+    """Between the graph, or the pages of all levels, and the join that reads them stands no exchange."""
+    from webcorpus.plans import crawl as module
+
+    plans, plain = [], module.next_queue
+
+    def recorded(reached, graph, depth, max_pages):
+        queue = plain(reached, graph, depth, max_pages)
+        plans.append(queue.join(graph.select("url", "page_id"), "url")._jdf.queryExecution().executedPlan().toString())
+        return queue
+
+    monkeypatch.setattr(module, "next_queue", recorded)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = {f"https://h/{i}": [f"https://h/{2 * i + 1}", f"https://h/{2 * i + 2}"] for i in range(20)}
+        assert crawled(spark, ["https://h/0"], edges, 0)["https://h/0"] == fifo("https://h/0", edges, 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lines = plans[2].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    scans = 0
+    for i, line in enumerate(lines):
+        if "FileScan" in line and ("crawl_graph" in line or "PartitionFilters: []" in line):
+            at, above = depth[i], []
+            for j in range(i, -1, -1):
+                if depth[j] < at:
+                    at = depth[j]
+                    above.append(lines[j])
+                    if "Join" in lines[j]:
+                        break
+            assert "Join" in above[-1] and not any("Exchange" in x for x in above)
+            scans += 1
+    assert scans == 3

@@ -4,23 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ..functions.once import with_once
 from ..functions.urls import is_downloadable, is_same_domain, is_valid_url, normalize_url, url_netloc
 from ..operators.files import with_anchors
 from ..operators.html import parse_pages
 from ..operators.links import classify_links, explode_links, unvisited
-from ..operators.numbering import running_total
 from ..operators.pages import later_copies, normalized_urls, without
 from ..operators.robots import with_robots
 from ..schemas import CRAWL
 from ..session import materialize, scratch_path
 
 _PARENTS = 1024  # parents per slice of a level's queue
-_PAGES_PER_BUCKET = 100_000  # of the stored graph: links only, some tens of megabytes
-_QUEUE = "site string, url string, parent_rank long, pos int"
+_REACHED = "site string, url string, page_id long, slice long, n long, site_start long, level int"
 
 
 def fetchable_pages(pages: DataFrame, policies: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
@@ -78,80 +75,83 @@ def crawl(seeds: DataFrame, graph: DataFrame, max_pages: int = 100, buckets: int
     with ``max_pages`` > 0 only ranks up to it are kept. Failed fetches do not
     count and yield no links.
 
-    The graph is written once, bucketed by URL, so a level shuffles its own
-    queue only. Each level writes its queue and its pages to the shared scratch
-    folder and the next starts from those tables: the plan does not grow with
-    depth and a lost executor costs no recomputation of earlier levels.
+    The state between levels is one table of the pages reached so far, bucketed
+    by (site, url); each level is one job that appends its pages to it. The
+    graph is bucketed by URL. A level therefore moves its own new rows only:
+    neither the graph nor the reached pages are shuffled again, however deep a
+    crawl is. Buckets are as many as shuffle partitions, so that what a level
+    shuffles meets them as it is. Reached pages carry their number within a
+    slice of parents and where their site's numbers began; ranks follow from
+    the sizes of the slices, so a level needs nothing but the level before it.
+    A lost executor costs no recomputation of earlier levels.
     """
     spark = seeds.sparkSession
     root = scratch_path(spark, "crawl")
-    width = buckets or graph.count() // _PAGES_PER_BUCKET + 1
-    table = f"crawl_graph_{uuid.uuid4().hex}"
+    width = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = uuid.uuid4().hex
+    graph_table, reached_table = f"crawl_graph_{name}", f"crawl_reached_{name}"
     (
-        graph.repartition(width, "url")
-        .write.bucketBy(width, "url")
-        .sortBy("url")
-        .option("path", f"{root}/graph")
-        .saveAsTable(table)
+        graph.select("url", "page_id", "targets").repartition(width, "url")
+        .write.bucketBy(width, "url").sortBy("url").option("path", f"{root}/graph").saveAsTable(graph_table)
     )
-    stored = spark.table(table)
+    stored = spark.table(graph_table)
+    zero = F.lit(0).cast("long")
+    queue = (
+        seeds.filter(is_valid_url(F.col("url")))
+        .select(F.col("url").alias("site"), normalize_url(F.col("url")).alias("url")).distinct()
+        .select("site", "url", zero.alias("parent_rank"), F.lit(0).alias("pos"), zero.alias("site_start"))
+    )
+    depth = 0
     try:
-        start = (
-            seeds.filter(is_valid_url(F.col("url")))
-            .select(F.col("url").alias("site"), normalize_url(F.col("url")).alias("url"))
-            .distinct()
-            .select("site", "url", F.lit(0).cast("long").alias("parent_rank"), F.lit(0).alias("pos"))
-        )
-        start.write.parquet(f"{root}/queue/level=0")
-        depth = 0
-        while True:
-            queue = spark.read.schema(_QUEUE).parquet(f"{root}/queue/level={depth}")
-            if queue.isEmpty():
-                break
-            _fetch_level(queue, stored, f"{root}/pages", depth, max_pages)
-            _queue_next(spark, stored, root, depth, max_pages)
+        while _append_level(queue, stored, reached_table, f"{root}/reached", depth, width):
+            queue = next_queue(spark.table(reached_table), stored, depth, max_pages)
             depth += 1
     finally:
-        spark.sql(f"DROP TABLE {table}")  # external: only the catalog entry goes
+        for table in (graph_table, reached_table):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: only the catalog entry goes
     if not depth:
         return spark.createDataFrame([], CRAWL)
-    return _crawled(spark, f"{root}/pages", range(depth)).select(*CRAWL.names)
+    reached = _ranked(spark.read.schema(_REACHED).parquet(f"{root}/reached"), ["level", "site"])
+    if max_pages > 0:
+        reached = reached.filter(F.col("fifo_rank") <= max_pages)
+    return reached.select("site", "url", F.col("level").alias("depth"), "fifo_rank", "page_id")
 
 
-def _crawled(spark, pages_path, depths) -> DataFrame:
-    paths = [f"{pages_path}/depth={d}" for d in depths]
-    return spark.read.schema(CRAWL).option("basePath", pages_path).parquet(*paths)
+def _append_level(queue: DataFrame, graph: DataFrame, table: str, path: str, depth: int, width: int) -> int:
+    """Add the queue's pages that can be fetched to the reached ones; how many they are."""
+    slice_of = ["site", "slice"]
+    hits = queue.join(graph.select("url", "page_id"), "url").withColumn("slice", F.floor(F.col("parent_rank") / _PARENTS))
+    numbered = hits.withColumn("n", F.row_number().over(Window.partitionBy(*slice_of).orderBy("parent_rank", "pos")))
+    found = Observation()
+    (
+        numbered.select("site", "url", "page_id", "slice", F.col("n").cast("long").alias("n"), "site_start", F.lit(depth).alias("level"))
+        .observe(found, F.count(F.lit(1)).alias("pages"))
+        .repartition(width, "site", "url")
+        .write.mode("append").partitionBy("level").bucketBy(width, "site", "url").option("path", path).saveAsTable(table)
+    )
+    return found.get["pages"]
 
 
-def _fetch_level(queue, graph, pages_path, depth, max_pages):
-    """Write the level's pages, ranked after those of earlier levels and cut at the cap."""
-    spark = queue.sparkSession
-    hits = queue.join(graph.select("url", "page_id"), "url").persist(StorageLevel.DISK_ONLY)
-    done = None
-    if depth:
-        earlier = _crawled(spark, pages_path, range(depth))
-        done = earlier.groupBy("site").agg(F.max("fifo_rank").alias("start"))
-    ranked = running_total(
-        hits, ["site"], F.floor(F.col("parent_rank") / _PARENTS), ["parent_rank", "pos"], "place", start=done
+def _ranked(reached: DataFrame, keys: list[str]) -> DataFrame:
+    """Reached pages with fifo_rank, and next_start: their site's pages up to and with this level."""
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = reached.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("_n"), F.min("site_start").alias("_start"))
+    starts = sizes.select(
+        *keys, "slice",
+        (F.col("_start") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_before"),
+        (F.col("_start") + F.sum("_n").over(Window.partitionBy(*keys))).alias("next_start"),
     )
-    if max_pages > 0:
-        ranked = ranked.filter(F.col("place") <= max_pages)
-    ranked.select("site", "url", F.col("place").alias("fifo_rank"), "page_id").write.parquet(f"{pages_path}/depth={depth}")
-    hits.unpersist()
+    return reached.join(starts, [*keys, "slice"]).withColumn("fifo_rank", F.col("_before") + F.col("n"))
 
 
-def _queue_next(spark, graph, root, depth, max_pages):
-    """Write the next level's queue: new targets of this level's pages, sites at their cap left out."""
-    level = _crawled(spark, f"{root}/pages", [depth])
+def next_queue(reached: DataFrame, graph: DataFrame, depth: int, max_pages: int) -> DataFrame:
+    """What the pages of level ``depth`` link to and no level has reached; sites at their cap are done."""
+    level = _ranked(reached.filter(F.col("level") == depth), ["site"])
     if max_pages > 0:
-        full = level.filter(F.col("fifo_rank") == max_pages).select("site")
-        level = level.join(full, "site", "left_anti")
+        level = level.filter(F.col("next_start") < max_pages)
     links = (
         level.join(graph.select("url", "targets"), "url")
-        .select("site", F.col("fifo_rank").alias("parent_rank"), F.inline("targets"))
+        .select("site", F.col("fifo_rank").alias("parent_rank"), F.col("next_start").alias("site_start"), F.inline("targets"))
         .withColumnRenamed("target", "url")
     )
-    visited = spark.read.schema(_QUEUE).option("basePath", f"{root}/queue").parquet(
-        *[f"{root}/queue/level={d}" for d in range(depth + 1)]
-    )
-    unvisited(links, visited, ["site", "url"], ["parent_rank", "pos"]).write.parquet(f"{root}/queue/level={depth + 1}")
+    return unvisited(links, reached, ["site", "url"], ["parent_rank", "pos", "site_start"])
