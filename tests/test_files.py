@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.operators.files import file_sections, name_files, page_files, with_anchors
 from webcorpus.operators.numbering import digest_chunk, running_total
-from webcorpus.operators.skew import lookup_join
+from webcorpus.operators.skew import hot_keys, lookup_join
 
 
 def one_by_one(urls):
@@ -108,5 +108,27 @@ def test_lookup_join_keeps_every_row_of_a_hot_key(spark):
     assert {(r.id, r.key, r.twice) for r in left.collect()} == {
         (i, 0 if i % 3 == 0 else i, 2 * (0 if i % 3 == 0 else i) if (i % 3 == 0 or i < 3000) else None) for i in range(6000)}
     assert left.count() == 6000
-    hot_tasks = rows.filter("key = 0").select(F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).distinct().count()
-    assert hot_tasks == 64
+
+
+def test_lookup_join_reads_its_input_once_and_splits_hot_keys(spark):
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, -1).otherwise(F.col("id")).alias("key"))
+    table = spark.createDataFrame([(-1, "hot"), (-1, "twice"), (5, "five"), (None, "never")], "key long, name string")
+    joined = lookup_join(rows.mapInArrow(count, rows.schema), table, ["key"], ["id"])
+    found = joined.collect()
+    assert passed.value == 40_000
+    expected = {"hot": 13_333, "twice": 13_333, "five": 1, None: 40_000 - 13_333 - 1}
+    names = [r.name for r in found]
+    assert {n: names.count(n) for n in expected} == expected and len(found) == sum(expected.values())
+    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString() and joined.columns == ["key", "id", "name"]
+
+
+def test_hot_keys_fill_more_than_a_partition():
+    assert hot_keys([(7, 500), (8, 126), (9, 125), (10, 1)], 1000, 8) == [(7, 4), (8, 2)]
+    assert hot_keys([], 0, 8) == []

@@ -193,9 +193,7 @@ def file_sections(pairs: DataFrame, pages: DataFrame, files: DataFrame, output_d
     of the site; parts keep that page from becoming one row and one task.
     """
     key = ["site", "page_id"]
-    pairs = materialize(pairs, "pairs")
     named = lookup_join(pairs, files.select("site", "file_url", "local_path"), ["site", "file_url"], ["page_id"], "inner")
-    named = materialize(named, "named-pairs")
     places = with_once(pages.select(*key, "page_url"), md_dir=markdown_dir(F.col("page_url"), output_dir))
     placed = lookup_join(named, materialize(places, "places"), key, ["file_url"], "inner")
     line = F.concat(

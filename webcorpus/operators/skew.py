@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-_SHARE = 1000  # a key is hot when it holds more than 1/_SHARE of the rows, so there are fewer than _SHARE of them
-_SALTS = 64
+from ..session import materialize
+
+_MOST_HOT = 4096  # hot keys that are told apart, at most
+_TRACKED = 16  # keys that the sketch tracks for each that it reports
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], spread_by: list[str], how: str = "left") -> DataFrame:
     """``rows`` joined to ``table`` (inner or left), hot keys split over many tasks.
 
-    Rows of a hot key are salted by a hash of ``spread_by`` and the table's
-    rows of that key are repeated once per salt; every other key joins as
-    usual. The list of hot keys is broadcast: by its definition it is shorter
-    than ``_SHARE``.
+    ``rows`` is evaluated once: it is written down, and a sketch of its most
+    frequent keys is taken on the way. A key with more rows than a partition
+    has on average is hot. Its rows are salted by a hash of ``spread_by`` into
+    as many parts as partitions that they would fill, and the table's rows of
+    that key are repeated once per part; every other key joins as usual. There
+    are fewer hot keys, and fewer repeats in all, than twice the partitions.
     """
-    counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(
-        counts.filter(F.col("_n") * _SHARE > counts.agg(F.sum("_n")).scalar()).select(*on, F.lit(_SALTS).alias("_salts"))
-    )
-    salted = rows.join(hot, on, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread_by), F.coalesce("_salts", F.lit(1))).cast("int")
-    )
-    repeated = table.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    spark = rows.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reported = min(2 * partitions, _MOST_HOT)
+    key, seen = F.xxhash64(*on), Observation()
+    sketch = F.expr(f"approx_top_k(_hash, {reported}, {reported * _TRACKED})")
+    counted = rows.withColumn("_hash", key).observe(seen, F.count(F.lit(1)).alias("n"), sketch.alias("top"))
+    stored = materialize(counted, "lookup-rows")
+    hot = hot_keys(seen.get["top"], seen.get["n"], partitions)
+    if not hot:
+        return stored.drop("_hash").join(table, on, how)
+    parts = F.broadcast(spark.createDataFrame(hot, "_hash long, _parts int"))  # fewer rows than two for each partition
+    salted = stored.join(parts, "_hash", "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.coalesce("_parts", F.lit(1))).cast("int"))
+    repeated = table.withColumn("_hash", key).join(parts, "_hash", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
     )
-    return salted.drop("_salts").join(repeated.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+    return salted.drop("_parts", "_hash").join(repeated.drop("_parts", "_hash"), [*on, "_salt"], how).drop("_salt")
+
+
+def hot_keys(top: list, total: int, partitions: int) -> list[tuple[int, int]]:
+    """(key, parts) of the keys that fill more than one partition, by the sketch's (item, count)."""
+    return [(item, parts) for item, count in top if (parts := -(-count * partitions // total)) > 1]
