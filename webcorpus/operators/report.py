@@ -4,32 +4,55 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.fixed import DELIVERABLE_LABELS, IMAGE_LABELS
 from ..functions.paths import extension_bucket, extension_label
 from .uploads import failure_details, failure_reasons
 
 
-def site_stats(seeds: DataFrame, pages: DataFrame, files: DataFrame) -> DataFrame:
-    """Pages scraped and converted and files per site, and the grand total (``is_total`` = 1).
+def busy_seconds(fetches: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+    """(site, busy): seconds of each slice of time in which at least one fetch of the site ran.
 
-    ``pages``: site, converted (boolean). A site without pages has zeros. Every
-    input is counted per site before anything is joined.
+    ``fetches``: site, started, ended in seconds. The union of a site's
+    intervals is taken slice by slice, so a site with any share of the fetches
+    is dealt by time; the sum of its rows is its busy time.
     """
-    counts = (
-        seeds.select("site", *[F.lit(0).alias(c) for c in ("scraped", "converted", "downloaded")])
-        .unionByName(
-            pages.select("site", F.lit(1).alias("scraped"), F.col("converted").cast("int"), F.lit(0).alias("downloaded"))
-        )
-        .unionByName(files.select("site", F.lit(0).alias("scraped"), F.lit(0).alias("converted"), F.lit(1).alias("downloaded")))
-    )
-    return counts.rollup("site").agg(
-        F.grouping_id().cast("int").alias("is_total"),
-        F.sum("scraped").alias("pages_scraped"),
-        F.sum("converted").alias("pages_converted"),
-        F.sum("downloaded").alias("files_downloaded"),
+    slices = F.sequence(F.floor(F.col("started") / slice_seconds), F.floor(F.col("ended") / slice_seconds))
+    cut = fetches.filter("ended >= started").select("site", "started", "ended", F.explode(slices).alias("slice")).select(
+        "site", "slice",
+        F.greatest("started", F.col("slice") * slice_seconds).alias("started"),
+        F.least("ended", (F.col("slice") + 1) * slice_seconds).alias("ended"),
     )
+    earlier = Window.partitionBy("site", "slice").orderBy("started", "ended").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.col("ended") - F.greatest("started", F.coalesce(F.max("ended").over(earlier), F.col("started")))
+    return cut.select("site", "slice", F.greatest(new, F.lit(0.0)).alias("busy")).groupBy("site", "slice").agg(F.sum("busy").alias("busy")).drop("slice")
+
+
+def site_stats(seeds: DataFrame, pages: DataFrame, files: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
+    """Per site, and in total (``is_total`` = 1): websites, pages scraped and converted, files, and durations.
+
+    ``pages``: site, converted (boolean). A site without pages has zeros.
+    ``fetches`` (site, started, ended in seconds) gives duration_seconds, from
+    the first start to the last end, and busy_seconds, with at least one fetch
+    running; in total, busy_seconds is summed over the sites. Every input is
+    counted per site before anything is joined.
+    """
+    rows = seeds.select("site", F.lit(1).alias("websites"))
+    for more in (
+        pages.select("site", F.lit(1).alias("scraped"), F.col("converted").cast("int").alias("converted")),
+        files.select("site", F.lit(1).alias("downloaded")),
+        *([] if fetches is None else [fetches.select("site", "started", "ended"), busy_seconds(fetches)]),
+    ):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    counts = {"websites": "websites_processed", "scraped": "pages_scraped", "converted": "pages_converted", "downloaded": "files_downloaded"}
+    aggregates = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in counts.items()]
+    if fetches is not None:
+        aggregates += [
+            F.coalesce(F.max("ended") - F.min("started"), F.lit(0.0)).alias("duration_seconds"),
+            F.coalesce(F.sum("busy"), F.lit(0.0)).alias("busy_seconds"),
+        ]
+    return rows.rollup("site").agg(F.grouping_id().cast("int").alias("is_total"), *aggregates)
 
 
 def extension_histogram(inventory: DataFrame) -> DataFrame:

@@ -24,6 +24,15 @@ def classify_files(
     )
 
 
+def inventory_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file_path, change) between two listings (file_path, size): added, removed or resized. Unchanged files are left out."""
+    old, new = before.select("file_path", F.col("size").alias("_old")), after.select("file_path", F.col("size").alias("_new"))
+    change = (
+        F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "resized")
+    )
+    return old.join(new, "file_path", "full").select("file_path", change.alias("change")).filter("change IS NOT NULL")
+
+
 def select_new(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files not yet in the ledger, by exact path."""
     return files.join(ledger.select("file_path"), "file_path", "left_anti")

@@ -71,6 +71,9 @@ SELECT page_id, 'https://' || host || '/t/' || k AS url, CASE WHEN k % 7 = 0 THE
        '<a href="../t/' || CAST(floor(k / 2) AS BIGINT) || '">up</a><a href="/get/paper' || (k % 5) || '.pdf?v=' || k ||
        '">paper</a>' || html END AS html FROM (SELECT n.*, p.html FROM {nodes} n JOIN {pages} p ON n.page_id = p.page_id) w
 UNION ALL SELECT -1 - page_id, 'https://' || host || '/t/' || k || '/', CASE WHEN k % 2 = 0 THEN '' END FROM {nodes} WHERE k % 5 = 1""",
+    # When each page was fetched, in seconds.
+    "web_fetches": """
+SELECT page_id, CAST(page_id * 7 % 5000 AS DOUBLE) AS started, page_id * 7 % 5000 + (page_id % 9 + 1) / CAST(4 AS DOUBLE) AS ended FROM {web}""",
     "web_seeds": "SELECT 'https://' || host || '/t/1' AS url FROM {nodes} WHERE k = 1",
     "web_robots": """
 SELECT DISTINCT 'https://' || host AS origin, 200 AS fetch_status, 'User-agent: *' || chr(10) ||

@@ -214,14 +214,19 @@ GROUP BY p.page_id, p.url, r.policy""",
     "crawl_uncapped": _CRAWLED,
     "site_stats": _REACHED + """,
 kept AS (SELECT * FROM fetched WHERE fifo_rank <= 10 AND host NOT LIKE '%spam-farm%'),
+timed AS (SELECT k.host, w.started, w.ended FROM kept k JOIN {nodes} n ON n.host = k.host AND n.k = k.k JOIN {web_fetches} w ON w.page_id = n.page_id),
+busy AS (SELECT host, sum(greatest(ended - greatest(started, coalesce(reached, started)), 0)) AS busy, min(started) AS first, max(ended) AS last FROM
+         (SELECT *, max(ended) OVER (PARTITION BY host ORDER BY started, ended ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM timed) t GROUP BY host),
 sites AS (SELECT h.host, count(DISTINCT k.k) AS pages_scraped,
                  count(DISTINCT CASE WHEN k.k % 5 <> 1 THEN k.k % 5 END) AS files_downloaded
           FROM (SELECT DISTINCT host FROM {nodes}) h LEFT JOIN kept k ON h.host = k.host GROUP BY h.host)
-SELECT 'https://' || host || '/t/1' AS site, 0 AS is_total, CAST(sum(pages_scraped) AS BIGINT) AS pages_scraped,
-       CAST(sum(pages_scraped) AS BIGINT) AS pages_converted, CAST(sum(files_downloaded) AS BIGINT) AS files_downloaded
-FROM sites GROUP BY host
+SELECT 'https://' || host || '/t/1' AS site, 0 AS is_total, 1 AS websites_processed, CAST(sum(pages_scraped) AS BIGINT) AS pages_scraped,
+       CAST(sum(pages_scraped) AS BIGINT) AS pages_converted, CAST(sum(files_downloaded) AS BIGINT) AS files_downloaded,
+       coalesce(any_value(last - first), 0) AS duration_seconds, coalesce(any_value(busy), 0) AS busy_seconds
+FROM sites LEFT JOIN busy USING (host) GROUP BY host
 UNION ALL
-SELECT NULL, 1, CAST(sum(pages_scraped) AS BIGINT), CAST(sum(pages_scraped) AS BIGINT), CAST(sum(files_downloaded) AS BIGINT) FROM sites""",
+SELECT NULL, 1, count(*), CAST(sum(pages_scraped) AS BIGINT), CAST(sum(pages_scraped) AS BIGINT), CAST(sum(files_downloaded) AS BIGINT),
+       max(last) - min(first), sum(busy) FROM sites LEFT JOIN busy USING (host)""",
     "page_paths": f"SELECT page_id, {_dir('url')} AS dir, {_name('url')} AS filename FROM {{pages}}",
     "link_paths": f"""
 SELECT norm AS url, {_dir('norm')} AS dir, {_name('norm')} AS filename FROM (SELECT DISTINCT norm FROM ({_RESOLVED}) r) l""",
@@ -257,7 +262,19 @@ UNION ALL SELECT '(total)', count(*), NULL FROM {{inventory}}""",
     "upload_select": "SELECT * FROM {inventory} WHERE file_path NOT IN (SELECT file_path FROM {ledger})",
     "upload_attempts": f"SELECT * EXCLUDE (ts) FROM ({_ATTEMPTS}) a",
     "attempts_round_trip": f"SELECT * EXCLUDE (ts) FROM ({_ATTEMPTS}) a",
-    "log_round_trip": "SELECT value, count(*) AS n FROM {run_log} GROUP BY value",
+    "log_round_trip": "SELECT row_number() OVER (ORDER BY source, line_no, value) - 1 AS line_no, value FROM {run_log}",
+    "failures_round_trip": "SELECT file_path, reason, response, file_size, count(*) AS n FROM {failures} GROUP BY file_path, reason, response, file_size",
+    "runs_round_trip": f"""
+SELECT job_id, strftime(arg_min(ts, event_id), '%Y-%m-%d') AS start_time, arg_max(status, event_id) AS status FROM {{run_events}} GROUP BY job_id""",
+    "tree_round_trip": f"""
+SELECT dir || '/' || filename AS file_path, strlen(url || chr(10) || html) AS size, md5(url || chr(10) || html) AS content
+FROM (SELECT *, {_dir('url')} AS dir, {_name('url')} AS filename FROM {{pages}} WHERE html <> '') p
+QUALIFY row_number() OVER (PARTITION BY dir, filename ORDER BY page_id DESC) = 1""",
+    "inventory_diff": """
+SELECT coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN a.file_path IS NULL THEN 'added' WHEN b.file_path IS NULL THEN 'removed' ELSE 'resized' END AS change
+FROM {inventory} a FULL JOIN (SELECT file_path, size + CASE WHEN size % 3 = 0 THEN 1 ELSE 0 END AS size FROM {present}
+                              UNION ALL SELECT file_path, 1 FROM {ledger} WHERE file_path LIKE 'corpus/gone/%') b ON a.file_path = b.file_path
+WHERE a.size IS DISTINCT FROM b.size""",
     "seeds_round_trip": """
 SELECT url FROM {candidates} c WHERE EXISTS (
   SELECT 1 FROM {probes} p WHERE p.url = CASE WHEN c.url LIKE 'http%://%' THEN c.url ELSE 'https://' || c.url END
@@ -352,6 +369,10 @@ SELECT event_id, CASE WHEN s >= 3600 THEN printf('%02d:%02d:%02d', s // 3600, s
 FROM (SELECT event_id, CAST(trunc(value * 60) AS BIGINT) AS s FROM {events}) e""",
     "stream_log": _EVENT_LOG,
     "stream_counts": f"SELECT kind, count(DISTINCT file_path) AS files FROM ({_EVENT_KIND}) k WHERE kind <> 'other' GROUP BY kind",
+    "stream_ledger": f"""
+SELECT file_path, count(*) AS n FROM (
+  SELECT file_path FROM {{ledger}} UNION ALL
+  SELECT file_path FROM ({_CLASSIFIED}) c WHERE status = 'eligible' AND file_path NOT IN (SELECT file_path FROM {{ledger}})) l GROUP BY file_path""",
     "stream_select": f"""
 SELECT file_path, ext, mime FROM ({_CLASSIFIED}) c WHERE status = 'eligible' AND file_path NOT IN (SELECT file_path FROM {{ledger}})""",
 }

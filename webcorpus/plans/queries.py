@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,11 +19,12 @@ from ..functions.paths import (
 )
 from ..functions.urls import is_downloadable, is_valid_url, normalize_url, url_netloc, url_path, url_scheme
 from ..operators import files as file_ops, html, links, logs, pages as page_ops, report, robots, runs, seeds, uploads
-from ..session import scratch_path
-from ..sinks.tables import append_attempts, append_ledger, append_live_seeds
-from ..sources.tables import read_ledger, read_log, read_seed_list
+from ..session import materialize, scratch_path
+from ..sinks.tables import append_attempts, append_ledger, append_live_seeds, export_tree
+from ..sources.tables import read_failures, read_inventory, read_ledger, read_log, read_runs, read_seed_list
 from ..streaming import follow
 from . import analysis, crawl as crawling, site_run
+from .delivery_run import deliver
 from .derived import table
 
 OUT = "corpus"
@@ -145,7 +147,7 @@ def crawl_uncapped(spark, sf_dir):
 def site_stats(spark, sf_dir):
     run = site_run.run_sites(
         table(spark, sf_dir, "web_seeds"), table(spark, sf_dir, "web"), table(spark, sf_dir, "web_robots"),
-        output_dir=OUT, max_pages_per_site=10,
+        output_dir=OUT, max_pages_per_site=10, fetches=table(spark, sf_dir, "web_fetches"),
     )
     return run.stats
 
@@ -415,10 +417,58 @@ def attempts_round_trip(spark, sf_dir):
 
 @query
 def log_round_trip(spark, sf_dir):
-    """Lines written as a folder of text files."""
+    """Lines written as a folder of text files of unlike size, and read in order."""
     path = scratch_path(spark, "log")
-    table(spark, sf_dir, "run_log").repartitionByRange(4, "source", "line_no").select("value").write.text(path)
-    return read_log(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+    lines = table(spark, sf_dir, "run_log").repartitionByRange(4, "source", "line_no", "value").sortWithinPartitions("source", "line_no", "value")
+    lines.select("value").write.text(path)
+    return read_log(spark, path)
+
+
+@query
+def failures_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "failures")
+    table(spark, sf_dir, "failures").drop("source", "line_no").write.json(path)
+    return read_failures(spark, path).groupBy("file_path", "reason", "response", "file_size").agg(F.count("*").alias("n"))
+
+
+@query
+def runs_round_trip(spark, sf_dir):
+    """A JSON document per run."""
+    path = scratch_path(spark, "runs")
+    events = table(spark, sf_dir, "run_events").groupBy("job_id").agg(
+        F.date_format(F.min_by("ts", "event_id"), "yyyy-MM-dd").alias("start_time"), F.max_by("status", "event_id").alias("status")
+    )
+    document = F.to_json(F.struct(*events.columns))
+    export_tree(events.select(F.lit("runs").alias("dir"), F.concat("job_id", F.lit(".json")).alias("filename"), F.lit(0).alias("part"), document.alias("text")), path)
+    return read_runs(spark, f"{path}/runs").select("job_id", "start_time", "status")
+
+
+@query
+def tree_round_trip(spark, sf_dir):
+    """Pages as a tree of files, each of two parts, listed and read again."""
+    path = scratch_path(spark, "tree")
+    paths = _markdown_paths(spark, sf_dir).withColumn("fifo_rank", F.col("page_id"))
+    html = table(spark, sf_dir, "pages").select("page_id", "html").filter("html <> ''")
+    kept, _ = site_run.settle_paths(paths.join(html, "page_id"))
+    texts = F.array(F.concat("url", F.lit("\n")), F.col("html"))
+    export_tree(kept.select("dir", "filename", F.posexplode(texts).alias("part", "text")), path)
+    root = re.sub("^file:/+", "/", path) + "/"
+    listed = read_inventory(spark, path, below=root)
+    read = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+        F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"), F.lit(root)).alias("file_path"), F.md5("value").alias("content")
+    )
+    return listed.join(read, "file_path")
+
+
+@query
+def inventory_diff(spark, sf_dir):
+    """Two listings, each written as a table; the later one lacks files, has others and other sizes."""
+    root = scratch_path(spark, "listings")
+    later = table(spark, sf_dir, "present").select("file_path", F.when(F.col("size") % 3 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
+    added = table(spark, sf_dir, "ledger").filter("file_path LIKE 'corpus/gone/%'").select("file_path", F.lit(1).alias("size"))
+    table(spark, sf_dir, "inventory").select("file_path", "size").write.parquet(f"{root}/version=1")
+    later.unionByName(added).write.parquet(f"{root}/version=2")
+    return uploads.inventory_diff(spark.read.parquet(f"{root}/version=1"), spark.read.parquet(f"{root}/version=2"))
 
 
 # -- Streams ------------------------------------------------------------------
@@ -437,8 +487,15 @@ def _streamed_log(spark, sf_dir):
 
 @query
 def stream_log(spark, sf_dir):
+    """Log files that a query follows in two runs: the second reads what has come since."""
     root = scratch_path(spark, "stream-log")
-    follow.write_stream(_shown(_streamed_log(spark, sf_dir)), f"{root}/out", f"{root}/state")
+    lines = _event_lines(table(spark, sf_dir, "event_log")).select(F.col("event_id"), F.concat("value", F.lit("\t"), F.col("event_id")).alias("value"))
+    followed = follow.tail_lines(spark, f"{root}/in").select(
+        F.substring_index("value", "\t", -1).cast("long").alias("event_id"), F.substring_index("value", "\t", 1).alias("value")
+    )
+    for late in (False, True):
+        lines.filter((F.col("event_id") % 3 == 0) == F.lit(late)).select("value").write.mode("append").text(f"{root}/in")
+        follow.write_stream(_shown(logs.parse_log(followed)), f"{root}/out", f"{root}/state")
     return spark.read.parquet(f"{root}/out")
 
 
@@ -450,11 +507,37 @@ def stream_counts(spark, sf_dir):
     return spark.read.parquet(f"{root}/out")
 
 
+def _delivered(spark, sf_dir):
+    """The folders of attempts and ledger after a stream of three batches, the second of them done again."""
+    root = scratch_path(spark, "stream-select")
+    ledger, attempts = f"{root}/ledger", f"{root}/attempts"
+    append_ledger(table(spark, sf_dir, "ledger").withColumn("first_uploaded_at", F.lit(None).cast("timestamp")), ledger)
+    files = table(spark, sf_dir, "inventory").select("file_path", "size")
+    files.repartitionByRange(3, "file_path").write.parquet(f"{root}/in")
+    arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    when = F.lit("2025-01-03 00:00:00").cast("timestamp")
+
+    def send(chosen: DataFrame) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return chosen.select(
+            F.lit("s").alias("run_id"), when.alias("ts"), "file_path", F.lit(200).alias("http_status"), none.alias("response"), none.alias("error"),
+            "size", F.lit(0.0).alias("started"), F.lit(1.0).alias("ended"),
+        )
+
+    follow.stream_delivery(arriving, send, ledger, attempts, "s", when, f"{root}/state")
+    again = materialize(spark.read.parquet(f"{attempts}/batch=s-1").select("file_path", F.col("file_size").alias("size")), "again")
+    deliver(again, send, ledger, attempts, "s", when, "1")
+    return attempts, ledger
+
+
 @query
 def stream_select(spark, sf_dir):
-    from .derived import DERIVED
+    attempts, _ = _delivered(spark, sf_dir)
+    sent = spark.read.parquet(attempts).filter("status = 'success'").select("file_path")
+    return uploads.classify_files(sent).select("file_path", "ext", "mime")
 
-    root = scratch_path(spark, "stream-select")
-    arriving = spark.sql(DERIVED["inventory"], documents=_stream(spark, sf_dir, "documents"))
-    follow.stream_selection(arriving, table(spark, sf_dir, "ledger"), f"{root}/out", f"{root}/state")
-    return spark.read.parquet(f"{root}/out").select("file_path", "ext", "mime")
+
+@query
+def stream_ledger(spark, sf_dir):
+    _, ledger = _delivered(spark, sf_dir)
+    return read_ledger(spark, ledger).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))

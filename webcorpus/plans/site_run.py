@@ -31,11 +31,15 @@ class SiteRun:
 def settle_paths(markdown: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, lost) when several pages have one output path: the last one written stays.
 
-    ``markdown``: page_id, site, fifo_rank, dir, filename and more.
+    ``markdown``: page_id, site, url, fifo_rank, dir, filename and more. Who
+    stays is settled on these columns and written down; the rest of a row, its
+    text above all, is moved once, by its own key, and only where it is kept.
+    ``lost`` has the narrow columns.
     """
+    narrow = [c for c in ("site", "page_id", "url", "fifo_rank", "dir", "filename") if c in markdown.columns]
     last = markdown.groupBy("dir", "filename").agg(F.max(F.struct("fifo_rank", "site", "page_id")).alias("last"))
-    winners = last.select("last.site", "last.page_id")
-    return markdown.join(winners, ["site", "page_id"], "left_semi"), markdown.join(winners, ["site", "page_id"], "left_anti")
+    winners = materialize(last.select("last.site", "last.page_id"), "winners")
+    return markdown.join(winners, ["site", "page_id"], "left_semi"), markdown.select(*narrow).join(winners, ["site", "page_id"], "left_anti")
 
 
 def run_sites(
@@ -47,13 +51,15 @@ def run_sites(
     max_pages_per_site: int = 100,
     download_files: bool = True,
     match: str = "text",
+    fetches: DataFrame | None = None,
 ) -> SiteRun:
     """Crawl the archive ``pages`` from ``seeds`` (url) and lay the result out as a corpus.
 
     ``robots``: origin, fetch_status, body. ``content_types``: file_url,
     content_type of files whose URL shows no extension. ``match`` says which
     files a page lists: ``text`` goes by URLs found in texts (see
-    ``page_files``), ``links`` by what the page links to.
+    ``page_files``), ``links`` by what the page links to. ``fetches``: page_id,
+    started, ended in seconds, from which the statistics get durations.
     """
     if match not in ("text", "links"):
         raise ValueError(f"match must be text or links, not {match}")
@@ -89,6 +95,7 @@ def run_sites(
         seeds.select(F.col("url").alias("site")),
         markdown.select("site", F.col("markdown").isNotNull().alias("converted")),
         files,
+        None if fetches is None else crawled.select("site", "page_id").join(fetches, "page_id"),
     )
 
     def sections() -> DataFrame:

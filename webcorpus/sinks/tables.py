@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import sys
+import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ..schemas import LEDGER
+from .file_tree import FileTree
 
 
 def write_markdown(markdown: DataFrame, path: str) -> None:
@@ -24,27 +23,15 @@ def write_markdown(markdown: DataFrame, path: str) -> None:
 
 
 def export_tree(parts: DataFrame, root: str) -> None:
-    """The corpus as a tree of UTF-8 files under ``root``, a folder every executor can write.
+    """The corpus as a tree of UTF-8 files under ``root``, on storage that all executors share.
 
     ``parts``: dir, filename, part, text. A file's parts arrive in order in one
-    task and are written one at a time, so no file is held in memory.
+    task and are written one at a time, so no file is held in memory. See
+    ``file_tree`` for what a failed task or job leaves behind.
     """
-
-    def write(rows):
-        path = handle = None
-        for row in rows:
-            target = os.path.join(root, row["dir"], row["filename"])
-            if target != path:
-                if handle:
-                    handle.close()
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                path, handle = target, open(target, "w", encoding="utf-8")
-            handle.write(row["text"])
-        if handle:
-            handle.close()
-
+    parts.sparkSession.dataSource.register(FileTree)
     ordered = parts.select("dir", "filename", "part", "text").repartition("dir", "filename")
-    ordered.sortWithinPartitions("dir", "filename", "part").foreachPartition(write)
+    ordered.sortWithinPartitions("dir", "filename", "part").write.format("file_tree").mode("append").save(root)
 
 
 def document_parts(kept: DataFrame, sections: DataFrame) -> DataFrame:
@@ -60,13 +47,20 @@ def append_live_seeds(seeds: DataFrame, path: str) -> None:
     seeds.orderBy("seed_id").select("url").write.mode("append").text(path)
 
 
-def append_attempts(attempts: DataFrame, path: str) -> None:
-    """Attempts, one folder per run; current failures are a query over all of them."""
-    attempts.write.mode("append").partitionBy("run_id").parquet(path)
+def append_attempts(attempts: DataFrame, path: str, batch: str | None = None) -> None:
+    """Attempts, one folder per run; current failures are a query over all of them.
+
+    A batch that is named owns its folder, so repeating it replaces its own rows only.
+    """
+    if batch is None:
+        attempts.write.mode("append").partitionBy("run_id").parquet(path)
+    else:
+        attempts.write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/batch={batch}")
 
 
-def append_ledger(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_ledger(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add a batch to the ledger. A batch that is named owns its folder, so repeating it replaces its own rows only."""
+    rows.select(*LEDGER.names).write.mode("overwrite").parquet(f"{path}/batch={batch or uuid.uuid4().hex}")
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.numbering import running_total
 from ..operators.uploads import is_ledger_document
 from ..schemas import FAILURES, INVENTORY, LEDGER, PAGES, RUNS
 
 
 def _lines(spark: SparkSession, path: str, number: str) -> DataFrame:
-    """Text lines with a number that grows along the file.
+    """Text lines with a number that orders them: by file name, then as in the file.
 
-    Lines keep the file's order within a partition, and the partitions of one
-    file are in file order, so the number orders lines without sorting them.
+    Spark packs small files together by size and splits large ones, so the
+    order of partitions is not that of files. A line's number within its
+    partition orders the lines of one block, and the block's start those of a
+    file; the blocks' sizes give each block its first number.
     """
-    return spark.read.text(path).withColumn(number, F.monotonically_increasing_id())
+    block = ["_file", "_block"]
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    sizes = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    firsts = running_total(sizes.withColumn("_all", F.lit(0)), ["_all"], F.col("_file"), block, "_end", F.col("_n"))
+    placed = lines.join(firsts.select(*block, "_first", (F.col("_end") - F.col("_n")).alias("_start")), block)
+    return placed.withColumn(number, F.col("_start") + F.col("_at") - F.col("_first")).drop(*block, "_at", "_first", "_start")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path).schema
-        return True
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+    """Whether a path is there; nothing below it is listed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
 
 
 def read_seed_list(spark: SparkSession, path: str) -> DataFrame:
@@ -58,10 +67,12 @@ def read_inventory(spark: SparkSession, directory: str, below: str | None = None
 
 
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
-    """Failure records: a JSON array or one object per line. Missing or malformed: none."""
+    """Failure records: a JSON array, or one object per line. Missing or malformed: none."""
     if not _exists(spark, path):
         return spark.createDataFrame([], FAILURES)
-    return spark.read.schema(FAILURES).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    first = spark.read.text(path).filter("trim(value) <> ''").first()
+    by_line = first is not None and first["value"].strip().startswith("{") and first["value"].strip().endswith("}")
+    return spark.read.schema(FAILURES).option("multiLine", not by_line).option("mode", "DROPMALFORMED").json(path)
 
 
 def read_ledger_document(spark: SparkSession, path: str) -> DataFrame:
@@ -78,11 +89,14 @@ def read_ledger_document(spark: SparkSession, path: str) -> DataFrame:
     ).to(LEDGER)
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger table; empty before the first run."""
+def read_ledger(spark: SparkSession, path: str, without: str | None = None) -> DataFrame:
+    """The ledger table; empty before the first run. ``without``: a batch to leave out, as one that is being repeated."""
     if not _exists(spark, path):
         return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(path)
+    rows = spark.read.schema(T.StructType([*LEDGER, T.StructField("batch", T.StringType())])).parquet(path)
+    if without is not None:
+        rows = rows.filter(F.col("batch") != without)
+    return rows.select(*LEDGER.names)
 
 
 def read_runs(spark: SparkSession, directory: str) -> DataFrame:

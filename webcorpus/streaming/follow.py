@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.logs import parse_log
-from ..operators.uploads import classify_files, select_new
+from ..plans.delivery_run import deliver
+from .log_tail import LogTail
 
 
-def follow_log(spark: SparkSession, directory: str) -> DataFrame:
-    """Parsed lines of every log file that appears in a directory.
+def tail_lines(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
+    """Lines (file, offset, value) of a log file, or of every log file in a folder, and those appended later.
 
-    The file source takes whole new files: a log must be rotated into the
-    directory, bytes appended to a file already seen are not noticed.
+    With ``last`` a first start skips all but that many lines of each file.
     """
-    return parse_log(spark.readStream.text(directory))
+    spark.dataSource.register(LogTail)
+    lines = spark.readStream.format("log_tail").option("path", path)
+    if last is not None:
+        lines = lines.option("last", last)
+    return lines.load()
+
+
+def follow_log(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
+    """The same lines, parsed."""
+    return parse_log(tail_lines(spark, path, last))
 
 
 def running_counts(log: DataFrame, delay: str) -> DataFrame:
@@ -51,27 +62,23 @@ def write_stream(
     return query
 
 
-def stream_selection(inventory: DataFrame, ledger: DataFrame, path: str, checkpoint: str) -> None:
-    """For each batch of new files, write those to deliver: not in the ledger and of a sendable type.
+def stream_delivery(
+    inventory: DataFrame, send: Callable[[DataFrame], DataFrame], ledger: str, attempts: str, run_id: str, ts, checkpoint: str
+) -> None:
+    """Deliver the files that arrive, batch by batch: those not in the ledger and of a sendable type.
 
-    Each batch owns one folder, so a batch that is repeated after a failure
-    replaces its own output. A file handed out by an earlier batch is not
-    handed out again.
+    Each batch appends to the ledger what got through, so later batches and
+    other runs leave it out. A batch that is repeated after a failure replaces
+    its own rows of attempts and ledger.
     """
 
-    def deliver(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        files = batch.dropDuplicates(["file_path"])
-        chosen = classify_files(select_new(files, ledger)).filter("status = 'eligible'")
-        if batch_id:
-            earlier = spark.read.option("basePath", path).parquet(path).filter(F.col("batch") < batch_id)
-            chosen = select_new(chosen, earlier)
-        chosen.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def one(batch: DataFrame, batch_id: int) -> None:
+        deliver(batch.dropDuplicates(["file_path"]), send, ledger, attempts, run_id, ts, str(batch_id))
 
     (
         inventory.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(deliver)
+        .foreachBatch(one)
         .start()
         .awaitTermination()
     )
