@@ -24,22 +24,23 @@ class Filter:
 
     def __init__(self, spark: SparkSession, bits: np.ndarray):
         self._bits = spark.sparkContext.broadcast(bits)
+        self._mask = np.uint64(8 * len(bits) - 1)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         bits = self._bits.value
-        at = keys.astype(np.uint64) & np.uint64((1 << BITS) - 1)
+        at = keys.astype(np.uint64) & self._mask
         return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
-def key_filter(keys: DataFrame, key: str) -> Filter:
-    """A filter of the values of the long column ``key``, whose low bits must be well mixed."""
-    at = F.col(key).bitwiseAND(F.lit((1 << BITS) - 1))
+def key_filter(keys: DataFrame, key: str, n_bits: int = BITS) -> Filter:
+    """A filter of the values of the long column ``key``, whose low bits must be well mixed. Few keys can do with fewer bits."""
+    at = F.col(key).bitwiseAND(F.lit((1 << n_bits) - 1))
     buckets = (
         keys.groupBy(F.floor(at / _BUCKET).alias("bucket"))
         .agg(F.bitmap_construct_agg(at % _BUCKET).alias("bits"))
         .collect()  # at most 2**26 / 32768 = 2048 rows of 4 KB
     )
-    bits = np.zeros((1 << BITS) // 8, np.uint8)
+    bits = np.zeros((1 << n_bits) // 8, np.uint8)
     for row in buckets:
         start = row["bucket"] * (_BUCKET // 8)
         bits[start : start + _BUCKET // 8] = np.frombuffer(row["bits"], np.uint8)

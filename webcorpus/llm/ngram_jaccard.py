@@ -17,20 +17,23 @@ The boundary is the largest size whose subsets cost less than its lists.
 
 A list is scanned from both ends. First each member meets only the list's
 leader, a number of comparisons in proportion to the list; what they link are
-components, and what they may link are clusters. Within a cluster, tiles of
-different components are compared as matrices; across clusters, sets that share
-as many listed shingles as linked sets must. The components are those of all
+components, and what they may link are clusters, which then take in the sets
+that share enough of their lists. Within a cluster, tiles of different
+components are compared as matrices; across clusters, sets that share as many
+listed shingles as linked sets must. The components are those of all
 pairs, though a group of copies emits no more rows than it has members and
 tiles. Equal sets are one set throughout.
 
 Shingles are known by 64-bit hashes. Filters of fixed size (``bitmaps``) keep
-shingles that occur once from being shuffled at all.
+shingles that occur once from being listed. For the order all shingles of all
+sets are counted, two bytes for each in the shuffle.
 
 Defined cases: a null or blank text has no shingles and no links; a text of
 fewer than n words has its whole sequence as its only shingle; rows with the
 same id are one node, each with its own number of shingles; a null id is
 linked with nothing and its component is null; an empty table gives an empty
-result. Columns of the input other than id and text are not read.
+result. Ids are integers. Columns of the input other than id and text are not
+read.
 """
 
 from __future__ import annotations
@@ -54,9 +57,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SIZE = 5
 PERCENT = 75
-LONG_LIST = 24  # shingles of more sets come last in the order
+LONG_LIST = 24  # shingles of more sets come later in the order than others that recur,
+LONGER = 4  # and those of so many times more sets later again, and so on
 SCAN_COST = 16  # comparisons and rows that a listed shingle costs, for the boundary
 STAR_ROUNDS = 2
+GATHER_ROUNDS = 2
+_LOW = np.uint32(0xFFFF)
+_COUNTED = 2_000_000  # shingles that a task counts before it passes them on
+_FEW_BITS = 22  # of a filter of shingles in a hundred sets or more
 TILE = 128  # sets compared at once with as many others
 
 
@@ -116,7 +124,7 @@ def _lists_of(column: pa.Array) -> list[np.ndarray]:
 
 
 def _sets(docs: DataFrame, size: int, percent: int, shape: str, ids: Filter | None = None, order: list[Filter] | None = None) -> DataFrame:
-    """(id, n, k1, k2, tokens) of each row: its set's size, fingerprint and, by ``shape``, listed shingles, those to count for the order, all or none.
+    """(id, n, k1, k2, tokens) of each row: its set's size, fingerprint and, by ``shape``, listed shingles, all or none.
 
     Of light sets all are listed. With ``ids`` only rows whose id it holds; shingles come the later in the order, the more
     of the filters in ``order`` hold them.
@@ -138,11 +146,9 @@ def _sets(docs: DataFrame, size: int, percent: int, shape: str, ids: Filter | No
                 n = np.array([len(s) for s in sets], np.int64)
                 if shape == "none":
                     sets = [s[:0] for s in sets]
-                if shape == "counted":  # somewhat more than what is listed, which the order will move
-                    sets = [s[: 5 * listed(len(s), percent) // 4] for s in sets]
                 if shape == "listed":
                     if order:
-                        sets = [s[np.argsort(sum(f.holds(s).astype(np.int8) for f in order), kind="stable")] for s in sets]
+                        sets = [_ordered(s, order) for s in sets]
                     sets = [s[: listed(len(s), percent)] if len(s) > limit else s for s in sets]
                 rows = pa.array(np.flatnonzero(wanted) + a)
                 yield pa.RecordBatch.from_arrays(
@@ -157,16 +163,99 @@ def _id_filter(rows: DataFrame) -> Filter:
     return key_filter(rows.select(F.col("id").bitwiseXOR(F.shiftrightunsigned("id", BITS)).alias("key")), "key")
 
 
-def _frequent(sets: DataFrame) -> DataFrame:
-    """(at, c): in how many sets the shingles of a filter position are listed."""
-    at = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("at")
-    return sets.select(F.explode("tokens").alias("h")).groupBy(at).agg(F.count(F.lit(1)).alias("c"))
+def _packed_counts(tokens: np.ndarray) -> pa.RecordBatch:
+    """(bucket, low, more): the filter positions of shingles, two bytes each; positions that come again have their further times in ``more``."""
+    at, n = np.unique((tokens & np.uint64((1 << BITS) - 1)).astype(np.uint32), return_counts=True)
+    low, more = (at & _LOW).astype(np.uint16), np.stack([at & _LOW, n - 1], axis=1).astype(np.uint32)
+    cuts = np.searchsorted(at >> np.uint32(16), np.arange((1 << BITS - 16) + 1))
+    buckets = np.flatnonzero(np.diff(cuts))
+    spans = [slice(cuts[i], cuts[i + 1]) for i in buckets]
+    columns = [pa.array(buckets, pa.int32()), [low[x].tobytes() for x in spans], [(m := more[x])[m[:, 1] > 0].tobytes() for x in spans]]
+    return pa.RecordBatch.from_arrays([columns[0], pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["bucket", "low", "more"])
 
 
-def _order(counted: DataFrame) -> list[Filter]:
-    """Filters of the shingles that recur and of those that recur often. Listing the others first leaves few lists."""
-    frequent = materialize(_frequent(counted).filter("c > 1"), "jaccard-frequent")
-    return [key_filter(frequent, "at"), key_filter(frequent.filter(F.col("c") > LONG_LIST), "at")]
+def _recurring(packed: DataFrame) -> DataFrame:
+    """(at, c): filter positions with more than one shingle and how many; all shingles are counted, a bucket of positions at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, counts = None, np.zeros(1 << 16, np.int64)
+
+        def found() -> pa.RecordBatch:
+            at = np.flatnonzero(counts > 1)
+            return pa.RecordBatch.from_arrays([pa.array((at + (current << 16)).astype(np.int32)), pa.array(counts[at])], names=["at", "c"])
+
+        for batch in batches:
+            for bucket, low, more in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "more")), strict=True):
+                if bucket != current:
+                    if current is not None:
+                        yield found()
+                    current, counts = bucket, np.zeros(1 << 16, np.int64)
+                counts[np.frombuffer(low, np.uint16)] += 1
+                at, n = np.frombuffer(more, np.uint32).reshape(-1, 2).T
+                counts[at] += n
+        if current is not None:
+            yield found()
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "at int, c long")
+
+
+_PACKED = "bucket int, low binary, more binary"
+
+
+def _shingle_counts(docs: DataFrame, size: int, ids: Filter) -> DataFrame:
+    """In how many of the sets whose id the filter holds each shingle is, by filter position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for batch in batches:
+            numbers = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            for a, z, texts in bytehash.texts_of(batch.column(1)):
+                held += shingle_sets(texts, size, ids.holds(mixed_id(numbers[a:z])))
+                n = sum(map(len, held))
+                if n > _COUNTED:
+                    yield _packed_counts(np.concatenate(held))
+                    held, n = [], 0
+        if n:
+            yield _packed_counts(np.concatenate(held))
+
+    return _recurring(docs.select("id", "text").mapInArrow(run, _PACKED))
+
+
+def _listed_counts(sets: DataFrame) -> DataFrame:
+    """In how many of the sets each shingle is listed, by filter position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _packed_counts(batch.column("tokens").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+
+    return _recurring(sets.select("tokens").mapInArrow(run, _PACKED))
+
+
+def _order(counts: DataFrame) -> list[Filter]:
+    """Filters of the shingles that recur, and of those in ever more sets, each within the one before.
+
+    Listing the others first leaves few lists, and has a group of copies listed
+    by its own shingles before those that other groups have too.
+    """
+    frequent = materialize(counts, "jaccard-frequent")
+    most = frequent.agg(F.max("c")).first()[0] or 0
+    order, least = [key_filter(frequent, "at")], LONG_LIST
+    while least < most:
+        order.append(key_filter(frequent.filter(F.col("c") > least), "at", BITS if least == LONG_LIST else _FEW_BITS))
+        least *= LONGER
+    return order
+
+
+def _ordered(tokens: np.ndarray, order: list[Filter]) -> np.ndarray:
+    """Sorted shingles by how many of the nested filters hold them."""
+    level, inside = np.zeros(len(tokens), np.int8), np.arange(len(tokens))
+    for f in order:
+        inside = inside[f.holds(tokens[inside])]
+        if not len(inside):
+            break
+        level[inside] += 1
+    return tokens[np.argsort(level, kind="stable")]
 
 
 def _to_list(sets: DataFrame, percent: int, limit: int) -> DataFrame:
@@ -285,6 +374,20 @@ def _star_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def _gathered(lists: DataFrame) -> DataFrame:
+    """(a, b): the cluster of a set and the leading one of its lists, where it may have a partner in that.
+
+    A list's leading cluster has the most members there. A set that shares
+    fewer lists with a cluster than linked sets do has no link to any of its
+    members. So a group of copies is one cluster, however unlike its members
+    are, and is compared by tiles.
+    """
+    parts = lists.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c"))
+    leading = parts.groupBy("h").agg(F.max(F.struct("c", "component")).alias("lead"))
+    met = lists.join(leading, "h").filter("component <> lead.component").groupBy("id", "n", "component", F.col("lead.component").alias("lead"))
+    return met.agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= _k("n")).select(F.col("component").alias("a"), F.col("lead").alias("b")).distinct()
+
+
 def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Every pair that shares as many lists as linked sets must and lies in two components."""
     parts = lists.groupBy("h", "component").agg(F.count(F.lit(1)).alias("members")).drop("members")
@@ -365,13 +468,13 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SI
     heads = materialize(nodes.groupBy(*keys).agg(F.min("id").alias("id")), "jaccard-heads")
     copies = nodes.withColumnRenamed("id", "b").join(heads.withColumnRenamed("id", "a"), keys).filter("a <> b").select("a", "b")
     once = _id_filter(heads)
-    order = _order(_sets(docs, size, percent, "counted", ids=once))
+    order = _order(_shingle_counts(docs, size, once))
     sets = materialize(
         _sets(docs, size, percent, "listed", ids=once, order=order).filter("n > 0 and id is not null").select("id", "n", "tokens"),
         "jaccard-listed",
     )
     heavy = _to_list(sets, percent, limit)
-    members = _members(heavy, key_filter(_frequent(heavy).filter("c > 1"), "at"))
+    members = _members(heavy, key_filter(_listed_counts(heavy), "at"))
 
     light = sets.filter(F.col("n") <= limit).select("id", "n", "tokens")
     links = materialize(_subset_links(light, percent, limit), "jaccard-links")
@@ -385,6 +488,9 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SI
         links = materialize(links.union(_verified(docs, pairs, size, percent)), "jaccard-links")
         labels = components(links)
     clusters = components(near)
+    for _ in range(GATHER_ROUNDS):
+        near = materialize(near.union(_gathered(_split_lists(members, clusters))), "jaccard-near")
+        clusters = components(near)
     pairs = materialize(_open_pairs(_split_lists(members, clusters), percent), "jaccard-pairs")
     links = links.union(_verified(docs, pairs, size, percent)).union(_cluster_links(docs, labels, clusters, size, percent))
     reached = components(links.union(copies))
@@ -396,14 +502,24 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SI
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those with its smallest id. A row whose id is repeated stays once."""
-    linked = link(docs)
-    narrow = linked.select(F.col("doc_id").alias("_id"), (F.col("doc_id") != F.col("component_id")).alias("_drop"))
-    ids = materialize(
-        narrow.groupBy("_id").agg(F.bool_or("_drop").alias("_drop"), (F.count(F.lit(1)) > 1).alias("_repeated")).filter("_drop or _repeated"),
-        "jaccard-decisions",
-    )
-    own = F.col("doc_id") == F.col("_id")
-    once = docs.join(ids, own, "left_anti")
-    repeated = docs.join(ids.filter("_repeated and not _drop"), own, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    """The rows of ``docs`` that stand for their group: one of each group of linked texts, that of the smallest id.
+
+    A text goes by its own set: where an id has several texts, or none, each
+    text is a node of its own and only texts of the group go. Equal rows of one
+    such id stay once.
+    """
+    several = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 or doc_id is null").select("doc_id"), "jaccard-several")
+    if several.isEmpty():
+        linked = link(docs.select("doc_id", "text"))
+        drop = materialize(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_node")), "jaccard-decisions")
+        return docs.join(drop, F.col("doc_id") == F.col("_node"), "left_anti")
+    several = several.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_several"))
+    own = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 62)) - F.lit((1 << 62) + (1 << 61))  # below any id in use
+    marked = docs.join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_node", F.when(F.col("_several"), own).otherwise(F.col("doc_id").cast("long")))
+    groups = materialize(link(marked.select("_node", "text"), id="_node").select("_node", "component_id").distinct(), "jaccard-groups")
+    places = marked.select("doc_id", "_node").distinct().join(groups, "_node")
+    first = places.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_node")).alias("first"))
+    drop = materialize(groups.select("_node").join(first.select(F.col("first._node").alias("_node")), "_node", "left_anti"), "jaccard-decisions")
+    kept = marked.join(drop, "_node", "left_anti")
+    once = kept.filter("_several").dropDuplicates(["doc_id", "_node"]).unionByName(kept.filter("_several is null"))
+    return once.select(*docs.columns)
