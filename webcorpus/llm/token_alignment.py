@@ -23,6 +23,7 @@ and null; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -40,7 +41,7 @@ from ..session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 4 << 20  # of text in a block
-_CACHED = 150_000  # units that a worker remembers
+_CACHED = 60_000  # units that a worker remembers
 _AT_ONCE = 4_000  # units that are encoded at one time
 _LOW = (1 << 32) - 1
 _BLANK = "▁"
@@ -207,6 +208,9 @@ def blocks(docs: DataFrame, a: str, b: bytes, links: str) -> DataFrame:
                 end = max(int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + BLOCK_BYTES, "right")), row + 1)
                 yield _block(batch.slice(row, end - row), both, number)
                 row, number = end, number + 1
+        both.clear()
+        del both
+        gc.collect()  # the worker lives on
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(
