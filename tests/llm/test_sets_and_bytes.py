@@ -62,7 +62,36 @@ def test_join_edge_cases(spark):
     found = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_jaccard.link(docs).collect()), key=str)
     assert found == sorted([(0, 2, None), (2, 2, 2), (3, 2, 2), (3, 2, 2), (3, 1, 2)], key=str)
     assert ngram_jaccard.link(docs.limit(0)).count() == 0
-    assert sorted(r.doc_id or 0 for r in ngram_jaccard.keep_first(docs).collect()) == [0, 2]
+
+def test_keep_first_goes_by_text(spark):
+    text = "a b c d e f"
+    rows = [(None, text), (2, text), (3, text), (3, text), (3, "other"), (4, "A B C D E F"), (5, "x"), (5, "x"), (5, "y z"), (6, "y z"), (7, ""), (7, ""), (7, None), (8, None), (None, "only")]
+    docs = spark.createDataFrame([(d, t, "s", 1) for d, t in rows], SCHEMA + ", _node string, component_id int")
+    found = sorted(((r.doc_id, r.text or "") for r in ngram_jaccard.keep_first(docs).collect()), key=repr)
+    # The copies of the first text go but for id 2's; of one id equal rows stay once, and an empty text equals a null one.
+    assert found == sorted([(2, text), (3, "other"), (5, "x"), (5, "y z"), (7, ""), (8, ""), (None, "only")], key=repr)
+    unique = spark.createDataFrame([(1, text), (2, text), (3, "other"), (4, None)], SCHEMA)
+    assert sorted(r.doc_id for r in ngram_jaccard.keep_first(unique).collect()) == [1, 3, 4]
+    assert ngram_jaccard.keep_first(unique.limit(0)).count() == 0
+
+
+def test_unlike_members_of_a_group_and_a_common_line(spark):
+    """Near copies, a group around 0.6, and one line in most texts; many more of each than a tile holds."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}"
+    line, near, far = [" ".join(word() for _ in range(n)) for n in (20, 60, 80)]
+    edited = lambda text, share: " ".join(w if rng.random() > share else word() for w in text.split())
+    rows = [line + "\n" + " ".join(word() for _ in range(rng.randrange(5, 60))) for _ in range(300)]
+    rows += [edited(near, 0.01) for _ in range(200)] + [edited(far, 0.05) for _ in range(200)] + [near] * 50
+    rng.shuffle(rows)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.link(spark.createDataFrame(list(enumerate(rows)), SCHEMA)).collect()}
+    assert found == brute_components(list(enumerate(rows)))
+
+
+def test_all_shingles_are_counted(spark):
+    tokens = spark.createDataFrame([([i % 50, 70_000 * (i % 3), i],) for i in range(400)], "tokens array<long>")
+    expected = Counter(x for i in range(400) for x in (i % 50, 70_000 * (i % 3), i))
+    assert {r["at"]: r.c for r in ngram_jaccard._listed_counts(tokens).collect()} == {k: v for k, v in expected.items() if v > 1}
 
 
 def test_boundary_follows_costs():
@@ -115,3 +144,69 @@ def test_decontamination(spark):
     assert kept.count() == len(rows) - 11
     assert decontamination.leaks(docs.limit(0), bench).count() == 0
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0
+
+
+def brute_passages(items, docs):
+    """(doc, item) pairs: (surely found, allowed), by comparing every item with every place of every document."""
+    words = lambda text: re.findall("[a-z0-9]+", (text or "").lower())
+    sure, allowed = set(), set()
+    for item, text in items:
+        x = words(text)
+        if len(x) < decontamination.LEAST:
+            continue
+        need = min(decontamination.ENOUGH, -(-3 * len(x) // 4))
+        for doc, y in ((d, words(t)) for d, t in docs):
+            for base in range(-len(x), len(y)):
+                same = [a == y[base + i] for i, a in enumerate(x) if 0 <= base + i < len(y)]
+                run = total = bad = 0  # a stretch from each start whose equal words outweigh the unequal ones
+                longest = 0
+                best = 0
+                for s in same:
+                    run = run + 1 if s else 0
+                    longest = max(longest, run)
+                    total, bad = (total + s, bad + (not s)) if total - 2 * bad + (1 if s else -2) > 0 else (0, 0)
+                    best = max(best, total)
+                if best >= need:
+                    allowed.add((doc, item))
+                    whole = len(same) == len(x)
+                    if longest >= decontamination.SPAN or len(x) < decontamination.SPAN and whole:
+                        sure.add((doc, item))
+    return sure, allowed
+
+
+def test_passages_against_all_items_and_documents(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(500)}"
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 20, 30, 40])]
+    docs = []
+    for item, text in items:
+        x = text.split()
+        for changes in range(4):
+            for _ in range(6):
+                y = list(x)
+                for i in rng.sample(range(len(x)), min(changes, len(x))):
+                    y[i] = "changed"
+                docs.append(" ".join([word() for _ in range(rng.randrange(9))] + y + [word() for _ in range(rng.randrange(9))]).upper())
+    x = items[-1][1].split()
+    docs.append(" ".join(x[:12] + ["no"] * 6 + x[18:24] + ["no"] + x[25:32]))  # the first stretch is too short, the second is enough
+    docs += ["w1 w2", "", None, " ".join(x) * 2, ("filler " * 60_000) + " ".join(x), docs[0], docs[0]]
+    docs = list(enumerate(docs))
+    sure, allowed = brute_passages(items, [(d, t) for d, t in docs if t is None or len(t) < 9999])
+    table = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], SCHEMA + ", item_id int, h string")
+    bench = spark.createDataFrame([*items, items[5], (99, None), (98, "")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(table, bench).collect()}
+    long = next(d for d, t in docs if t and len(t) > 9999)
+    assert (long, 14) in found
+    found = {(d, i) for d, i in found if d != long}
+    assert sure <= found <= allowed and len(sure) > 150
+    gone = {d for d, _ in docs} - {r.doc_id for r in decontamination.drop_leaking(table, bench).collect()}
+    assert gone == {d for d, _ in found} | {long}
+    assert decontamination.leaks(table.limit(0), bench).count() == decontamination.leaks(table, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", range(3, 12))
+def test_short_masks_ignore_every_allowed_change(n):
+    from itertools import combinations
+
+    for changed in combinations(range(n), n - -(-3 * n // 4)):
+        assert any(not set(changed) & set(m) for m in decontamination.short_masks(n))

@@ -4,8 +4,8 @@ Spaced seeds: a mask over a dozen neighbouring words looks at eight of them and
 ignores the others. Hashes of every window of the documents and of the items
 under each mask are joined; a changed word destroys only the windows in which
 the mask looks at it. Every hit gives a diagonal, on which item and document
-are then compared word by word: the stretch with the best balance of equal and
-unequal words must hold enough equal ones.
+are then compared word by word: a stretch in which equal words outweigh unequal
+ones must hold enough equal ones.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters, so
 punctuation and layout don't count. Document windows meet a filter of fixed
@@ -13,8 +13,9 @@ size made from the items' hashes before they become rows, so what is shuffled
 grows with the hits, not with the corpus. An item that half of the documents
 hold is one key of a join that Spark splits.
 
-An item shorter than the masks is sought as a whole, unchanged. Defined cases:
-null or blank texts and items match nothing; repeated items or documents give
+An item shorter than the masks has masks of its own length, which together
+ignore every set of words that may be changed. Defined cases: items of fewer
+than ``LEAST`` words, null or blank texts and items match nothing; repeated items or documents give
 the result of one; ids may be repeated with other texts, which are then
 compared one by one; null ids match nothing; empty tables give an empty
 result. Other columns are not read.
@@ -24,6 +25,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,7 @@ MASKS = ("110110101101", "11101100111", "101101110011", "111001011011")
 SPAN = max(map(len, MASKS))
 ENOUGH = 13  # equal words that make a passage, or
 SHARE = 0.75  # this share of an item's words, if that is fewer
+LEAST = 3  # words of an item; fewer are no passage
 PENALTY = 2  # equal words that outweigh one unequal word
 
 _APART = np.ones(256, bool)
@@ -63,14 +67,24 @@ def _seeds(words: np.ndarray, offsets: tuple[int, ...], salt: int) -> np.ndarray
     return bytehash.mix(total)
 
 
-def _shapes(short: list[int]) -> list[tuple[tuple[int, ...], int]]:
-    """(offsets, salt) of every mask, and of a whole window for each short item length."""
-    masks = [(tuple(i for i, c in enumerate(m) if c == "1"), k + 1) for k, m in enumerate(MASKS)]
-    return masks + [(tuple(range(n)), 100 + n) for n in short]
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks over a whole item of n words that find it with as many words changed as may differ.
+
+    With t of them, the places fall into t + 2 classes in turn and each mask
+    ignores t classes, so one mask ignores all that are changed.
+    """
+    classes = (t := n - ceil(SHARE * n)) + 2
+    return [tuple(i for i in range(n) if i % classes not in ignored) for ignored in combinations(range(classes), t)]
+
+
+def _shapes(short: list[int]) -> list[tuple[tuple[int, ...], int, int]]:
+    """(offsets, salt, words) of every mask; ``words`` is the length of the items that it is for, 0 for all that it fits in."""
+    masks = [(tuple(i for i, c in enumerate(m) if c == "1"), k + 1, 0) for k, m in enumerate(MASKS)]
+    return masks + [(offsets, 1000 * n + k, n) for n in short for k, offsets in enumerate(short_masks(n))]
 
 
 def _rows(table: DataFrame, shapes: list, wanted: Filter | None = None) -> DataFrame:
-    """(h, id, at): window hashes by text and word position. Of an item shorter than the masks only the whole counts."""
+    """(h, id, at): window hashes by text and word position. A short item is sought as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,13 +93,16 @@ def _rows(table: DataFrame, shapes: list, wanted: Filter | None = None) -> DataF
                 words, first = _tokens(texts)
                 length = np.diff(first)
                 ends = np.repeat(first[1:], length)
-                for offsets, salt in shapes:
+                begins = np.repeat(first[:-1], length)
+                for offsets, salt, n in shapes:
                     h = _seeds(words, offsets, salt)
-                    keep = np.arange(len(h)) + offsets[-1] < ends[: len(h)]
+                    at = np.arange(len(h))
+                    keep = at + offsets[-1] < ends[: len(h)]
                     if wanted is not None:
                         keep &= wanted.holds(h)
-                    elif salt > 100:  # items: a whole one of exactly this length
-                        keep &= np.repeat(length, length)[: len(h)] == len(offsets)
+                    elif n:  # items of this length only, at their start
+                        keep &= (ends - begins)[: len(h)] == n
+                        keep &= begins[: len(h)] == at
                     at = np.flatnonzero(keep)
                     if len(at):
                         row = np.searchsorted(first, at, "right") - 1
@@ -112,6 +129,29 @@ def _token_arrays(table: DataFrame, ids: Filter | None = None) -> DataFrame:
     return table.select("id", "text").mapInArrow(run, "id long, tokens array<long>")
 
 
+def passage(same: np.ndarray, need: int) -> tuple[int, int, int] | None:
+    """(equal words, start, end) of the stretch of a diagonal with most equal words, if they are enough.
+
+    Stretches begin at an equal word and go on while their equal words outweigh
+    the unequal ones. Each ends where its balance is best or, if it has not
+    enough equal words by then, at its last equal word.
+    """
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
+    balance = score - np.minimum.accumulate(score)
+    inside = np.concatenate([balance > 0, [False]])
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1])
+    ends = np.flatnonzero(~inside[1:] & inside[:-1])
+    best = None
+    for a, z in zip(starts, ends, strict=True):
+        for cut in (a + int(balance[a : z + 1].argmax()), a + int(np.flatnonzero(same[a:z])[-1]) + 1):
+            n = int(same[a:cut].sum())
+            if n >= need:
+                if best is None or n > best[0]:
+                    best = n, int(a), cut
+                break
+    return best
+
+
 def _aligned(pairs: DataFrame) -> DataFrame:
     """Compare item tokens x with the document's y on one diagonal; keep passages."""
 
@@ -126,15 +166,11 @@ def _aligned(pairs: DataFrame) -> DataFrame:
                 same = x == y[: len(x)]
                 if same.sum() < need:
                     continue
-                score = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-                best = score - np.minimum.accumulate(score)
-                z = int(best.argmax())
-                a = int(score[: z + 1].argmin())
-                if (found := int(same[a:z].sum())) >= need:
+                if (found := passage(same, need)) is not None:
                     kept.append(i)
-                    equal.append(found)
-                    start.append(base + a)
-                    end.append(base + z)
+                    equal.append(found[0])
+                    start.append(base + found[1])
+                    end.append(base + found[2])
             rows = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(rows), batch.column("item").take(rows), *[pa.array(c, pa.int64()) for c in (equal, start, end)]],
@@ -148,8 +184,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_equal, first_word, end_word): the best passage of each item in each document that holds one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").filter("id is not null")
-    item_tokens = materialize(_token_arrays(items), "leak-items")
-    lengths = item_tokens.select(F.size("tokens").alias("n")).filter(f"n > 0 and n < {SPAN}").distinct().collect()  # fewer than SPAN rows
+    item_tokens = materialize(_token_arrays(items).filter(F.size("tokens") >= LEAST), "leak-items")
+    lengths = item_tokens.select(F.size("tokens").alias("n")).filter(f"n >= {LEAST} and n < {SPAN}").distinct().collect()  # fewer than SPAN rows
     shapes = _shapes(sorted(row["n"] for row in lengths))
     seeds = materialize(_rows(items, shapes), "leak-seeds")
     hits = _rows(docs, shapes, key_filter(seeds, "h"))
