@@ -28,6 +28,8 @@ def test_bpe_equals_the_library(spark):
         assert r.ids == library.encode(texts[r.doc_id] or "") and r.n_pieces == len(r.ids)
         assert r.back == (texts[r.doc_id] or "").replace("▁", " ")
     assert lattice.encode(docs.limit(0), model).count() == 0
+    at_once = lattice.encode(docs, model, decoded=True).collect()
+    assert sorted(map(repr, ((r.doc_id, r.ids, r.decoded) for r in at_once))) == sorted(map(repr, ((r.doc_id, r.ids, r.back) for r in found)))
 
 
 def test_unigram_viterbi(spark):

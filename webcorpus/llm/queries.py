@@ -31,8 +31,8 @@ def op10_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_lattice.read_model(sentencepiece_lattice.default_model())
-    encoded = sentencepiece_lattice.encode(_table(spark, sf_dir, "documents"), model)
-    return sentencepiece_lattice.decode(encoded, model).withColumn("decoded_md5", F.md5("decoded")).drop("decoded")
+    encoded = sentencepiece_lattice.encode(_table(spark, sf_dir, "documents"), model, decoded=True)
+    return encoded.withColumn("decoded_md5", F.md5("decoded")).drop("decoded")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

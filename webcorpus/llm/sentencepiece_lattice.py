@@ -2,8 +2,8 @@
 
 Texts are cut where no piece can cross, into words: a run of blanks with what
 follows, or a single character that no longer piece contains. Documents are
-dealt into blocks of some megabytes, and each block's distinct words are
-encoded once:
+dealt into blocks of some megabytes; each distinct word of the corpus is encoded
+once, and goes to the blocks that have it:
 
 1. explode every substring of a word up to the longest piece,
 2. equi-join them to the piece table (a model file, so of bounded size),
@@ -42,13 +42,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.once import with_once
+from ..session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LONGEST = 60  # characters of a word whose boundaries fit one long
-BLOCK_CHARS = 64_000_000  # of a block of documents: the more, the fewer words are encoded again
+BLOCK_CHARS = 32_000_000  # of a block of documents: the more, the fewer words are dealt to several
 TASK_CHARS = 4_000_000  # of text whose distinct words go to one task of the lattice
-_MOST_WORDS = 1_000_000  # that a task holds before it passes them on
+_HELD = 24_000_000  # bytes of words, about, that a task holds before it passes them on
 _BLANK = "▁"
 
 
@@ -121,34 +122,37 @@ def _from_bytes(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def _words_of_blocks(packed: DataFrame, pattern: str, merges: bool) -> DataFrame:
-    """(block, word): the words that the lattice takes, once for each block and task."""
+def _words_of_blocks(docs: DataFrame, pattern: str, merges: bool) -> DataFrame:
+    """(block, word): the words that the lattice takes, once for each block and some megabytes of words in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pattern).findall
         found: dict[int, set[str]] = {}
+        held = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
             for block, words in found.items():
-                words = sorted(w for w in words if len(w) <= LONGEST and (len(w) > 1 or not merges))
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(words, pa.string())], names=["block", "word"])
             found.clear()
 
         for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                words = found.setdefault(block, set())
-                for text in _from_bytes(payload.as_py()).column("text"):
-                    if text := text.as_py():
-                        words.update(find(_BLANK + text.replace(" ", _BLANK)))
-                if sum(map(len, found.values())) > _MOST_WORDS:
-                    yield from rows()  # words that come again are equal rows
+            for block, text in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
+                if text := text.as_py():
+                    words = found.setdefault(block, set())
+                    for word in set(find(_BLANK + text.replace(" ", _BLANK))) - words:
+                        if len(word) <= LONGEST and (len(word) > 1 or not merges):
+                            words.add(word)
+                            held += len(word) + 100
+                    if held > _HELD:
+                        yield from rows()  # words that come again are equal rows
+                        held = 0
         yield from rows()
 
-    return packed.mapInArrow(run, "block long, word string")
+    return docs.select("block", "text").mapInArrow(run, "block long, word string")
 
 
 def _lattice(words: DataFrame, pieces: DataFrame, n_tasks: int, merges: bool) -> DataFrame:
-    """Each distinct (block, word) with the edges of its lattice, best rank first, then leftmost.
+    """Each distinct word with the edges of its lattice, best rank first, then leftmost.
 
     Merges start from single characters and only need longer edges, as longs
     while rows are sorted by word and as structs afterwards; Viterbi needs all,
@@ -156,17 +160,17 @@ def _lattice(words: DataFrame, pieces: DataFrame, n_tasks: int, merges: bool) ->
     """
     longest = pieces.agg(F.max(F.length("piece"))).scalar()
     n = F.length("word")
-    spans = words.repartition(n_tasks, "block", "word").distinct()
+    spans = words.distinct().repartition(n_tasks, "word")
     shortest = 2 if merges else 1
     spans = spans.select("*", F.explode(F.sequence(F.lit(0), n - shortest)).alias("start"))
     spans = spans.select("*", F.explode(F.sequence(F.lit(shortest), F.least(longest, n - F.col("start")))).alias("length"))
     spans = spans.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("length")))
     left = lambda value, by: F.shiftleft(value.cast("long"), by)
     key = left(F.col("rank"), 32).bitwiseOR(left(F.col("start"), 26)).bitwiseOR(left(F.col("start") + F.col("length"), 20))
-    known = spans.join(F.broadcast(pieces), "piece").groupBy("block", "word")
+    known = spans.join(F.broadcast(pieces), "piece").groupBy("word")
     if not merges:
         edge = F.struct("start", (F.col("start") + F.col("length")).alias("end"), "score")
-        return known.agg(F.collect_list(edge).alias("edges")).select("block", "word", n.alias("n"), "edges")
+        return known.agg(F.collect_list(edge).alias("edges")).select("word", n.alias("n"), "edges")
     keys = known.agg(F.array_sort(F.collect_list(key)).alias("keys"))
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
@@ -177,7 +181,7 @@ def _lattice(words: DataFrame, pieces: DataFrame, n_tasks: int, merges: bool) ->
             bit(start).bitwiseOR(bit(end)).alias("ends"), (bit(end) - bit(start + 1)).alias("inner")
         )
 
-    return keys.select("block", "word", n.alias("n"), F.transform("keys", edge).alias("edges"))
+    return keys.select("word", n.alias("n"), F.transform("keys", edge).alias("edges"))
 
 
 def _merged(edges: Column, n: Column) -> Column:
@@ -235,21 +239,21 @@ def merge_long(word: str, rank: dict[str, tuple[int, int]]) -> list[str]:
     return [p for p in part if p]
 
 
-def encode(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_pieces, ids) for every row."""
+def encode(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, n_pieces, ids) for every row; with ``decoded`` also the text that its ids stand for, as ``decode`` gives it."""
     spark: SparkSession = docs.sparkSession
     pieces = spark.createDataFrame(model.table(), "piece string, id int, rank int, score double")
     pattern = model.word_pattern()
     docs = docs.select(F.col(id).alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n_blocks = chars // BLOCK_CHARS + 1
-    blocks = _packed(docs.withColumn("block", F.pmod(F.xxhash64("row_id", "text"), F.lit(n_blocks))))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("row_id", "text"), F.lit(n_blocks)))
 
-    words = _words_of_blocks(blocks, pattern, model.merges)
-    edges = with_once(_lattice(words, pieces, chars // TASK_CHARS + 1, model.merges), word_edges=F.col("edges"))
+    words = materialize(_words_of_blocks(docs, pattern, model.merges).distinct(), "sentencepiece-words")
+    edges = with_once(_lattice(words.select("word"), pieces, chars // TASK_CHARS + 1, model.merges), word_edges=F.col("edges"))
     lowest = min(model.scores) - 10.0
     bits = _merged(F.col("word_edges"), F.col("n")) if model.merges else _best_path(F.col("word_edges"), F.col("n"), lowest)
-    encoded = edges.select("block", "word", bits.alias("bits"))
+    encoded = words.join(edges.select("word", bits.alias("bits")), "word")
     merges, first_byte, unknown = model.merges, model.bytes_from, model.unknown
     table = {p: (r if merges else s, i) for p, i, r, s in model.table()}
 
@@ -271,6 +275,8 @@ def encode(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
                 self[word] = found
             return found
 
+    spelt_by = _spelling(model) if decoded else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by block, its words before its documents."""
         find = re.compile(pattern).findall
@@ -290,14 +296,17 @@ def encode(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
                 sizes = [len(x) // 4 for x in spelt]
                 values = pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(spelt))])
                 ids = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([rows.column("row_id").combine_chunks(), pa.array(sizes, pa.int64()), ids], names=["row_id", "n_pieces", "ids"])
+                columns = [rows.column("row_id").combine_chunks(), pa.array(sizes, pa.int64()), ids]
+                if decoded:
+                    columns.append(_texts_of(ids, spelt_by))
+                yield pa.RecordBatch.from_arrays(columns, names=["row_id", "n_pieces", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema["row_id"].dataType.simpleString()
     rows = encoded.select("block", "word", "bits", F.lit(None).cast("binary").alias("payload")).unionByName(
-        blocks.select("block", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("bits"), "payload")
+        _packed(docs).select("block", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("bits"), "payload")
     )
     rows = rows.repartition("block").sortWithinPartitions("block", F.col("payload").isNotNull())
-    found = rows.mapInArrow(run, f"row_id {kind}, n_pieces long, ids array<int>")
+    found = rows.mapInArrow(run, f"row_id {kind}, n_pieces long, ids array<int>" + ", decoded string" * decoded)
     return found.withColumnRenamed("row_id", id)
 
 
@@ -320,18 +329,26 @@ def long_path(word: str, pieces: dict[str, tuple[float, int]], unknown_score: fl
     return parts[::-1]
 
 
-def decode(encoded: DataFrame, model: Model, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its ids added; bytes that are no UTF-8 become U+FFFD."""
-    spelt = [
+def _spelling(model: Model) -> list[bytes]:
+    """What each id stands for."""
+    return [
         p.replace(_BLANK, " ").encode() if normal
         else bytes([i - model.bytes_from]) if model.bytes_from is not None and 0 <= i - model.bytes_from < 256
         else b""
         for i, (p, normal) in enumerate(zip(model.pieces, model.normal, strict=True))
     ]
 
+
+def _texts_of(ids: pa.ListArray, spelt: list[bytes]) -> pa.Array:
+    return pa.array([b"".join(map(spelt.__getitem__, x.values.to_pylist())).decode(errors="replace").removeprefix(" ") for x in ids], pa.string())
+
+
+def decode(encoded: DataFrame, model: Model, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """``encoded`` with the text of its ids added; bytes that are no UTF-8 become U+FFFD."""
+    spelt = _spelling(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [b"".join(map(spelt.__getitem__, x.values.to_pylist())).decode(errors="replace").removeprefix(" ") for x in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _texts_of(batch.column(ids), spelt)], names=[*batch.schema.names, text])
 
     return encoded.mapInArrow(run, encoded.withColumn(text, F.lit("")).schema)
