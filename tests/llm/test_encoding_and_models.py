@@ -140,3 +140,23 @@ def test_pipeline(spark):
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     found = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in found} == ids and all(r.n_pieces == len(r.ids) > 0 for r in found)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Recall and false alarms on the held-out rows of the largest small table, in every language."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    found = toxicity.digest(docs, labels).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    bad, good = found[found.toxic == 1], found[found.toxic == 0]
+    assert len(bad) > 80 and bad.predicted.mean() >= 0.85 and good.predicted.mean() <= 0.05
+    for _, of_language in bad.groupby("lang"):
+        assert of_language.predicted.sum() >= 0.75 * len(of_language)
+    for _, of_language in good.groupby("lang"):
+        assert of_language.predicted.mean() <= 0.05
+
+
+def test_toxicity_sample_has_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(200)] + [(3, "long " * 90_000), (5, "x y"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
+    words, toxic = toxicity.sample_words(docs, labels)
+    assert len(words) == len(toxic) <= 3 and all(w.shape[1] == 1 + len(toxicity.BEGINNINGS) for w in words)

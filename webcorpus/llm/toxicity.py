@@ -1,12 +1,14 @@
 """Toxicity by a convolutional text classifier.
 
-Words are hashed to rows of an embedding table; filters over one, two and three
+Words are hashed to rows of an embedding table, each whole and by its beginnings
+of some bytes, and the rows added up; filters over one, two and three
 neighbouring words, the maximum of each over the whole text and a logistic
-unit give the score. The table has rows for the hashes that the training texts
-hold often enough, and a zero row for all others, so rare words say nothing.
-Everything is trained here, in numpy, on a bounded sample of labelled rows
-(``MOST_POSITIVE``, ``MOST_NEGATIVE``, ``MOST_CHARS`` each): their hashed words
-are all that reaches the driver.
+unit give the score. The table has rows for all hashes that the training texts
+hold often enough, and a zero row for others. Everything is trained here, in
+numpy, on a bounded sample of labelled rows (``MOST_POSITIVE``,
+``MOST_NEGATIVE``, texts of ``MOST_CHARS`` at most): their hashed words are all
+that reaches the driver. Training goes on until rows kept out of the fit say
+that it doesn't help.
 
 Thresholds are calibrated by language on rows kept out of the fit. The language
 is guessed from the text's own function words, and each score is shifted so
@@ -38,9 +40,10 @@ from . import bytehash
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MOST_POSITIVE, MOST_NEGATIVE, MOST_CHARS = 3000, 4000, 60_000
-HASH_BITS, MOST_ROWS, SEEN = 22, 20_000, 3
+HASH_BITS, SEEN = 22, 3
+BEGINNINGS = (5, 7)  # bytes of a word that are hashed besides the whole of it
 WIDTHS, FILTERS, SIZE = (1, 2, 3), 8, 8
-EPOCHS, BATCH, RATE = 8, 48, 0.08
+EPOCHS, PATIENCE, BATCH, RATE = 4, 2, 48, 0.05
 
 #: Function words by which a language is guessed: fixed values.
 FUNCTION_WORDS = {
@@ -56,16 +59,19 @@ _APART[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 
 
 def hashed_words(texts: bytehash.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, where each text's begin)."""
+    """(hashes of all words and of their beginnings: words x kinds, where each text's begin)."""
     texts = texts.lower_ascii()
     start, end, first = texts.words(_APART)
-    hashes = bytehash.Prefix(texts.data).hash(start, end) >> np.uint64(64 - HASH_BITS)
-    return hashes.astype(np.int32), first
+    prefix, kinds = bytehash.Prefix(texts.data), []
+    for k, size in enumerate((None, *BEGINNINGS)):
+        hashes = prefix.hash(start, end if size is None else np.minimum(end, start + size))
+        kinds.append((bytehash.mix(hashes + np.uint64(k)) >> np.uint64(64 - HASH_BITS)).astype(np.int32))
+    return np.stack(kinds, axis=1), first
 
 
 def _hash_of(words: list[str]) -> np.ndarray:
     _, _, texts = next(bytehash.texts_of(pa.array([" ".join(words)])))
-    return hashed_words(texts)[0]
+    return hashed_words(texts)[0][:, 0]
 
 
 @dataclass
@@ -87,7 +93,7 @@ def _padded(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     pad = max(WIDTHS)
     length = np.diff(first)
     starts = first + pad * np.arange(len(first))
-    out = np.zeros(starts[-1], rows.dtype)
+    out = np.zeros((starts[-1], rows.shape[1]), rows.dtype)
     out[np.arange(len(rows)) + np.repeat(pad * np.arange(len(length)), length)] = rows
     return out, starts
 
@@ -97,9 +103,10 @@ def _pooled(tables: list[list[np.ndarray]], bias: list[np.ndarray], rows: np.nda
     found = np.empty((len(starts) - 1, len(WIDTHS), FILTERS), np.float32)
     for k, width in enumerate(WIDTHS):
         n = len(rows) - width + 1
-        total = tables[k][0][rows[:n]]
-        for offset in range(1, width):
-            total += tables[k][offset][rows[offset : offset + n]]
+        total = np.zeros((n, FILTERS), np.float32)
+        for offset in range(width):
+            for kind in range(rows.shape[1]):
+                total += tables[k][offset][rows[offset : offset + n, kind]]
         # A window that begins in the last padding reaches into the next text.
         for j in range(1, width):
             total[starts[1:-1] - j] = -np.inf
@@ -109,7 +116,7 @@ def _pooled(tables: list[list[np.ndarray]], bias: list[np.ndarray], rows: np.nda
 
 def languages(ids: np.ndarray, first: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     """The language whose function words a text has most of; the last if it has none."""
-    counts = np.stack([np.concatenate([[0], np.cumsum(np.isin(ids, w))])[first] for w in words])
+    counts = np.stack([np.concatenate([[0], np.cumsum(np.isin(ids[:, 0], w))])[first] for w in words])
     counts = np.diff(counts, axis=1)
     return np.where(counts.max(axis=0) > 0, counts.argmax(axis=0), len(words))
 
@@ -120,16 +127,24 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model |
         return None
     rng = np.random.default_rng(seed)
     aside = np.arange(len(texts)) % 5 == 4
-    seen = np.bincount(np.concatenate([np.unique(t) for t, a in zip(texts, aside, strict=True) if not a]), minlength=1 << HASH_BITS)
-    common = np.argsort(-seen, kind="stable")[:MOST_ROWS]
-    common = common[seen[common] >= SEEN]
+    counted = lambda kind: np.bincount(  # noqa: E731  in how many texts each hash is
+        np.concatenate([np.zeros(0, np.int32), *[np.unique(texts[i]) for i in np.flatnonzero(~aside & (toxic == kind))]]), minlength=1 << HASH_BITS
+    )
+    bad, good = counted(True), counted(False)
+    seen = bad + good
+    common = np.flatnonzero(seen >= SEEN)
     row_of = np.zeros(1 << HASH_BITS, np.int32)
     row_of[common] = np.arange(1, len(common) + 1)
     rows = [row_of[t] for t in texts]
 
-    table = rng.normal(0, 0.3, (len(common) + 1, SIZE)).astype(np.float32)
+    # The first of an embedding's numbers begins as what counts say of its word, which half of the filters look at;
+    # from random numbers alone, maxima hardly ever fall on the few telling words.
+    table = rng.normal(0, 0.1, (len(common) + 1, SIZE)).astype(np.float32)
+    table[:, 0] = np.concatenate([[0], _telling(bad[common], good[common], toxic[~aside])])
     table[0] = 0
     filters = [rng.normal(0, 0.5, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS]
+    for f in filters:
+        f[:, 0, : FILTERS // 2] = 1
     bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     out, base = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), np.float32(0)
     past = [np.full_like(p, 1e-2) for p in (table, *filters, *bias, out)]
@@ -137,12 +152,17 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model |
     weight = np.where(toxic, 0.5 / max(toxic[fit].mean(), 1e-6), 0.5 / max(1 - toxic[fit].mean(), 1e-6))
     tables = lambda: [[table @ f[o] for o in range(w)] for f, w in zip(filters, WIDTHS, strict=True)]
 
-    for epoch in range(EPOCHS):
+    words = [_hash_of(w.split()) for w in FUNCTION_WORDS.values()]
+    kept = np.flatnonzero(aside)
+    first_kept = np.cumsum([0, *[len(texts[i]) for i in kept]])
+    flat_kept = np.concatenate([np.zeros((0, 1 + len(BEGINNINGS)), np.int32), *[texts[i] for i in kept]])
+    model, best_loss, waited = None, np.inf, 0
+    for _ in range(EPOCHS):
         order = rng.permutation(fit)
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
             flat, starts = _padded(np.concatenate([rows[i] for i in batch]), np.cumsum([0, *[len(rows[i]) for i in batch]]))
-            x = table[flat]
+            x = table[flat].sum(axis=1)
             conv = []
             for f, w in zip(filters, WIDTHS, strict=True):
                 n = len(flat) - w + 1
@@ -160,8 +180,8 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model |
                 for o in range(w):
                     places = best[:, k] + o
                     g_filters[k][o] = np.einsum("bfs,bf->sf", x[places], g_top[:, k])
-                    touched.append(flat[places].ravel())
-                    pushed.append((g_top[:, k][:, :, None] * filters[k][o].T[None]).reshape(-1, SIZE))
+                    touched.append(flat[places].reshape(-1))  # a word's rows get the same
+                    pushed.append(np.repeat((g_top[:, k][:, :, None] * filters[k][o].T[None]).reshape(-1, SIZE), flat.shape[1], axis=0))
             touched, pushed = np.concatenate(touched), np.concatenate(pushed)
             ids, inverse = np.unique(touched, return_inverse=True)
             g = np.zeros((len(ids), SIZE), np.float32)
@@ -174,15 +194,30 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model |
                 p_ -= RATE * g_ / np.sqrt(q)
             base -= np.float32(RATE) * error.sum()
 
-    words = [_hash_of(w.split()) for w in FUNCTION_WORDS.values()]
-    model = Model(row_of, tables(), bias, out, float(base), np.zeros(len(LANGUAGES), np.float32))
-    kept = np.flatnonzero(aside)
-    first = np.cumsum([0, *[len(texts[i]) for i in kept]])
-    flat = np.concatenate([texts[i] for i in kept]) if len(kept) else np.zeros(0, np.int32)
-    model.shift = _thresholds(model.raw(flat, first), toxic[kept].astype(bool), languages(flat, first, words))
+        now = Model(row_of, tables(), [b.copy() for b in bias], out.copy(), float(base), np.zeros(len(LANGUAGES), np.float32))
+        loss = _balanced_loss(now.raw(flat_kept, first_kept), toxic[kept])
+        if loss < best_loss:
+            best_loss, model, waited = loss, now, 0
+        else:
+            waited += 1
+            if waited >= PATIENCE:
+                break
+    model.shift = _thresholds(model.raw(flat_kept, first_kept), toxic[kept].astype(bool), languages(flat_kept, first_kept, words))
     return model
 
 
+def _telling(bad: np.ndarray, good: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """How surely a word speaks for toxic texts: its log odds less their standard error, nothing below zero."""
+    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
+    return (0.3 * np.maximum(odds - np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)), 0)).astype(np.float32)
+
+
+def _balanced_loss(logit: np.ndarray, toxic: np.ndarray) -> float:
+    """Cross entropy, both kinds weighing alike."""
+    each = np.logaddexp(0, np.where(toxic, -logit, logit))
+    return sum(float(each[k].mean()) for k in (toxic.astype(bool), ~toxic.astype(bool)) if k.any())
+
+
 def _thresholds(logit: np.ndarray, toxic: np.ndarray, language: np.ndarray) -> np.ndarray:
     """By language the logit that separates best, drawn towards that of all texts where there are few."""
 
@@ -197,7 +232,7 @@ def _thresholds(logit: np.ndarray, toxic: np.ndarray, language: np.ndarray) -> n
         k = np.flatnonzero(np.isclose(missed + false, (missed + false).min()))
         k = int(k[len(k) // 2])
         low, high = x[max(k - 1, 0)], x[min(k, len(x) - 1)]
-        return float((low + high) / 2)
+        return float(low + (high - low) / 4)  # a gap between both kinds belongs rather to toxic texts, of which there are fewer
 
     overall = best(logit, toxic)
     found = np.full(len(LANGUAGES), overall, np.float32)
@@ -232,8 +267,10 @@ def sample_words(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray],
 
     texts = docs.select("doc_id", "text").filter(F.length("text") <= MOST_CHARS)
     joined = texts.join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
-    rows = joined.mapInArrow(run, "doc_id long, toxic boolean, words binary").orderBy(F.xxhash64("doc_id"), "words").collect()
-    return [np.frombuffer(r["words"], np.int32) for r in rows], np.array([r["toxic"] for r in rows], bool)
+    # One text of each id, so that no more rows than chosen ids reach the driver, however often an id is repeated.
+    one = joined.mapInArrow(run, "doc_id long, toxic boolean, words binary").groupBy("doc_id", "toxic").agg(F.min_by("words", F.xxhash64("words")).alias("words"))
+    rows = one.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    return [np.frombuffer(r["words"], np.int32).reshape(-1, 1 + len(BEGINNINGS)) for r in rows], np.array([r["toxic"] for r in rows], bool)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
