@@ -81,3 +81,27 @@ def test_wrapped_article_is_kept(spark):
     page = "<nav>Home</nav><div class='search'><article class='post tag-python'><p>Number {i} is here.</p></article></div><div class='ad'>Buy</div>"
     pages = spark.createDataFrame([(i, "u", page.replace("{i}", str(i))) for i in range(40)], "page_id long, url string, html string")
     assert {r.text for r in html.extract(pages).collect()} == {f"Number {i} is here." for i in range(40)}
+
+
+def test_places_of_blocks():
+    from webcorpus.llm.html_extraction import blocks_of, features
+
+    blocks = blocks_of("".join(f"<p>word{i} word{i} other</p>" for i in range(51)))
+    dense = features(blocks)[3]
+    for i in (0, 10, 25, 49, 50):
+        assert dense[i, 3] == np.float32(i / 51) and dense[i, 4] == np.float32(min(51 - i, 10) / 10)
+
+
+def test_headline_of_an_article_and_blanks(spark):
+    body = "<nav>Home</nav><header>Site</header><article><header><h1>Head&nbsp;line {i}</h1></header><p>&nbsp; Text&#8195;of {i}.&nbsp;</p><footer>by x</footer></article><footer>c</footer>"
+    pages = spark.createDataFrame([(i, "u", body.replace("{i}", str(i))) for i in range(30)], "page_id long, url string, html string")
+    for r in html.extract(pages).collect():
+        assert r.text == f"Head line {r.page_id}\n\nText of {r.page_id}."
+
+
+def test_a_very_long_page(spark):
+    page = "<html><body><nav><a href=/>Home</a></nav><article>" + "".join(f"<p>Sentence {i} of it.</p>" for i in range(20_000)) + "</article><footer>end</footer></body></html>"
+    short = "<html><body><nav><a href=/>Home</a></nav><article><p>One.</p><p>Two.</p></article><footer>end</footer></body></html>"
+    pages = spark.createDataFrame([(0, "u", page)] + [(i, "u", short) for i in range(1, 20)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert found[0] == "\n\n".join(f"Sentence {i} of it." for i in range(20_000)) and found[1] == "One.\n\nTwo."

@@ -48,7 +48,8 @@ from pyspark.sql import DataFrame, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE_PAGES = 240
-MOST_BLOCKS = 120  # of a training page; pages to extract are read whole
+MOST_BLOCKS = 400  # of a training page: longer ones are not learnt from; pages to extract are of any length
+MOST_HTML = 200_000  # characters of a training page, likewise
 TAG_BUCKETS, WORD_BUCKETS, HIDDEN = 256, 512, 16
 EPOCHS, RATE = 6, 0.02
 _TOGETHER = 256  # pages labelled in one go
@@ -75,7 +76,7 @@ _INSIDE_NAME = re.compile(  # post-meta or comment-text say nothing
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|([^<]+|<)", re.S)
 _NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
+_SPACE = re.compile(r"\s+")  # also no-break and other blanks that references stand for
 _RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 
 
@@ -191,11 +192,12 @@ def blocks_of(html: str) -> list[Block]:
 def stated(block: Block) -> int:
     """What the markup says: 1 article, 0 not, -1 nothing or both.
 
-    Tags such as nav rule out all below them. Of the names, the nearest that says
-    anything counts. On what is or holds an article or main, the name of something
+    Tags such as nav rule out all below them, but a header in an article or main is
+    the article's own. Of the names, the nearest that says anything counts. On what is or holds an article or main, the name of something
     outside rules nothing out.
     """
-    if any(shown.partition(".")[0] in _OUTSIDE for shown in block.path):
+    tags = [shown.partition(".")[0] for shown in block.path]
+    if any(tag in _OUTSIDE and not (tag == "header" and _INSIDE & {*tags[:k]}) for k, tag in enumerate(tags)):
         return 0
     verdict = -1
     for depth in range(len(block.path) - 1, -1, -1):
@@ -250,12 +252,12 @@ def features(blocks: list[Block], hide: bool = False) -> Features:
             above += [_bucket(f"^:{shown}", TAG_BUCKETS) for shown in sorted(set(path))]
             paths[path] = above
         counts: Counter[int] = Counter()
-        for word, n in Counter(block.text.lower().split(" ")).items():
-            counts[TAG_BUCKETS + _bucket(word, WORD_BUCKETS)] += n
+        for word, times in Counter(block.text.lower().split(" ")).items():
+            counts[TAG_BUCKETS + _bucket(word, WORD_BUCKETS)] += times
         flat += above
         flat += counts.keys()
         weights += [1.0] * len(above)
-        weights += [1 + log(n) for n in counts.values()]
+        weights += [1 + log(times) for times in counts.values()]
         starts.append(len(flat))
         length = len(block.text)
         dense[i] = (
@@ -337,9 +339,9 @@ def train(pages: list[str], seed: int = 5) -> Labeller | None:
     rng = np.random.default_rng(seed)
     examples = []
     for html in pages:
-        blocks = blocks_of(html)[:MOST_BLOCKS]
+        blocks = blocks_of(html)
         y = np.array([stated(b) for b in blocks])
-        if (y >= 0).any():
+        if len(blocks) <= MOST_BLOCKS and (y >= 0).any():
             examples += [(features(blocks, hide), y) for hide in (False, True)]
     if {0, 1} - {int(v) for _, y in examples for v in y}:
         return None  # labels of one kind only would make it say always the same
@@ -393,7 +395,7 @@ def _texts(pages: list[str], model: Labeller | None) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     chosen = pages.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
-    sample = pages.select("page_id", "html").join(chosen, "page_id", "left_semi").filter("html is not null and length(html) < 200000")
+    sample = pages.select("page_id", "html").join(chosen, "page_id", "left_semi").filter(F.length("html") <= MOST_HTML)
     model = train([r["html"] for r in sample.orderBy("page_id", "html").limit(SAMPLE_PAGES).collect()])
     shared = pages.sparkSession.sparkContext.broadcast(model)  # a few hundred kilobytes
 

@@ -10,8 +10,8 @@ evidence than one with thousands.
 Everything is column functions. The only thing that moves between tasks is one
 partial count per host and task, and the host's verdict back to narrow rows.
 
-Defined cases: a null or blank text has no words and fails; a null source is a
-host of its own; rows are judged one by one, so repeated ids or rows change
+Defined cases: a null or blank text has no words and fails; a null source
+counts as the empty one; rows are judged one by one, so repeated ids or rows change
 nothing; an empty table gives an empty result. Columns of the input with the
 names used here are neither read nor changed.
 """
