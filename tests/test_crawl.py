@@ -165,3 +165,29 @@ def test_a_level_shuffles_only_its_own_rows(spark, monkeypatch):
             assert "Join" in above[-1] and not any("Exchange" in x for x in above)
             scans += 1
     assert scans == 3
+
+
+def test_a_capped_run_parses_the_pages_it_reaches_only(spark, monkeypatch):
+    from webcorpus.plans import crawl as module
+
+    parsed, plain = spark.sparkContext.accumulator(0), module.parse_archive
+
+    def counted(fetchable):
+        def count(batches):
+            for batch in batches:
+                parsed.add(batch.num_rows)
+                yield batch
+
+        return plain(fetchable.mapInArrow(count, fetchable.schema))
+
+    monkeypatch.setattr(module, "parse_archive", counted)
+    rows = [(h * 100 + i, f"https://h{h}/{i}", f'<p>p{i}<a href="/{2 * i + 1}"></a><a href="/{2 * i + 2}"></a><a href="/f{i}.pdf"></a>') for h in range(3) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("https://h0/0",), ("https://h1/3",), ("https://h0/1",)], "url string")
+    run = run_sites(seeds, pages, output_dir="o", max_pages_per_site=7)
+    crawled = run.crawl.collect()
+    edges = {f"https://h{h}/{i}": [f"https://h{h}/{2 * i + 1}", f"https://h{h}/{2 * i + 2}"] for h in range(3) for i in range(60)}
+    for seed in ("https://h0/0", "https://h1/3", "https://h0/1"):
+        assert [r.url for r in sorted(crawled, key=lambda r: r.fifo_rank) if r.site == seed] == fifo(seed, edges, 7)
+    assert parsed.value == len({r.page_id for r in crawled}) < 21
+    assert {r.site: (r.pages_converted, r.files_downloaded) for r in run.stats.collect()} == {s: (7, 7) for s in ("https://h0/0", "https://h1/3", "https://h0/1")} | {None: (21, 21)}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..functions.once import with_once
 from ..functions.urls import is_downloadable, is_same_domain, is_valid_url, normalize_url, url_netloc
@@ -85,36 +86,86 @@ def crawl(seeds: DataFrame, graph: DataFrame, max_pages: int = 100, buckets: int
     the sizes of the slices, so a level needs nothing but the level before it.
     A lost executor costs no recomputation of earlier levels.
     """
+    state = _Crawl(seeds.sparkSession, buckets)
+    try:
+        state.store_graph(graph.select("url", "page_id", "targets"))
+        state.run(seeds, lambda depth: state.stored, max_pages)
+    finally:
+        state.drop()
+    return state.pages(max_pages)
+
+
+def crawl_pages(seeds: DataFrame, fetchable: DataFrame, max_pages: int, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the same crawl, the parsed pages): a capped crawl that parses the pages it reaches and no others.
+
+    ``fetchable``: page_id, url, html, as ``fetchable_pages`` gives them. Each
+    level picks its pages out of the archive by their ids, parses and writes
+    them, and the next level follows their links. The archive's HTML is read
+    once for each level, which is cheap next to parsing, and never shuffled as
+    long as a level's ids can be broadcast; a crawl without a cap rather parses
+    all pages once (``parse_archive``).
+    """
     spark = seeds.sparkSession
-    root = scratch_path(spark, "crawl")
-    width = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = uuid.uuid4().hex
-    graph_table, reached_table = f"crawl_graph_{name}", f"crawl_reached_{name}"
-    (
-        graph.select("url", "page_id", "targets").repartition(width, "url")
-        .write.bucketBy(width, "url").sortBy("url").option("path", f"{root}/graph").saveAsTable(graph_table)
-    )
-    stored = spark.table(graph_table)
-    zero = F.lit(0).cast("long")
-    queue = (
-        seeds.filter(is_valid_url(F.col("url")))
-        .select(F.col("url").alias("site"), normalize_url(F.col("url")).alias("url")).distinct()
-        .select("site", "url", zero.alias("parent_rank"), F.lit(0).alias("pos"), zero.alias("site_start"))
-    )
-    depth = 0
+    state = _Crawl(spark, buckets)
+    parsed = f"{state.root}/parsed"
+    schema = parse_archive(fetchable).schema
+
+    def parse_level(depth: int) -> DataFrame:
+        level = _ranked(spark.table(state.reached).filter(F.col("level") == depth), ["site"])
+        ids = level.filter(F.col("fifo_rank") <= max_pages).select("page_id").distinct()
+        if depth:
+            ids = ids.join(spark.read.schema(schema).parquet(parsed).select("page_id"), "page_id", "left_anti")
+        wanted = fetchable.join(materialize(ids, "level-pages"), "page_id", "left_semi")
+        parse_archive(wanted).write.mode("append").parquet(parsed)
+        return link_graph(spark.read.schema(schema).parquet(parsed))[0]
+
     try:
-        while _append_level(queue, stored, reached_table, f"{root}/reached", depth, width):
-            queue = next_queue(spark.table(reached_table), stored, depth, max_pages)
-            depth += 1
+        state.store_graph(fetchable.select("url", "page_id"))
+        state.run(seeds, parse_level, max_pages)
     finally:
-        for table in (graph_table, reached_table):
-            spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: only the catalog entry goes
-    if not depth:
-        return spark.createDataFrame([], CRAWL)
-    reached = _ranked(spark.read.schema(_REACHED).parquet(f"{root}/reached"), ["level", "site"])
-    if max_pages > 0:
-        reached = reached.filter(F.col("fifo_rank") <= max_pages)
-    return reached.select("site", "url", F.col("level").alias("depth"), "fifo_rank", "page_id")
+        state.drop()
+    pages = state.pages(max_pages)
+    return pages, spark.read.schema(schema).parquet(parsed) if state.depth else spark.createDataFrame([], schema)
+
+
+class _Crawl:
+    """The tables of one crawl and its loop over levels."""
+
+    def __init__(self, spark: SparkSession, buckets: int | None):
+        self.spark, self.root = spark, scratch_path(spark, "crawl")
+        self.width = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        name = uuid.uuid4().hex
+        self.graph, self.reached = f"crawl_graph_{name}", f"crawl_reached_{name}"
+        self.depth = 0
+
+    def store_graph(self, graph: DataFrame) -> None:
+        placed = graph.repartition(self.width, "url").write.bucketBy(self.width, "url").sortBy("url")
+        placed.option("path", f"{self.root}/graph").saveAsTable(self.graph)
+        self.stored = self.spark.table(self.graph)
+
+    def run(self, seeds: DataFrame, links_of: Callable[[int], DataFrame], max_pages: int) -> None:
+        """``links_of``: a table with the links (url, targets) of the pages of a level."""
+        zero = F.lit(0).cast("long")
+        queue = (
+            seeds.filter(is_valid_url(F.col("url")))
+            .select(F.col("url").alias("site"), normalize_url(F.col("url")).alias("url")).distinct()
+            .select("site", "url", zero.alias("parent_rank"), F.lit(0).alias("pos"), zero.alias("site_start"))
+        )
+        while _append_level(queue, self.stored, self.reached, f"{self.root}/reached", self.depth, self.width):
+            queue = next_queue(self.spark.table(self.reached), links_of(self.depth), self.depth, max_pages)
+            self.depth += 1
+
+    def drop(self) -> None:
+        for table in (self.graph, self.reached):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: only the catalog entry goes
+
+    def pages(self, max_pages: int) -> DataFrame:
+        if not self.depth:
+            return self.spark.createDataFrame([], CRAWL)
+        reached = _ranked(self.spark.read.schema(_REACHED).parquet(f"{self.root}/reached"), ["level", "site"])
+        if max_pages > 0:
+            reached = reached.filter(F.col("fifo_rank") <= max_pages)
+        return reached.select("site", "url", F.col("level").alias("depth"), "fifo_rank", "page_id")
 
 
 def _append_level(queue: DataFrame, graph: DataFrame, table: str, path: str, depth: int, width: int) -> int:

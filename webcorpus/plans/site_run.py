@@ -14,7 +14,7 @@ from ..operators.report import site_stats
 from ..operators.robots import robots_policies, with_robots
 from ..schemas import FILES
 from ..session import materialize
-from .crawl import crawl, fetchable_pages, link_graph, parse_archive
+from .crawl import crawl, crawl_pages, fetchable_pages, link_graph, parse_archive
 
 
 @dataclass
@@ -68,9 +68,13 @@ def run_sites(
     spark = seeds.sparkSession
     policies = None if robots is None else materialize(robots_policies(robots), "robots")
     fetchable = fetchable_pages(pages, policies, seeds)
-    parsed = materialize(parse_archive(fetchable), "parsed")
-    graph, file_links = link_graph(parsed)
-    crawled = crawl(seeds, graph, max_pages_per_site)
+    if max_pages_per_site > 0:
+        crawled, parsed = crawl_pages(seeds, fetchable, max_pages_per_site)
+        _, file_links = link_graph(parsed)
+    else:
+        parsed = materialize(parse_archive(fetchable), "parsed")
+        graph, file_links = link_graph(parsed)
+        crawled = crawl(seeds, graph, 0)
 
     markdown = with_once(
         crawled.join(parsed.select("page_id", "title", "markdown"), "page_id"),
