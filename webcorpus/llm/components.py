@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..session import materialize
 
@@ -25,23 +25,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(nearest.select("u", F.col("m").alias("v")))
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, with their number and checksum, taken while they are written."""
+    seen = Observation()
+    written = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("sum")), "components")
+    return written, (seen.get["n"], seen.get["sum"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b): the smallest id that its links reach.
 
     Stars are contracted in turns until nothing moves, a number of rounds that
     grows with the logarithm of the longest path. Smallest neighbours are
-    aggregates and hubs meet their edges in joins, so no task holds a hub.
-    Each round is a written table.
+    aggregates; a hub meets its edges in a join that Spark splits if it is
+    skewed. Each round is a written table.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = materialize(edges, "components")
-    state = None
-    while True:
-        found = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    edges, state = _written(edges)
+    while state[0]:
+        edges, found = _written(_small_star(_large_star(edges)).distinct())
         if found == state:
             break
         state = found
-        edges = materialize(_small_star(_large_star(edges)).distinct(), "components")
     nodes = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return nodes.union(roots)

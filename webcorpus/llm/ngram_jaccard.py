@@ -26,7 +26,7 @@ tiles. Equal sets are one set throughout.
 
 Shingles are known by 64-bit hashes. Filters of fixed size (``bitmaps``) keep
 shingles that occur once from being listed. For the order all shingles of all
-sets are counted, two bytes for each in the shuffle.
+sets are counted, three bytes for each in the shuffle.
 
 Defined cases: a null or blank text has no shingles and no links; a text of
 fewer than n words has its whole sequence as its only shingle; rows with the
@@ -62,7 +62,7 @@ LONGER = 4  # and those of so many times more sets later again, and so on
 SCAN_COST = 16  # comparisons and rows that a listed shingle costs, for the boundary
 STAR_ROUNDS = 2
 GATHER_ROUNDS = 2
-_LOW = np.uint32(0xFFFF)
+_LOW_BITS = 20  # of the 32 that tell shingles apart when they are counted; the others are the bucket
 _COUNTED = 2_000_000  # shingles that a task counts before it passes them on
 _FEW_BITS = 22  # of a filter of shingles in a hundred sets or more
 TILE = 128  # sets compared at once with as many others
@@ -164,46 +164,50 @@ def _id_filter(rows: DataFrame) -> Filter:
 
 
 def _packed_counts(tokens: np.ndarray) -> pa.RecordBatch:
-    """(bucket, low, more): the filter positions of shingles, two bytes each; positions that come again have their further times in ``more``."""
-    at, n = np.unique((tokens & np.uint64((1 << BITS) - 1)).astype(np.uint32), return_counts=True)
-    low, more = (at & _LOW).astype(np.uint16), np.stack([at & _LOW, n - 1], axis=1).astype(np.uint32)
-    cuts = np.searchsorted(at >> np.uint32(16), np.arange((1 << BITS - 16) + 1))
+    """(bucket, low, more): the low 32 bits of shingles, three bytes each; those that come again have their further times in ``more``."""
+    at, n = np.unique(tokens.astype(np.uint32), return_counts=True)
+    low = at & np.uint32((1 << _LOW_BITS) - 1)
+    three = np.ascontiguousarray(low.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+    more = np.stack([low, n - 1], axis=1).astype(np.uint32)
+    cuts = np.searchsorted(at >> np.uint32(_LOW_BITS), np.arange((1 << 32 - _LOW_BITS) + 1))
     buckets = np.flatnonzero(np.diff(cuts))
     spans = [slice(cuts[i], cuts[i + 1]) for i in buckets]
-    columns = [pa.array(buckets, pa.int32()), [low[x].tobytes() for x in spans], [(m := more[x])[m[:, 1] > 0].tobytes() for x in spans]]
-    return pa.RecordBatch.from_arrays([columns[0], pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["bucket", "low", "more"])
+    columns = [[three[x].tobytes() for x in spans], [(m := more[x])[m[:, 1] > 0].tobytes() for x in spans]]
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "low", "more"])
 
 
 def _recurring(packed: DataFrame) -> DataFrame:
-    """(at, c): filter positions with more than one shingle and how many; all shingles are counted, a bucket of positions at a time."""
+    """(at, c): low 32 bits that several shingles have and how many; all shingles are counted, a bucket of values at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, counts = None, np.zeros(1 << 16, np.int64)
+        current, counts = None, np.zeros(1 << _LOW_BITS, np.int64)
 
         def found() -> pa.RecordBatch:
             at = np.flatnonzero(counts > 1)
-            return pa.RecordBatch.from_arrays([pa.array((at + (current << 16)).astype(np.int32)), pa.array(counts[at])], names=["at", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(at + (int(current) << _LOW_BITS)), pa.array(counts[at])], names=["at", "c"])
 
         for batch in batches:
             for bucket, low, more in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "more")), strict=True):
                 if bucket != current:
                     if current is not None:
                         yield found()
-                    current, counts = bucket, np.zeros(1 << 16, np.int64)
-                counts[np.frombuffer(low, np.uint16)] += 1
+                    current = bucket
+                    counts[:] = 0
+                three = np.frombuffer(low, np.uint8).reshape(-1, 3).astype(np.uint32)
+                counts[three[:, 0] | three[:, 1] << np.uint32(8) | three[:, 2] << np.uint32(16)] += 1
                 at, n = np.frombuffer(more, np.uint32).reshape(-1, 2).T
                 counts[at] += n
         if current is not None:
             yield found()
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "at int, c long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "at long, c long")
 
 
 _PACKED = "bucket int, low binary, more binary"
 
 
 def _shingle_counts(docs: DataFrame, size: int, ids: Filter) -> DataFrame:
-    """In how many of the sets whose id the filter holds each shingle is, by filter position."""
+    """In how many of the sets whose id the filter holds each shingle is, by its low 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -223,7 +227,7 @@ def _shingle_counts(docs: DataFrame, size: int, ids: Filter) -> DataFrame:
 
 
 def _listed_counts(sets: DataFrame) -> DataFrame:
-    """In how many of the sets each shingle is listed, by filter position."""
+    """In how many of the sets each shingle is listed, by its low 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,18 +378,29 @@ def _star_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def _gathered(lists: DataFrame) -> DataFrame:
-    """(a, b): the cluster of a set and the leading one of its lists, where it may have a partner in that.
+def _gathered(lists: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The clusters (id, component) after small ones have gone over to larger ones that may hold partners of theirs.
 
     A list's leading cluster has the most members there. A set that shares
     fewer lists with a cluster than linked sets do has no link to any of its
-    members. So a group of copies is one cluster, however unlike its members
-    are, and is compared by tiles.
+    members. Of two clusters that may have links the smaller goes over to the
+    larger, and on to where that goes itself; so a group of copies is one
+    cluster, however unlike its members are, and is compared by tiles. What
+    does not meet here is found by the join across clusters.
     """
     parts = lists.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c"))
     leading = parts.groupBy("h").agg(F.max(F.struct("c", "component")).alias("lead"))
     met = lists.join(leading, "h").filter("component <> lead.component").groupBy("id", "n", "component", F.col("lead.component").alias("lead"))
-    return met.agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= _k("n")).select(F.col("component").alias("a"), F.col("lead").alias("b")).distinct()
+    edges = met.agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= _k("n")).select("component", "lead").distinct()
+    every = clusters.unionByName(edges.select(F.explode(F.array("component", "lead")).alias("id")).distinct().withColumn("component", F.col("id")))
+    every = materialize(every.groupBy("id").agg(F.min("component").alias("component")), "jaccard-clusters")
+    sizes = every.groupBy("component").agg(F.struct(F.count(F.lit(1)), "component").alias("size"))
+    both = edges.join(sizes, "component").join(sizes.select(F.col("component").alias("lead"), F.col("size").alias("lead_size")), "lead")
+    ends = F.array_sort(F.array("size", "lead_size"))
+    over = materialize(both.groupBy(ends[0]["component"].alias("component")).agg(F.max(ends[1]).alias("to")).select("component", F.col("to.component").alias("to")), "jaccard-over")
+    further = over.join(over.select(F.col("component").alias("to"), F.col("to").alias("further")), "to", "left")
+    moved = further.select("component", F.coalesce("further", "to").alias("to"))
+    return materialize(every.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "jaccard-clusters")
 
 
 def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -489,8 +504,7 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SI
         labels = components(links)
     clusters = components(near)
     for _ in range(GATHER_ROUNDS):
-        near = materialize(near.union(_gathered(_split_lists(members, clusters))), "jaccard-near")
-        clusters = components(near)
+        clusters = _gathered(materialize(_split_lists(members, clusters), "jaccard-lists"), clusters)
     pairs = materialize(_open_pairs(_split_lists(members, clusters), percent), "jaccard-pairs")
     links = links.union(_verified(docs, pairs, size, percent)).union(_cluster_links(docs, labels, clusters, size, percent))
     reached = components(links.union(copies))
