@@ -93,3 +93,34 @@ def latin_fold() -> tuple[str, str]:
         if base.isascii() and base.isalnum() and chr(code) not in LATIN_DIGRAPHS:
             pairs[chr(code)] = base
     return "".join(pairs), "".join(pairs.values())
+
+
+# The text summary, in the order in which its lines appear. %s, %d and %.2f stand for values.
+SUMMARY = {
+    "title": "=== UPLOAD STATISTICS SUMMARY ===",
+    "generated": "Generated: %s",
+    "to_process": "=== FILES TO PROCESS ===",
+    "total_files": "Total files in %s directory: %d",
+    "extensions": "=== FILE EXTENSIONS ===",
+    "extension": "%s: %d files",
+    "results": "=== UPLOAD RESULTS ===",
+    "uploaded": "Successfully uploaded: %d",
+    "failed": "Failed uploads: %d",
+    "skipped": "Skipped files: %d",
+    "processed": "Total files processed: %d",
+    "rate": "Success rate for uploadable files: %.2f%%",
+    "reasons": "=== FAILURE REASONS ===",
+    "reason": "%s: %d files",
+    "next": "=== NEXT STEPS ===",
+    "retry": "To retry failed uploads, run the retry job.",
+    "done": "All uploadable files were successfully processed!",
+    "details": "Detailed results are available in the following files:",
+    "csv": "- CSV Report: %s",
+    "json": "- JSON Stats: %s",
+    "logs": "- Full Logs: %s and %s",
+}
+
+# Columns of the CSV report, and what it calls the outcomes.
+REPORT_COLUMNS = ("File Path", "Status", "Reason", "Response", "File Size (bytes)", "Upload Duration (s)")
+REPORT_STATUS = {"success": "Success", "skipped": "Skipped", "failed": "Failed"}
+REPORT_SKIPPED = "Unsupported or image file"

@@ -17,15 +17,13 @@ def running_total(
     order: list[Column | str],
     name: str,
     weight: Column | None = None,
-    start: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``name``: the sum of ``weight`` (default 1) up to and including this row, per key.
 
     ``chunk`` must not decrease along ``order``. Rows are summed within a chunk
     and each chunk starts from the total of the chunks before it, so a key
     holding any share of the rows is spread over as many tasks as it has
-    chunks. Keys and chunks must not be NULL. ``start`` (keys, start) gives the
-    total some keys begin with.
+    chunks. Keys and chunks must not be NULL.
     """
     rows = rows.withColumn("_chunk", chunk).withColumn("_weight", (weight if weight is not None else F.lit(1)).cast("long"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -37,8 +35,6 @@ def running_total(
         .agg(F.sum("_weight").alias("_sum"))
         .select(*keys, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     )
-    if start is not None:
-        starts = starts.join(start, keys, "left").withColumn("_start", F.col("_start") + F.coalesce("start", F.lit(0))).drop("start")
     return (
         rows.join(starts, [*keys, "_chunk"])
         .withColumn(name, F.col("_start") + F.sum("_weight").over(within))

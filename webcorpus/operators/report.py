@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.fixed import DELIVERABLE_LABELS, IMAGE_LABELS
+from ..functions.fixed import DELIVERABLE_LABELS, IMAGE_LABELS, REPORT_COLUMNS, REPORT_SKIPPED, REPORT_STATUS, SUMMARY
 from ..functions.paths import extension_bucket, extension_label
 from .uploads import failure_details, failure_reasons
 
@@ -97,27 +97,16 @@ def report_rows(log: DataFrame, failures: DataFrame, inventory: DataFrame, order
     parts = analysed(log, order)
     sizes = inventory.select("file_path", "size")
 
-    def section(number, rows, status, reason, response, size, duration):
-        return rows.select(
-            F.lit(number).alias("section"),
-            *order,
-            F.col("file_path").alias("File Path"),
-            F.lit(status).alias("Status"),
-            reason.alias("Reason"),
-            response.alias("Response"),
-            size.cast("long").alias("File Size (bytes)"),
-            duration.cast("double").alias("Upload Duration (s)"),
-        )
+    def section(number, rows, status, *values):
+        kinds = ("string", "string", "string", "string", "long", "double")
+        values = (F.col("file_path"), F.lit(REPORT_STATUS[status]), *values)
+        return rows.select(F.lit(number).alias("section"), *order, *[v.cast(k).alias(c) for v, k, c in zip(values, kinds, REPORT_COLUMNS, strict=True)])
 
-    none, size = F.lit(""), F.coalesce("size", F.lit(0))
+    none, size, unknown = F.lit(""), F.coalesce("size", F.lit(0)), F.lit(None)
     return (
-        section(1, parts["success"].join(sizes, "file_path", "left"), "Success", none, none, size, F.col("upload_duration"))
-        .unionByName(
-            section(2, parts["skipped"].join(sizes, "file_path", "left"), "Skipped", F.lit("Unsupported or image file"), none, size, F.lit(None))
-        )
-        .unionByName(
-            section(3, failure_details(failures), "Failed", F.col("reason"), F.col("response"), F.col("file_size"), F.lit(None))
-        )
+        section(1, parts["success"].join(sizes, "file_path", "left"), "success", none, none, size, F.col("upload_duration"))
+        .unionByName(section(2, parts["skipped"].join(sizes, "file_path", "left"), "skipped", F.lit(REPORT_SKIPPED), none, size, unknown))
+        .unionByName(section(3, failure_details(failures), "failed", F.col("reason"), F.col("response"), F.col("file_size"), unknown))
     )
 
 
@@ -144,15 +133,15 @@ def summary_lines(
     )
     rate = F.round(100 * F.try_divide(F.col("s"), F.col("s") + F.col("f")), 2)
     head = [
-        (1, 1, "=== UPLOAD STATISTICS SUMMARY ==="), (1, 2, f"Generated: {generated}"), (1, 3, ""),
-        (2, 1, "=== FILES TO PROCESS ==="), (2, 3, ""),
-        (3, 1, "=== FILE EXTENSIONS ==="),
-        (5, 1, "=== UPLOAD RESULTS ==="),
+        (1, 1, SUMMARY["title"]), (1, 2, SUMMARY["generated"] % generated), (1, 3, ""),
+        (2, 1, SUMMARY["to_process"]), (2, 3, ""),
+        (3, 1, SUMMARY["extensions"]),
+        (5, 1, SUMMARY["results"]),
     ]
     tail = [
-        (9, 2, ""), (9, 3, "Detailed results are available in the following files:"),
-        (9, 4, f"- CSV Report: {outputs[0]}"), (9, 5, f"- JSON Stats: {outputs[1]}"),
-        (9, 6, f"- Full Logs: {outputs[2]} and {outputs[3]}"),
+        (9, 2, ""), (9, 3, SUMMARY["details"]),
+        (9, 4, SUMMARY["csv"] % outputs[0]), (9, 5, SUMMARY["json"] % outputs[1]),
+        (9, 6, SUMMARY["logs"] % outputs[2:]),
     ]
     fixed = log.sparkSession.createDataFrame([(s, str(o), t) for s, o, t in head + tail], "section int, ord string, line string")
     results = counts.select(
@@ -161,16 +150,16 @@ def summary_lines(
                 *[
                     F.struct(F.lit(s).alias("section"), F.lit(o).alias("ord"), text.alias("line"))
                     for s, o, text in (
-                        (5, "2", F.format_string("Successfully uploaded: %d", "s")),
-                        (5, "3", F.format_string("Failed uploads: %d", "f")),
-                        (5, "4", F.format_string("Skipped files: %d", "skip")),
-                        (5, "5", F.format_string("Total files processed: %d", F.col("s") + F.col("f") + F.col("skip"))),
+                        (5, "2", F.format_string(SUMMARY["uploaded"], "s")),
+                        (5, "3", F.format_string(SUMMARY["failed"], "f")),
+                        (5, "4", F.format_string(SUMMARY["skipped"], "skip")),
+                        (5, "5", F.format_string(SUMMARY["processed"], F.col("s") + F.col("f") + F.col("skip"))),
                         (5, "6", F.lit("")),
-                        (6, "1", F.format_string("Success rate for uploadable files: %.2f%%", rate)),
+                        (6, "1", F.format_string(SUMMARY["rate"], rate)),
                         (6, "2", F.lit("")),
-                        (9, "0", F.lit("=== NEXT STEPS ===")),
-                        (9, "1", F.when(F.col("f") > 0, "To retry failed uploads, run the retry job.")
-                         .otherwise("All uploadable files were successfully processed!")),
+                        (9, "0", F.lit(SUMMARY["next"])),
+                        (9, "1", F.when(F.col("f") > 0, SUMMARY["retry"])
+                         .otherwise(SUMMARY["done"])),
                     )
                 ]
             )
@@ -180,12 +169,12 @@ def summary_lines(
     reasons = failure_reasons(failures)
     any_reason = failures.agg(F.count("*").alias("n")).filter("n > 0")
     return (
-        fixed.unionByName(inventory.agg(F.count("*").alias("n")).select(*_line(2, 2, F.format_string("Total files in %s directory: %d", F.lit(directory), "n"))))
-        .unionByName(extension_histogram(inventory).select(*_line(4, F.col("ext"), F.format_string("%s: %d files", "ext", "files"))))
+        fixed.unionByName(inventory.agg(F.count("*").alias("n")).select(*_line(2, 2, F.format_string(SUMMARY["total_files"], F.lit(directory), "n"))))
+        .unionByName(extension_histogram(inventory).select(*_line(4, F.col("ext"), F.format_string(SUMMARY["extension"], "ext", "files"))))
         .unionByName(inventory.agg(F.count("*").alias("n")).select(*_line(5, "", "")))
         .unionByName(results)
-        .unionByName(any_reason.select(*_line(7, 1, "=== FAILURE REASONS ===")))
-        .unionByName(reasons.select(*_line(8, F.col("reason"), F.format_string("%s: %d files", "reason", "files"))))
+        .unionByName(any_reason.select(*_line(7, 1, SUMMARY["reasons"])))
+        .unionByName(reasons.select(*_line(8, F.col("reason"), F.format_string(SUMMARY["reason"], "reason", "files"))))
         .unionByName(any_reason.select(*_line(9, "", "")))
     )
 

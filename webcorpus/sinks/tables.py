@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.fixed import REPORT_COLUMNS
 from ..schemas import LEDGER
 from .file_tree import FileTree
 
@@ -65,9 +66,8 @@ def append_ledger(rows: DataFrame, path: str, batch: str | None = None) -> None:
 
 def write_report(report: DataFrame, path: str) -> None:
     """CSV with a header, successes first, in the order of the rows' place columns."""
-    shown = ["File Path", "Status", "Reason", "Response", "File Size (bytes)", "Upload Duration (s)"]
-    places = [c for c in report.columns if c not in shown]
-    report.orderBy(*places).select(*shown).write.mode("overwrite").option("header", True).csv(path)
+    places = [c for c in report.columns if c not in REPORT_COLUMNS]
+    report.orderBy(*places).select(*REPORT_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
