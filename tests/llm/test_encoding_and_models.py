@@ -160,3 +160,24 @@ def test_toxicity_sample_has_one_text_of_an_id(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
     words, toxic = toxicity.sample_words(docs, labels)
     assert len(words) == len(toxic) <= 3 and all(w.shape[1] == 1 + len(toxicity.BEGINNINGS) for w in words)
+
+
+def test_pipeline_takes_odd_rows(spark):
+    """Null, empty, repeated and very long texts, null and repeated ids and clashing columns through every stage."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"word{rng.randrange(5000)}" for _ in range(n))
+    clean = [(i, prose(60), "en", f"s{i % 3}", 1) for i in range(40)]
+    odd = [(100, None, None, None, None), (101, "", "en", "s0", 0), (102, prose(30_000), "en", "s1", 5), (None, prose(40), "en", "s1", 2), clean[0], clean[0], (3, prose(50), "fr", None, 3)]
+    docs = spark.createDataFrame([(*r, "x", 7) for r in clean + odd], "doc_id long, text string, lang string, source string, n_chars long, component_id string, ids int")
+    ids = {r[0] for r in clean}
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SF).cache()
+        found = [r.doc_id for r in after.collect()]
+        assert ids <= set(found) and {102, None} <= set(found) and not {100, 101} & set(found), name
+        if name != "sentencepiece":
+            assert after.columns == docs.columns
+            docs = after
+    assert len(found) == len(ids) + 3 and found.count(0) == 1 and found.count(3) == 2  # both texts of an id stay, equal rows go
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
