@@ -1,8 +1,10 @@
 """The parsing stage: links and Markdown."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from webcorpus.operators import html
 from webcorpus.operators.html import _parse, parse_pages
 from webcorpus.operators.links import classify_links, explode_links
 
@@ -54,3 +56,18 @@ def test_parsing_keeps_columns_and_survives_any_input(spark):
     rows = parse_pages(df, keep=("page_id", "site")).orderBy("page_id").collect()
     assert [(r.page_id, r.site) for r in rows] == [(1, "s"), (2, "t"), (3, "u")]
     assert rows[2].markdown is None and rows[2].links == []
+
+
+def test_pages_are_parsed_in_slices(spark):
+    """A worker holds a bounded part of a batch as parsed objects; no row is lost where slices meet."""
+    texts = pa.array(["x" * 10] * 1000 + ["x" * (html.SLICE_BYTES + 1), None, "y"])
+    slices = list(html._slices(texts))
+    assert [at for start, n in slices for at in range(start, start + n)] == list(range(len(texts)))
+    assert max(n for _, n in slices) <= html.SLICE_ROWS
+    assert all(sum(len(t or "") for t in texts.slice(start, n - 1).to_pylist()) < html.SLICE_BYTES for start, n in slices)
+    assert list(html._slices(texts.slice(0, 0))) == []
+    pages = spark.range(700).coalesce(1).selectExpr("id AS page_id", "'https://h/' AS url", "if(id % 9 = 0, NULL, concat('<a href=/', id, '>', id)) AS html")
+    found = parse_pages(pages, keep=("page_id",)).collect()
+    assert [(r.page_id, r.markdown, [x.resolved for x in r.links]) for r in found] == [
+        (i, None, []) if i % 9 == 0 else (i, f"[{i}](/{i})", [f"https://h/{i}"]) for i in range(700)
+    ]
