@@ -32,6 +32,53 @@ def test_bpe_equals_the_library(spark):
     assert sorted(map(repr, ((r.doc_id, r.ids, r.decoded) for r in at_once))) == sorted(map(repr, ((r.doc_id, r.ids, r.back) for r in found)))
 
 
+def test_parts_and_shuffles_of_the_lattice(spark):
+    """Texts are cut between characters that no piece has side by side, and documents and parts are shuffled once."""
+    import sentencepiece
+
+    path = lattice.default_model()
+    model, library = lattice.read_model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    pairs = model.pairs()
+    assert all(p[i : i + 2] in pairs for p, n in zip(model.pieces, model.normal) if n for i in range(len(p) - 1))
+    rng = random.Random(5)
+    stems, ends = ["house", "tion", "ñandú", "ßein", "größe", "日本語", "it's"], ["ñó", "&&&", "", "***", "\n\n", "é😀", "ñé,"]
+    texts = [" ".join(rng.choice(stems) + rng.choice(stems) + rng.choice(ends) for _ in range(rng.randrange(30))) for _ in range(200)] + ["", " ", "x" * 70 + " y"]
+    cutter = lattice.Cutter(pairs)
+    parts, at = cutter.parts(texts)
+    given = ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
+    assert ["".join(parts[a:z].to_pylist()) for a, z in zip(at, at[1:])] == given
+    for whole in given:
+        want = [i for i in range(1, len(whole)) if whole[i - 1 : i + 1] not in pairs]
+        cut, _ = cutter.parts([whole[1:].replace("▁", " ")] if whole else [""])
+        assert np.cumsum([len(x) for x in cut.to_pylist()])[:-1].tolist() == want
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string").repartition(7)
+    encoded = lattice.encode(docs, model, decoded=True)
+    for r in encoded.collect():
+        assert r.ids == library.encode(texts[r.doc_id % len(texts)]) and r.decoded == texts[r.doc_id % len(texts)]
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= 2, "documents and parts are shuffled once each"
+
+
+def test_one_look_at_each_edge_gives_the_same_merges(spark):
+    """Random piece tables with overlapping pieces in any order: settled words are merged as by the full fold and as by a heap."""
+    rng = random.Random(7)
+    again = settled = 0
+    for _ in range(4):
+        pieces = list(dict.fromkeys("".join(rng.choice("abc") for _ in range(rng.choice([2, 2, 3, 4]))) for _ in range(25)))
+        rng.shuffle(pieces)
+        table = spark.createDataFrame([(p, i, i, 0.0) for i, p in enumerate(pieces)], "piece string, id int, rank int, score double")
+        words = list({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 25))) for _ in range(150)})
+        edges = lattice._lattice(spark.createDataFrame([(w,) for w in words], "word string"), table, True)
+        rows = edges.select("word", lattice._merged(F.col("edges"), F.col("n")).alias("full"), lattice._merged_in_order(F.col("edges"), F.col("n")).alias("swift")).collect()
+        for r in rows:
+            assert lattice._parts(r.word, r.full) == lattice.merge_long(r.word, {p: (i, i) for i, p in enumerate(pieces)})
+            again += r.swift >> 62 & 1
+            if not r.swift >> 62 & 1:
+                settled += 1
+                assert r.swift == r.full
+    assert again and settled
+
+
 def test_unigram_viterbi(spark):
     pieces = ["<unk>", "▁", "a", "b", "ab", "aba", "▁ab", "ba", "bab", "▁b"]
     scores = [0.0, -3.0, -2.0, -2.1, -3.5, -4.2, -4.9, -3.3, -4.4, -3.8]
