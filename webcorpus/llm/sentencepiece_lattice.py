@@ -49,11 +49,11 @@ from ..functions.once import with_once
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LONGEST = 60  # characters of a part whose boundaries fit one long
-BLOCK_CHARS = 32_000_000  # of a block of documents: the more, the fewer parts are dealt to several
-TASK_CHARS = 16_000_000  # of text whose distinct parts go to one task of the lattice
-SLICE_BYTES = 2_000_000  # of text that a task cuts at once
+BLOCK_CHARS = 16_000_000  # of a block of documents: the more, the fewer parts are dealt to several
+TASK_CHARS = 8_000_000  # of text whose distinct parts go to one task of the lattice
+SLICE_BYTES = 500_000  # of text that a task cuts at once
 _HELD = 64_000_000  # bytes of parts, about, that a task holds before it passes them on
-_PACKED = 200_000  # parts that a task packs at once
+_PACKED = 50_000  # parts that a task packs at once
 _AGAIN = 1 << 62  # beyond the boundaries of a part
 _BLANK = "▁"
 
@@ -210,7 +210,7 @@ def _parts_of_blocks(packed: DataFrame, pairs: frozenset[str], merges: bool) ->
 
 
 def _packed_parts(parts: DataFrame) -> DataFrame:
-    """(block, payload): (block, word, bits) as one compressed Arrow stream for each block and some hundred thousand rows."""
+    """(block, payload): (block, word, bits) as one compressed Arrow stream for each block and some ten thousand rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
@@ -440,6 +440,7 @@ def encode(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text"
         cutter, tables = Cutter(pairs), [_from_bytes(x.as_py()) for x in parts.column("payload")]
         given = pa.concat_tables(tables).combine_chunks() if tables else pa.table({"word": pa.array([], pa.string()), "bits": pa.array([], pa.int64())})
         spelling = Spelling(pa.concat_arrays(given.column("word").chunks) if len(given) else pa.array([], pa.string()), given.column("bits").to_numpy())
+        del tables, given
         made = []
         for payload in documents.column("payload"):
             for rows in _slices(payload.as_py()):
