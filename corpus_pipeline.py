@@ -2,6 +2,8 @@
 
 ``run`` writes each stage's rows below the session's shared scratch folder and
 reads them back for the next, so that a lost executor costs one stage at most.
+Once they are written, the rows of the stage before and what the stage wrote on
+its way are deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from webcorpus.llm import decontamination, ngram_jaccard, quality_rules, sanitisation, sentencepiece_lattice
-from webcorpus.session import materialize
+from webcorpus.session import settled
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,11 @@ ORACLE_SQL = None  # SQL expresses neither the merges of SentencePiece nor space
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    def kept(stages: list) -> DataFrame:
+        """The rows that the last of ``stages`` keeps."""
+        if not stages:
+            return spark.read.parquet(f"{sf_dir}/documents.parquet")
+        *before, (name, stage) = stages
+        return settled(lambda: stage(spark, kept(before), sf_dir), f"pipeline-{name}")
+
+    return STAGES[-1][1](spark, kept(STAGES[:-1]), sf_dir)

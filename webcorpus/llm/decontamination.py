@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, settled
 from . import bytehash
 from .bitmaps import Filter, key_filter, mixed_id
 
@@ -212,5 +212,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark."""
-    bad = materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct(), "leak-verdicts")
+    bad = settled(lambda: leaks(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct(), "leak-verdicts")
     return docs.join(bad, F.col("doc_id") == F.col("_id"), "left_anti")

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, settled
 from . import bytehash
 from .bitmaps import BITS, Filter, key_filter, mixed_id
 from .components import components
@@ -524,13 +524,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     several = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 or doc_id is null").select("doc_id"), "jaccard-several")
     if several.isEmpty():
-        linked = link(docs.select("doc_id", "text"))
-        drop = materialize(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_node")), "jaccard-decisions")
+        drop = settled(lambda: link(docs.select("doc_id", "text")).filter("doc_id <> component_id").select(F.col("doc_id").alias("_node")), "jaccard-decisions")
         return docs.join(drop, F.col("doc_id") == F.col("_node"), "left_anti")
     several = several.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_several"))
     own = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 62)) - F.lit((1 << 62) + (1 << 61))  # below any id in use
     marked = docs.join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_node", F.when(F.col("_several"), own).otherwise(F.col("doc_id").cast("long")))
-    groups = materialize(link(marked.select("_node", "text"), id="_node").select("_node", "component_id").distinct(), "jaccard-groups")
+    groups = settled(lambda: link(marked.select("_node", "text"), id="_node").select("_node", "component_id").distinct(), "jaccard-groups")
     places = marked.select("doc_id", "_node").distinct().join(groups, "_node")
     first = places.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_node")).alias("first"))
     drop = materialize(groups.select("_node").join(first.select(F.col("first._node").alias("_node")), "_node", "left_anti"), "jaccard-decisions")

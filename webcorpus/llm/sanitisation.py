@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.once import with_once
 from ..operators.skew import lookup_join
-from ..session import materialize
+from ..session import materialize, settled
 
 # The patterns are fixed. Possessive repeats and \G only spare the regex engine from trying starts that cannot match.
 _PATTERNS = {
@@ -84,9 +84,13 @@ def _matches(text: Column, pattern: str, kind: str, test) -> Column:
     return F.aggregate(parts, start, step, lambda state: state["spans"])
 
 
+def _unmarked(text: Column) -> Column:
+    return F.coalesce(F.replace(text, F.lit(_MARK), F.lit(_NO_MARK)), F.lit(""))
+
+
 def base_spans(docs: DataFrame, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """``keep`` columns, ``_text`` and ``_base``: the spans of every kind, kinds in order, then by start."""
-    rows = docs.select(*keep, F.coalesce(F.replace(F.col(text), F.lit(_MARK), F.lit(_NO_MARK)), F.lit("")).alias("_text"))
+    rows = docs.select(*keep, _unmarked(F.col(text)).alias("_text"))
     none = F.array().cast(f"array<{_SPAN}>")
     signs = {"email": "@", "phone": "+"}
     found = {
@@ -247,10 +251,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with protected values and disclosing words replaced in ``text``; n_chars, if there, follows the new text."""
     row = docs.select(F.struct(*docs.columns).alias("_row"))
     row = row.select("_row", F.coalesce(F.col("_row")["doc_id"].cast("long"), F.lit(-1)).alias("_id"), F.col("_row")["text"].alias("text"))
-    found = base_spans(row, ("_row", "_id"), "text").withColumn("_key", F.xxhash64("_text"))
-    found = materialize(found, "pii-rows")
-    terms = materialize(_term_spans(docs.select("text"), found.select("_id", "_key", "_text", "_base")), "pii-terms")
-    both = found.join(terms, ["_id", "_key"], "left")
+    found = base_spans(row, ("_row", "_id"), "text").select("_row", "_id", F.xxhash64("_text").alias("_key"), "_base")
+    found = materialize(found, "pii-rows", compression="zstd")
+    plain = _unmarked(F.col("_row")["text"]).alias("_text")  # not written again beside its row
+    terms = settled(lambda: _term_spans(docs.select("text"), found.select("_id", "_key", plain, "_base")), "pii-terms")
+    both = found.join(terms, ["_id", "_key"], "left").select("_row", "_base", "_terms", plain)
     spans = F.concat("_base", F.coalesce("_terms", F.array().cast(f"array<{_SPAN}>")))
     text = F.when(F.size(spans) > 0, _replaced(F.col("_text"), spans)).otherwise(F.col("_row")["text"])
     both = with_once(both, _clean=text)

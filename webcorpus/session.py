@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_passing: ContextVar[list[str] | None] = ContextVar("_passing", default=None)  # tables written for the innermost ``settled``
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -26,12 +29,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once and continue from the written table.
 
     Cuts the lineage and survives executor loss; unlike a checkpointed RDD the
     Parquet copy is still column-pruned by whatever reads it.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``materialize`` for a result whose making writes tables itself: they are deleted once it is written.
+
+    Nothing else may read what ``make`` writes.
+    """
+    passing: list[str] = []
+    before = _passing.set(passing)
+    try:
+        df = make()
+    finally:
+        _passing.reset(before)
+    result = materialize(df, name)
+    for path in passing:
+        _delete(df.sparkSession, path)
+    return result
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)  # the file systems that Spark writes to
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
