@@ -1,6 +1,7 @@
 """N-gram join, repeated bytes, decontamination: against brute force on small tables."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from webcorpus.llm import decontamination, ngram_jaccard, repeated_bytes
+from webcorpus.llm import components, decontamination, ngram_jaccard, repeated_bytes
 
 SCHEMA = "doc_id long, text string"
 
@@ -88,6 +89,31 @@ def test_unlike_members_of_a_group_and_a_common_line(spark):
     assert found == brute_components(list(enumerate(rows)))
 
 
+def test_the_driver_keeps_no_tables_and_no_filters(spark, monkeypatch):
+    """Joins of small tables would each leave a hash relation with the driver, and filters their bits."""
+    plans, filters = [], []
+    write, build = components.materialize, ngram_jaccard.key_filter
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    def built(*args):
+        filters.append(build(*args))
+        return filters[-1]
+
+    monkeypatch.setattr(components, "materialize", written)
+    monkeypatch.setattr(ngram_jaccard, "materialize", written)
+    monkeypatch.setattr(ngram_jaccard, "key_filter", built)
+    rows = near_copies(3)
+    result = ngram_jaccard.link(spark.createDataFrame(rows, SCHEMA))
+    plans.append(result._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 10
+    assert not [p for p in plans if "Broadcast" in p]
+    assert len(filters) > 5 and not [f for f in filters if os.path.exists(f._bits._path)]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in result.collect()} == brute_components(rows)
+
+
 def test_all_shingles_are_counted(spark):
     tokens = spark.createDataFrame([([i % 50, 70_000 * (i % 3), i],) for i in range(400)], "tokens array<long>")
     expected = Counter(x for i in range(400) for x in (i % 50, 70_000 * (i % 3), i))

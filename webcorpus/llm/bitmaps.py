@@ -31,6 +31,10 @@ class Filter:
         at = keys.astype(np.uint64) & self._mask
         return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
+    def release(self) -> None:
+        """Free the bits on the driver and the executors, once all that is filtered by them is written."""
+        self._bits.destroy()
+
 
 def key_filter(keys: DataFrame, key: str, n_bits: int = BITS) -> Filter:
     """A filter of the values of the long column ``key``, whose low bits must be well mixed. Few keys can do with fewer bits."""

@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from ..session import materialize
 
 
+def merged(table: DataFrame) -> DataFrame:
+    """``table`` as the side of a join that is merged, though it may be small.
+
+    Broadcast, it would be gathered by the driver and kept there until both its
+    garbage and Spark's are collected: for the dozens of joins of a run of
+    rounds that adds up, however few rows they have.
+    """
+    return table.hint("merge")
+
+
 def _nearest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
@@ -15,13 +25,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the node's smallest neighbour."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     nearest = _nearest(both).select("u", F.least("m", "u").alias("m"))
-    return both.join(nearest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(merged(nearest), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of these. Edges run from larger to smaller."""
     nearest = _nearest(edges)
-    moved = edges.join(nearest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(merged(nearest), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(nearest.select("u", F.col("m").alias("v")))
 
 

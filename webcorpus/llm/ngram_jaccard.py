@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize, settled
 from . import bytehash
 from .bitmaps import BITS, Filter, key_filter, mixed_id
-from .components import components
+from .components import components, merged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -308,7 +308,7 @@ def _subset_links(light: DataFrame, percent: int, limit: int) -> DataFrame:
     parts = materialize(parts, "jaccard-subsets")
     # Members of the larger size are linked through one of the smaller size: among themselves they may share too little.
     leaders = parts.filter("n = lo").groupBy(*bucket).agg(F.min("id").alias("a"))
-    return parts.join(leaders, bucket).filter("id <> a").select("a", F.col("id").alias("b"))
+    return parts.join(merged(leaders), bucket).filter("id <> a").select("a", F.col("id").alias("b"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -316,6 +316,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = _id_filter(ends)
     sets = materialize(_sets(docs, size, percent, "all", ids=wanted).select("id", "tokens"), "jaccard-sets")
+    wanted.release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,8 +327,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").join(
-        sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a"
+    both = pairs.join(merged(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))), "b").join(
+        merged(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))), "a"
     )
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -335,11 +336,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
 def _split_lists(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members (h, id, n, component) of the lists that still hold two components."""
     if labels is not None:
-        members = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        members = members.join(merged(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
     else:
         members = members.withColumn("component", F.col("id"))
     open_lists = members.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    return members.join(open_lists.select("h"), "h", "left_semi")
+    return members.join(merged(open_lists.select("h")), "h", "left_semi")
 
 
 def _size_fits(a: str, b: str, percent: int):
@@ -366,7 +367,7 @@ def _star_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     rank = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
     leader = lists.groupBy("h").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "component")).alias("lead"))
     met = (
-        lists.join(leader, "h")
+        lists.join(merged(leader), "h")
         .filter("lead.component <> component")
         .select("id", "n", F.col("lead.id").alias("other"), F.col("lead.n").alias("other_n"))
         .filter(_size_fits("n", "other_n", percent))
@@ -390,28 +391,28 @@ def _gathered(lists: DataFrame, clusters: DataFrame) -> DataFrame:
     """
     parts = lists.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c"))
     leading = parts.groupBy("h").agg(F.max(F.struct("c", "component")).alias("lead"))
-    met = lists.join(leading, "h").filter("component <> lead.component").groupBy("id", "n", "component", F.col("lead.component").alias("lead"))
+    met = lists.join(merged(leading), "h").filter("component <> lead.component").groupBy("id", "n", "component", F.col("lead.component").alias("lead"))
     edges = met.agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= _k("n")).select("component", "lead").distinct()
     every = clusters.unionByName(edges.select(F.explode(F.array("component", "lead")).alias("id")).distinct().withColumn("component", F.col("id")))
     every = materialize(every.groupBy("id").agg(F.min("component").alias("component")), "jaccard-clusters")
     sizes = every.groupBy("component").agg(F.struct(F.count(F.lit(1)), "component").alias("size"))
-    both = edges.join(sizes, "component").join(sizes.select(F.col("component").alias("lead"), F.col("size").alias("lead_size")), "lead")
+    both = edges.join(merged(sizes), "component").join(merged(sizes.select(F.col("component").alias("lead"), F.col("size").alias("lead_size"))), "lead")
     ends = F.array_sort(F.array("size", "lead_size"))
     over = materialize(both.groupBy(ends[0]["component"].alias("component")).agg(F.max(ends[1]).alias("to")).select("component", F.col("to.component").alias("to")), "jaccard-over")
-    further = over.join(over.select(F.col("component").alias("to"), F.col("to").alias("further")), "to", "left")
+    further = over.join(merged(over.select(F.col("component").alias("to"), F.col("to").alias("further"))), "to", "left")
     moved = further.select("component", F.coalesce("further", "to").alias("to"))
-    return materialize(every.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "jaccard-clusters")
+    return materialize(every.join(merged(moved), "component", "left").select("id", F.coalesce("to", "component").alias("component")), "jaccard-clusters")
 
 
 def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Every pair that shares as many lists as linked sets must and lies in two components."""
     parts = lists.groupBy("h", "component").agg(F.count(F.lit(1)).alias("members")).drop("members")
-    meets = parts.select("h", F.col("component").alias("c1")).join(parts.select("h", F.col("component").alias("c2")), "h").filter("c1 < c2")
+    meets = parts.select("h", F.col("component").alias("c1")).join(merged(parts.select("h", F.col("component").alias("c2"))), "h").filter("c1 < c2")
     x = lists.select("h", F.col("component").alias("c1"), F.col("id").alias("x"), F.col("n").alias("nx"))
     y = lists.select("h", F.col("component").alias("c2"), F.col("id").alias("y"), F.col("n").alias("ny"))
     return (
-        meets.join(x, ["h", "c1"])
-        .join(y, ["h", "c2"])
+        meets.join(merged(x), ["h", "c1"])
+        .join(merged(y), ["h", "c2"])
         .filter(_size_fits("nx", "ny", percent))
         .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .agg(F.count(F.lit(1)).alias("shared"), F.min(_shared_enough("nx", "ny", percent)).alias("enough"))
@@ -428,21 +429,23 @@ def _cluster_links(docs: DataFrame, labels: DataFrame, clusters: DataFrame, size
     own component, and two tiles are compared in one product of matrices: what
     is shuffled and emitted are sets and links, never pairs.
     """
-    nodes = clusters.withColumnRenamed("component", "cluster").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    nodes = clusters.withColumnRenamed("component", "cluster").join(merged(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
     nodes = materialize(nodes, "jaccard-clusters")
     several = nodes.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    nodes = nodes.join(several.select("cluster"), "cluster", "left_semi")
+    nodes = nodes.join(merged(several.select("cluster")), "cluster", "left_semi")
     large = nodes.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= TILE).drop("c")
-    nodes = nodes.join(large.withColumn("own", F.col("component")), ["cluster", "component"], "left")
+    nodes = nodes.join(merged(large.withColumn("own", F.col("component"))), ["cluster", "component"], "left")
     sizes = nodes.groupBy("cluster", "own").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("chunks"))
-    dealt = nodes.alias("x").join(sizes.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & F.col("x.own").eqNullSafe(F.col("y.own")))
+    dealt = nodes.alias("x").join(merged(sizes.alias("y")), (F.col("x.cluster") == F.col("y.cluster")) & F.col("x.own").eqNullSafe(F.col("y.own")))
     tile = F.xxhash64("x.cluster", "x.own", F.pmod(F.xxhash64("id"), F.col("chunks")))
     dealt = materialize(dealt.select("id", "component", "x.cluster", "x.own", tile.alias("tile")), "jaccard-tiles")
     tiles = dealt.select("cluster", "own", "tile").distinct()
-    meets = tiles.alias("x").join(tiles.alias("y"), "cluster").filter("x.tile <= y.tile and (x.own is null or y.own is null or x.own <> y.own)")
+    meets = tiles.alias("x").join(merged(tiles.alias("y")), "cluster").filter("x.tile <= y.tile and (x.own is null or y.own is null or x.own <> y.own)")
     meets = meets.select(F.xxhash64("x.tile", "y.tile").alias("meeting"), F.explode(F.array_distinct(F.array("x.tile", "y.tile"))).alias("tile"))
-    sets = materialize(_sets(docs, size, percent, "all", ids=_id_filter(dealt)).select("id", "tokens"), "jaccard-sets")
-    rows = meets.join(dealt.select("tile", "id", "component"), "tile").join(sets, "id").select("meeting", "id", "component", "tokens")
+    wanted = _id_filter(dealt)
+    sets = materialize(_sets(docs, size, percent, "all", ids=wanted).select("id", "tokens"), "jaccard-sets")
+    wanted.release()
+    rows = meets.join(merged(dealt.select("tile", "id", "component")), "tile").join(merged(sets), "id").select("meeting", "id", "component", "tokens")
 
     def compare(rows: pa.Table) -> pa.Table:
         ids, component = (rows.column(c).to_numpy() for c in ("id", "component"))
@@ -481,36 +484,39 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SI
     nodes = every.filter("n > 0 and id is not null")
     # One node per distinct set: the smallest id that has it. Only these are listed, but for a few that the filter lets pass.
     heads = materialize(nodes.groupBy(*keys).agg(F.min("id").alias("id")), "jaccard-heads")
-    copies = nodes.withColumnRenamed("id", "b").join(heads.withColumnRenamed("id", "a"), keys).filter("a <> b").select("a", "b")
+    copies = nodes.withColumnRenamed("id", "b").join(merged(heads.withColumnRenamed("id", "a")), keys).filter("a <> b").select("a", "b")
     once = _id_filter(heads)
     order = _order(_shingle_counts(docs, size, once))
     sets = materialize(
         _sets(docs, size, percent, "listed", ids=once, order=order).filter("n > 0 and id is not null").select("id", "n", "tokens"),
         "jaccard-listed",
     )
+    for used in (once, *order):
+        used.release()
     heavy = _to_list(sets, percent, limit)
-    members = _members(heavy, key_filter(_listed_counts(heavy), "at"))
+    recurring = key_filter(_listed_counts(heavy), "at")
+    lists = materialize(_split_lists(_members(heavy, recurring), None), "jaccard-lists")
+    recurring.release()
 
     light = sets.filter(F.col("n") <= limit).select("id", "n", "tokens")
     links = materialize(_subset_links(light, percent, limit), "jaccard-links")
     labels, near = None, links
     for turn in range(STAR_ROUNDS):
-        members = materialize(_split_lists(members, labels), "jaccard-lists").drop("component")  # a list within one component stays so
-        lists = members.join(labels, "id", "left") if labels is not None else members.withColumn("component", F.lit(None).cast("long"))
-        lists = lists.withColumn("component", F.coalesce("component", "id"))
+        if labels is not None:
+            lists = materialize(_split_lists(lists.drop("component"), labels), "jaccard-lists")  # a list within one component stays so
         pairs = materialize(_star_pairs(lists, turn, percent), "jaccard-pairs")
         near = near.union(pairs)
         links = materialize(links.union(_verified(docs, pairs, size, percent)), "jaccard-links")
         labels = components(links)
-    clusters = components(near)
+    clusters, members = components(near), lists.drop("component")
     for _ in range(GATHER_ROUNDS):
         clusters = _gathered(materialize(_split_lists(members, clusters), "jaccard-lists"), clusters)
-    pairs = materialize(_open_pairs(_split_lists(members, clusters), percent), "jaccard-pairs")
+    pairs = materialize(_open_pairs(materialize(_split_lists(members, clusters), "jaccard-lists"), percent), "jaccard-pairs")
     links = links.union(_verified(docs, pairs, size, percent)).union(_cluster_links(docs, labels, clusters, size, percent))
     reached = components(links.union(copies))
     return (
         every.select("id", "n")
-        .join(reached, "id", "left")
+        .join(merged(reached), "id", "left")
         .select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     )
 
